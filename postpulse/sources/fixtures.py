@@ -61,11 +61,11 @@ def timed_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, base: str) -> DataFrame:
-    """Model table: text features + integer score, keyed by event_id."""
+    """Model table: text features + integer score, keyed by event_id (user_id kept)."""
     e = table(spark, base, "events")
     ts = F.col("ts")
     return e.select(
-        "event_id",
+        "event_id", "user_id",
         F.col("event_type").alias("subreddit"),
         F.hour(ts).cast("string").alias("HoD"),
         (F.weekday(F.to_date(ts)) + 1).cast("string").alias("DoW"),
