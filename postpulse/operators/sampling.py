@@ -57,7 +57,7 @@ def shard_of(id_col: Column, max_split: int = 10, seed=SHARD_SEED) -> Column:
 
 
 def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size: int,
-                 seed=SAMPLE_SEED) -> DataFrame:
+                 seed=SAMPLE_SEED, margin: float = 6.0) -> DataFrame:
     """Per shard, ``number`` samples of ``size`` rows without replacement.
 
     A shard with fewer than ``size`` rows gives one sample (rep 0) holding all
@@ -67,7 +67,7 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     Plan: one count per shard (at most max_split + 1 rows, broadcast), then
     each row is replicated per sample and kept only as a *candidate* when its
     hash is below a per-shard threshold chosen so that a sample has about
-    size + 6*sqrt(size) candidates. The exact ``size`` smallest are taken by a
+    size + margin*sqrt(size) candidates. The exact ``size`` smallest are taken by a
     row_number window over candidates only. Should any sample have too few
     candidates (probability ~1e-9), that sample is recomputed without the
     threshold, so the result is always exact and no group ever holds a whole
@@ -77,7 +77,7 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     big = F.col("_n") >= size
     threshold = F.least(
         F.lit(HASH_RANGE).cast("double"),
-        F.ceil((F.lit(size) + F.sqrt(F.lit(float(size))) * 6 + 16) * HASH_RANGE / F.col("_n")).cast("double"))
+        F.ceil((F.lit(size) + F.sqrt(F.lit(float(size))) * margin + 16) * HASH_RANGE / F.col("_n")).cast("double"))
     plan = F.broadcast(counts.select(
         shard_col, "_n",
         F.when(big, F.sequence(F.lit(0), F.lit(number - 1))).otherwise(F.array(F.lit(0))).alias("_reps"),

@@ -162,7 +162,7 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
                                 F.lit(None).cast("double").alias("err")).limit(0)
             branches = None
         else:
-            branches = branch_stats(active, stats, attrs)
+            branches = _checkpoint(branch_stats(active, stats, attrs))
             best = best_splits(branches, stats)
         numeric = [i for i, a in enumerate(attrs) if a.kind == "N"]
         cond = F.lit(None).cast("double")
@@ -210,7 +210,8 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
             edges = edges.unionByName(p)
     else:
         edges = cells.sparkSession.createDataFrame([], "tree long, node string, value string, child string")
-    return BaggedModel(nodes=nodes, edges=edges, attrs=attrs, trees=trees)
+    # one flat table each, so prediction joins read a plain scan per level
+    return BaggedModel(nodes=_checkpoint(nodes), edges=_checkpoint(edges), attrs=attrs, trees=trees)
 
 
 def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,

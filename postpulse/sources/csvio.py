@@ -87,7 +87,8 @@ def split_line(value, sep: str = ",", delete: str | None = "\t", strip: bool = F
     if delete:
         v = F.regexp_replace(v, delete, "")
     if strip:
-        v = F.trim(v)
+        # like str.strip(): all surrounding whitespace, tabs included (trim drops spaces only)
+        v = F.regexp_replace(v, r"^\s+|\s+$", "")
     return F.split(v, _regex_escape(sep))
 
 
