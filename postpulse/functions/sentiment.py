@@ -104,9 +104,13 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, lexicon=None,
     text = F.col(text_col)
     if method == "map":
         lex = lexicon_as_dict(lexicon)
-        compound = compound_from_sum(valence_sum(text, lex))
-        return (df.withColumn("compound", F.when(text.isNull(), F.lit(None)).otherwise(compound))
-                  .withColumn("sentiment_class", sentiment_class(text, F.col("compound"))))
+        # The lookup sum is an array lambda: give it its own projection so it is
+        # evaluated once per row, not once per reference in the formula and class.
+        summed = df.withColumn("_s", valence_sum(text, lex))
+        compound = compound_from_sum(F.col("_s"))
+        return (summed.withColumn("compound", F.when(text.isNull(), F.lit(None)).otherwise(compound))
+                      .withColumn("sentiment_class", sentiment_class(text, F.col("compound")))
+                      .drop("_s"))
     if method != "join":
         raise ValueError(method)
     lex_df = lexicon if not isinstance(lexicon, dict) else df.sparkSession.createDataFrame(

@@ -6,6 +6,8 @@ depend on partitioning, cluster size or engine.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,53 +59,66 @@ def shard_of(id_col: Column, max_split: int = 10, seed=SHARD_SEED) -> Column:
 
 
 def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size: int,
-                 seed=SAMPLE_SEED, margin: float = 6.0) -> DataFrame:
+                 seed=SAMPLE_SEED, margin: float = 6.0, max_groups: int = 10_000_000) -> DataFrame:
     """Per shard, ``number`` samples of ``size`` rows without replacement.
 
     A shard with fewer than ``size`` rows gives one sample (rep 0) holding all
     its rows. Sample ``rep`` of a shard is the ``size`` rows with the smallest
     md5(seed|rep|id).
 
-    Plan: one count per shard (at most max_split + 1 rows, broadcast), then
-    each row is replicated per sample and kept only as a *candidate* when its
-    hash is below a per-shard threshold chosen so that a sample has about
-    size + margin*sqrt(size) candidates. The exact ``size`` smallest are taken by a
-    row_number window over candidates only. Should any sample have too few
-    candidates (probability ~1e-9), that sample is recomputed without the
-    threshold, so the result is always exact and no group ever holds a whole
-    shard.
+    Plan:
+    1. Rows per shard (one aggregate; its result has one row per shard and is
+       read by the driver). Small shards pass through as sample 0 with no
+       hashing or sorting at all.
+    2. Rows of big shards are replicated per sample and kept only as
+       *candidates* when their hash is below a per-shard threshold chosen so a
+       sample has about size + margin*sqrt(size) candidates.
+    3. Candidates per sample are counted (one row per sample, read by the
+       driver). The ``size`` smallest candidates of each sample are taken by a
+       row_number window, which Spark turns into a per-partition top-k before
+       its shuffle. A sample with too few candidates (probability ~1e-9 at the
+       default margin) is recomputed from all its shard's rows, so the result
+       is always exact and no task ever sorts a whole shard in the normal case.
     """
-    counts = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n"))
-    big = F.col("_n") >= size
-    threshold = F.least(
-        F.lit(HASH_RANGE).cast("double"),
-        F.ceil((F.lit(size) + F.sqrt(F.lit(float(size))) * margin + 16) * HASH_RANGE / F.col("_n")).cast("double"))
-    plan = F.broadcast(counts.select(
-        shard_col, "_n",
-        F.when(big, F.sequence(F.lit(0), F.lit(number - 1))).otherwise(F.array(F.lit(0))).alias("_reps"),
-        F.when(big, threshold).otherwise(F.lit(HASH_RANGE).cast("double")).alias("_thr")))
-
-    def replicate(frame: DataFrame) -> DataFrame:
-        return (frame.join(plan, shard_col)
-                     .withColumn("rep", F.explode("_reps"))
-                     .withColumn("_u", md5_number(seed, F.col("rep"), F.col(id_col))))
-
-    def top(frame: DataFrame) -> DataFrame:
-        w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
-        return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size)
-
-    cand = replicate(df).filter(F.col("_u") < F.col("_thr"))
-    fast = top(cand)
-    have = cand.groupBy(shard_col, "rep").agg(F.count(F.lit(1)).alias("_c"))
-    short = (have.join(plan.select(shard_col, "_n"), shard_col)
-                 .filter(F.col("_c") < F.least(F.col("_n"), F.lit(size)))
-                 .select(shard_col, "rep"))
-    # samples with no candidate at all cannot appear in `have`: list them too
-    expected = plan.select(shard_col, F.explode("_reps").alias("rep"))
-    missing = expected.join(have.select(shard_col, "rep"), [shard_col, "rep"], "left_anti")
-    redo = F.broadcast(short.unionByName(missing))  # at most (max_split+1)*number rows
-    slow = top(replicate(df.join(redo.select(shard_col).distinct(), shard_col, "left_semi"))
-               .join(redo, [shard_col, "rep"], "left_semi"))
-    keep = fast.join(redo, [shard_col, "rep"], "left_anti")
-    cols = [c for c in df.columns] + ["rep"]
-    return keep.select(*cols).unionByName(slow.select(*cols))
+    counts = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n")).collect()
+    if len(counts) * max(number, 1) > max_groups:
+        raise ValueError(f"{len(counts)} shards x {number} samples exceeds {max_groups} groups")
+    sizes = {r[0]: r[1] for r in counts}
+    small = [k for k, n in sizes.items() if n < size]
+    big = {k: n for k, n in sizes.items() if n >= size}
+    cols = list(df.columns) + ["rep"]
+    parts = []
+    if small:
+        parts.append(df.filter(F.col(shard_col).isin(small)).withColumn("rep", F.lit(0)))
+    if big:
+        spark = df.sparkSession
+        thr = {k: min(float(HASH_RANGE), math.ceil((size + math.sqrt(size) * margin + 16) * HASH_RANGE / n))
+               for k, n in big.items()}
+        thr_map = F.create_map(*[x for k, v in thr.items() for x in (F.lit(k), F.lit(v))])
+
+        def replicate(frame: DataFrame) -> DataFrame:
+            return (frame.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+                         .withColumn("_u", md5_number(seed, F.col("rep"), F.col(id_col))))
+
+        def top(frame: DataFrame) -> DataFrame:
+            w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
+            return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size)
+
+        in_big = df.filter(F.col(shard_col).isin(list(big)))
+        cand = replicate(in_big).filter(F.col("_u") < F.element_at(thr_map, F.col(shard_col)))
+        have = {(r[0], r[1]): r[2] for r in
+                cand.groupBy(shard_col, "rep").agg(F.count(F.lit(1))).collect()}
+        short = [(k, r) for k in big for r in range(number) if have.get((k, r), 0) < size]
+        fast = top(cand)
+        if short:
+            redo = F.broadcast(spark.createDataFrame(short, f"{shard_col} {df.schema[shard_col].dataType.simpleString()}, rep int"))
+            fast = fast.join(redo, [shard_col, "rep"], "left_anti")
+            exact = replicate(in_big.filter(F.col(shard_col).isin(sorted({k for k, _ in short}))))
+            parts.append(top(exact.join(redo, [shard_col, "rep"], "left_semi")).select(*cols))
+        parts.append(fast.select(*cols))
+    if not parts:
+        return df.withColumn("rep", F.lit(0)).limit(0)
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out

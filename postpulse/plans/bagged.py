@@ -18,9 +18,9 @@ level per iteration, with grouped aggregates:
    Categorical attributes branch on every value; numeric ones at the node
    mean (< left, else right). A node is a leaf when it has at most one row,
    zero error, or no attribute with two or more branches. Cells then move to
-   their child node. Each level's inputs are checkpointed to the shared
-   folder, so lineage stays one level long and a lost executor recomputes at
-   most one level.
+   their child node. The moved cells are checkpointed to the shared folder
+   each level, so lineage stays one level long and a lost executor
+   recomputes at most one level.
 4. Prediction walks distinct test attribute tuples (not rows) through every
    tree, level by level, with equi-joins on (tree, node) and
    (tree, node, value); an unseen category follows the child of the node's
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,13 +129,27 @@ def best_splits(branches: DataFrame, stats: DataFrame) -> DataFrame:
     return best.select("tree", "node", F.col("b.attr_pos").alias("attr_pos"), F.col("b.err").alias("err"))
 
 
+def _depth_of(node: Column) -> Column:
+    """Depth from the node path ('' root, '/a=v' level 1, ...): no per-level literal,
+    so every level runs the same generated code."""
+    return (F.length(node) - F.length(F.regexp_replace(node, "/", ""))).cast("int")
+
+
 def _splittable() -> Column:
     return (F.col("N") > MIN_RECORD) & (F.col("mse") > F.lit(ZERO_ERROR) * F.col("S2") / F.col("N"))
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint into the session's shared checkpoint folder.
+
+    Writing a checkpoint runs the plan a second time unless it is persisted,
+    so persist for the duration of the write and drop the copy afterwards.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 @dataclass
@@ -151,8 +166,10 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
     shared_dir(cells.sparkSession)
     names = [a.name for a in attrs]
     active = _checkpoint(cells.withColumn("node", F.lit(ROOT)))
-    trees = _checkpoint(active.select("tree").distinct())
     node_parts, edge_parts = [], []
+    # Per-level tables are one level deep (they read this level's checkpointed
+    # `active`), so they are only persisted; the loop state is checkpointed.
+    held = []
     depth = 0
     while True:
         stats = node_stats(active, attrs)
@@ -162,25 +179,26 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
                                 F.lit(None).cast("double").alias("err")).limit(0)
             branches = None
         else:
-            branches = _checkpoint(branch_stats(active, stats, attrs))
+            branches = branch_stats(active, stats, attrs).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(branches)
             best = best_splits(branches, stats)
         numeric = [i for i, a in enumerate(attrs) if a.kind == "N"]
         cond = F.lit(None).cast("double")
         for i in numeric:
             cond = F.when(F.col("attr_pos") == i, F.col(_mean_col(i))).otherwise(cond)
         decided = (stats.join(best, ["tree", "node"], "left")
-                   .select("tree", "node", F.lit(depth).alias("depth"), F.col("N").alias("n"),
+                   .select("tree", "node", _depth_of(F.col("node")).alias("depth"), F.col("N").alias("n"),
                            F.col("mean").alias("prediction"),
                            F.col("attr_pos").isNull().alias("is_leaf"),
                            "attr_pos", cond.alias("split_cond")))
-        decided = _checkpoint(decided)
+        decided = decided.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(decided)
         if branches is not None:
             inner = decided.filter(~F.col("is_leaf")).select("tree", "node", "attr_pos")
             edges = (branches.join(inner, ["tree", "node", "attr_pos"])
                      .select("tree", "node", "value",
                              F.concat(F.col("node"), F.lit("/"), F.col("attr_pos").cast("string"),
                                       F.lit("="), F.col("value")).alias("child")))
-            edges = _checkpoint(edges)
             default = edges.groupBy("tree", "node").agg(
                 F.min(F.struct("value", "child")).getField("child").alias("default_child"))
             decided = decided.join(default, ["tree", "node"], "left")
@@ -210,8 +228,14 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
             edges = edges.unionByName(p)
     else:
         edges = cells.sparkSession.createDataFrame([], "tree long, node string, value string, child string")
-    # one flat table each, so prediction joins read a plain scan per level
-    return BaggedModel(nodes=_checkpoint(nodes), edges=_checkpoint(edges), attrs=attrs, trees=trees)
+    # one flat table each (edges of a level are a join of two checkpointed
+    # tables), so prediction joins read a plain scan per level
+    nodes = _checkpoint(nodes)
+    edges = _checkpoint(edges)
+    for h in held:
+        h.unpersist()
+    trees = nodes.filter(F.col("node") == ROOT).select("tree")
+    return BaggedModel(nodes=nodes, edges=edges, attrs=attrs, trees=trees)
 
 
 def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,
