@@ -125,3 +125,20 @@ SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,
 FROM cls c JOIN documents d ON c.doc_id = d.doc_id""")
 def q_feature_table(spark, base):
     return features.feature_table(fx.comments(spark, base))
+
+
+@register("feature_stream", f"""
+WITH {SCORE_SQL}
+SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,
+       {TIME_SQL.format(t='epoch_ms((1601510400 + d.doc_id * 3607) * 1000)')}
+FROM cls c JOIN documents d ON c.doc_id = d.doc_id""")
+def q_feature_stream(spark, base):
+    """The feature job as a Structured Streaming query over the landed documents file;
+    returns the sink it wrote."""
+    from postpulse.streaming.feature_stream import start_feature_stream
+    docs = table(spark, base, "documents")
+    sink = scratch_path(spark, "feature-stream-out")
+    q = start_feature_stream(spark, f"{base.rstrip('/')}/documents[.]parquet", docs.schema,
+                             sink, scratch_path(spark, "feature-stream-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(sink)
