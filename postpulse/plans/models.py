@@ -103,8 +103,10 @@ def mean_baseline(data: DataFrame, label: str = "label") -> DataFrame:
     """
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
-    mean = train.select((F.sum(label) / F.count(F.lit(1))).alias("m")).scalar()
-    n_train = train.select(F.count(F.lit(1))).scalar()
+    # one scalar subquery (a struct) gives both numbers from a single pass
+    tr = train.select(F.struct(F.count(F.lit(1)).alias("n"),
+                               (F.sum(label) / F.count(F.lit(1))).alias("m")).alias("s")).scalar()
+    mean, n_train = tr.getField("m"), tr.getField("n")
     scored = test.select(F.col(label).alias("y"), mean.alias("prediction"))
     return scored.agg(
         n_train.alias("n_train"),
