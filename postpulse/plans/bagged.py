@@ -247,7 +247,7 @@ def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,
 
 
 def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
-    """(tree, attribute tuple) -> prediction for every tree and distinct tuple.
+    """(tree, attribute tuple) -> prediction, leaf size for every tree and distinct tuple.
 
     The tree list is bounded by (max_split + 1) * sample_number, a setting, not
     the data; it is expanded per tuple with explode rather than a cross join.
@@ -258,8 +258,8 @@ def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
     state = (tuples.select(*names).distinct()
              .withColumn("tree", F.explode(F.array(*[F.lit(t).cast("long") for t in tree_ids])))
              .withColumn("node", F.lit(ROOT)))
-    nodes = model.nodes.select("tree", "node", "is_leaf", "prediction", "attr_pos",
-                               "split_cond", "default_child")
+    nodes = model.nodes.select("tree", "node", "is_leaf", "prediction", F.col("n").alias("leaf_n"),
+                               "attr_pos", "split_cond", "default_child")
     max_depth = model.nodes.agg(F.max("depth")).first()[0] or 0
     values = F.array(*[
         (F.when(F.col(a.name) < F.col("split_cond"), F.lit("L")).otherwise(F.lit("R"))
@@ -267,7 +267,7 @@ def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
     done = []
     for _ in range(max_depth + 1):
         j = state.join(nodes, ["tree", "node"])
-        done.append(j.filter(F.col("is_leaf")).select("tree", *names, "prediction"))
+        done.append(j.filter(F.col("is_leaf")).select("tree", *names, "prediction", "leaf_n"))
         step = (j.filter(~F.col("is_leaf"))
                  .withColumn("value", F.element_at(values, F.col("attr_pos") + 1))
                  .join(model.edges, ["tree", "node", "value"], "left")
@@ -280,10 +280,10 @@ def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
 
 
 def predict_rows(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
-    """(tree, id, prediction): every tree's prediction for every row."""
+    """(tree, id, prediction, leaf_n): every tree's prediction for every row."""
     names = [a.name for a in model.attrs]
     per_tuple = predict_tuples(model, rows)
-    return rows.select(id_col, *names).join(per_tuple, names).select("tree", id_col, "prediction")
+    return rows.select(id_col, *names).join(per_tuple, names).select("tree", id_col, "prediction", "leaf_n")
 
 
 def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:

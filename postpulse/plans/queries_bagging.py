@@ -53,13 +53,13 @@ s AS (
 
 @register("node_mse", f"""
 WITH {SAMPLES_SQL}
-SELECT CAST(tree AS BIGINT) AS tree, count(*) AS n, {sql_sig_round('avg(y)')} AS mean,
+SELECT CAST(tree AS BIGINT) AS tree, count(*) AS n, round(sum(y), 2) / count(*) AS mean,
        {sql_sig_round('var_pop(y)')} AS mse
 FROM s GROUP BY tree""")
 def q_node_mse(spark, base):
     """Root-node size, mean and mean squared error of every tree."""
     st = bg.node_stats(_root_cells(spark, base, ATTRS), ATTRS)
-    return st.select("tree", F.col("N").alias("n"), sig_round(F.col("mean")).alias("mean"),
+    return st.select("tree", F.col("N").alias("n"), (F.round(F.col("S1"), 2) / F.col("N")).alias("mean"),
                      sig_round(F.col("mse")).alias("mse"))
 
 
@@ -129,27 +129,122 @@ def q_numeric_mean_split(spark, base):
                        sig_round(F.col("SSE") / F.col("N")).alias("err")))
 
 
+def _on_cent_grid(mean: str, n: str):
+    """A node mean reported as (its total on the target's cent grid) / n.
+
+    Means of 2, 4, 8 ... cent values end in an exact 5 at some digit, so any
+    fixed rounding of the mean can tie; the total is on the data's grid and
+    the division is the same IEEE operation in every engine.
+    """
+    return (F.round(F.col(mean) * F.col(n), 2) / F.col(n)).alias("prediction")
+
+
 def _model(spark, base):
     train, test = _split(spark, base)
     return bg.fit(train, "row_id", ATTRS, TARGET), test
 
 
-@register("bagged_fit")
+# ---- DuckDB oracle for the full trees: growth unrolled over the levels -------
+# With categorical attributes only, a path uses each attribute at most once, so
+# every tree is finished after len(ATTRS) + 1 levels.
+LEVELS = len(ATTRS) + 1
+ATTR_COLS = ", ".join(a.name for a in ATTRS)
+
+
+def _value_case(pos: str, prefix: str = "") -> str:
+    whens = " ".join(f"WHEN {i} THEN CAST({prefix}{a.name} AS VARCHAR)" for i, a in enumerate(ATTRS))
+    return f"(CASE {pos} {whens} END)"
+
+
+def _fit_sql() -> str:
+    ctes = [SAMPLES_SQL.strip(),
+            f"a0 AS (SELECT tree, row_id, {ATTR_COLS}, y, '' AS node FROM s)"]
+    for lv in range(LEVELS):
+        branches = " UNION ALL ".join(
+            f"SELECT tree, node, {i} AS attr_pos, CAST({a.name} AS VARCHAR) AS v, count(*) AS cnt, "
+            f"var_pop(y) * count(*) AS sse FROM a{lv} GROUP BY tree, node, {a.name}"
+            for i, a in enumerate(ATTRS))
+        ctes += [
+            f"st{lv} AS (SELECT tree, node, count(*) AS cnt, avg(y) AS mean, var_pop(y) AS mse, "
+            f"avg(y * y) AS ms FROM a{lv} GROUP BY tree, node)",
+            f"br{lv} AS ({branches})",
+            f"pa{lv} AS (SELECT tree, node, attr_pos, count(*) AS k, sum(sse) AS sse_tot "
+            f"FROM br{lv} GROUP BY tree, node, attr_pos)",
+            f"cand{lv} AS (SELECT pa.tree, pa.node, pa.attr_pos, "
+            f"round(pa.sse_tot / st.cnt / st.mse, 9) AS key FROM pa{lv} pa JOIN st{lv} st "
+            f"ON pa.tree = st.tree AND pa.node = st.node "
+            f"WHERE pa.k >= 2 AND st.cnt > 1 AND st.mse > 1e-12 * st.ms)",
+            f"best{lv} AS (SELECT tree, node, attr_pos FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY tree, node ORDER BY key, attr_pos) AS rn FROM cand{lv}) WHERE rn = 1)",
+            f"nd{lv} AS (SELECT st.tree, st.node, {lv} AS depth, st.cnt AS n, st.mean AS prediction, "
+            f"b.attr_pos IS NULL AS is_leaf, b.attr_pos FROM st{lv} st LEFT JOIN best{lv} b "
+            f"ON st.tree = b.tree AND st.node = b.node)",
+            f"ed{lv} AS (SELECT br.tree, br.node, br.v, br.node || '/' || CAST(br.attr_pos AS VARCHAR) "
+            f"|| '=' || br.v AS child FROM br{lv} br JOIN best{lv} b ON br.tree = b.tree "
+            f"AND br.node = b.node AND br.attr_pos = b.attr_pos)",
+            f"a{lv + 1} AS (SELECT a.tree, a.row_id, {', '.join('a.' + a.name for a in ATTRS)}, a.y, "
+            f"a.node || '/' || CAST(b.attr_pos AS VARCHAR) || '=' || {_value_case('b.attr_pos', 'a.')} "
+            f"AS node FROM a{lv} a JOIN best{lv} b ON a.tree = b.tree AND a.node = b.node)",
+        ]
+    ctes.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM nd{lv}" for lv in range(LEVELS)) + ")")
+    ctes.append("edges AS (" + " UNION ALL ".join(f"SELECT * FROM ed{lv}" for lv in range(LEVELS)) + ")")
+    ctes.append("defaults AS (SELECT tree, node, arg_min(child, v) AS default_child FROM edges "
+                "GROUP BY tree, node)")
+    return ",\n".join(ctes)
+
+
+def _predict_sql() -> str:
+    test = (f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, "
+            f"CAST(month(o_orderdate) AS VARCHAR) AS o_month, CAST(day(o_orderdate) AS VARCHAR) AS o_day "
+            f"FROM orders WHERE NOT ({sql_md5_number(SPLIT_SEED, 'o_orderkey')} % 100 < 70)")
+    ctes = [_fit_sql(),
+            f"t0 AS (SELECT tr.tree, x.row_id, {', '.join('x.' + a.name for a in ATTRS)}, '' AS node "
+            f"FROM ({test}) x JOIN (SELECT DISTINCT tree FROM nodes) tr ON true)"]
+    for lv in range(LEVELS):
+        ctes += [
+            f"p{lv} AS (SELECT t.*, n.is_leaf, n.prediction, n.attr_pos FROM t{lv} t JOIN nodes n "
+            f"ON t.tree = n.tree AND t.node = n.node)",
+            f"t{lv + 1} AS (SELECT p.tree, p.row_id, {', '.join('p.' + a.name for a in ATTRS)}, "
+            f"coalesce(e.child, d.default_child) AS node FROM p{lv} p "
+            f"LEFT JOIN edges e ON p.tree = e.tree AND p.node = e.node "
+            f"AND e.v = {_value_case('p.attr_pos', 'p.')} "
+            f"JOIN defaults d ON p.tree = d.tree AND p.node = d.node WHERE NOT p.is_leaf)",
+        ]
+    ctes.append("preds AS (" + " UNION ALL ".join(
+        f"SELECT p.tree, p.row_id, p.prediction, n.n AS leaf_n FROM p{lv} p JOIN nodes n "
+        f"ON p.tree = n.tree AND p.node = n.node WHERE p.is_leaf" for lv in range(LEVELS)) + ")")
+    return ",\n".join(ctes)
+
+
+@register("bagged_fit", f"""
+WITH {_fit_sql()}
+SELECT CAST(tree AS BIGINT) AS tree, node, CAST(depth AS INTEGER) AS depth, n,
+       round(prediction * n, 2) / n AS prediction, is_leaf, attr_pos
+FROM nodes""")
 def q_bagged_fit(spark, base):
     """Every node of every tree."""
     model, _ = _model(spark, base)
-    return model.nodes.select("tree", "node", "depth", "n", "prediction", "is_leaf", "attr_pos")
+    return model.nodes.select("tree", "node", "depth", "n", _on_cent_grid("prediction", "n"),
+                              "is_leaf", "attr_pos")
 
 
-@register("bagged_predict")
+@register("bagged_predict", f"""
+WITH {_predict_sql()}
+SELECT CAST(tree AS BIGINT) AS tree, row_id, round(prediction * leaf_n, 2) / leaf_n AS prediction, leaf_n
+FROM preds""")
 def q_bagged_predict(spark, base):
     """Every tree's prediction for every test row."""
     model, test = _model(spark, base)
-    return bg.predict_rows(model, test, "row_id")
+    return bg.predict_rows(model, test, "row_id").select(
+        "tree", "row_id", _on_cent_grid("prediction", "leaf_n"), "leaf_n")
 
 
-@register("ensemble_mean")
+@register("ensemble_mean", f"""
+WITH {_predict_sql()}
+SELECT row_id, {sql_sig_round('avg(prediction)')} AS prediction, count(*) AS n_trees
+FROM preds GROUP BY row_id""")
 def q_ensemble_mean(spark, base):
     """Equal-weight mean of the trees' predictions per test row."""
     model, test = _model(spark, base)
-    return bg.ensemble_mean(model, test, "row_id")
+    return bg.ensemble_mean(model, test, "row_id").select(
+        "row_id", sig_round(F.col("prediction")).alias("prediction"), "n_trees")
