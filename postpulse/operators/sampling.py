@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postpulse.functions.hashing import md5_number
+from postpulse.functions.hashing import md5_number, md5_words, replicate_key
 
 HASH_RANGE = 1 << 32  # md5_number is uniform on [0, 2^32)
 
@@ -64,7 +64,8 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
 
     A shard with fewer than ``size`` rows gives one sample (rep 0) holding all
     its rows. Sample ``rep`` of a shard is the ``size`` rows with the smallest
-    md5(seed|rep|id).
+    key (h1 + rep * h2) mod 2^32, where h1, h2 are two words of md5(seed|id)
+    (ties by id): one md5 per row, one multiply-add per (row, sample).
 
     Plan:
     1. Rows per shard (one aggregate; its result has one row per shard and is
@@ -97,8 +98,10 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
         thr_map = F.create_map(*[x for k, v in thr.items() for x in (F.lit(k), F.lit(v))])
 
         def replicate(frame: DataFrame) -> DataFrame:
-            return (frame.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
-                         .withColumn("_u", md5_number(seed, F.col("rep"), F.col(id_col))))
+            h1, h2 = md5_words(seed, F.col(id_col))
+            return (frame.withColumn("_h1", h1).withColumn("_h2", h2)
+                         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+                         .withColumn("_u", replicate_key(F.col("_h1"), F.col("_h2"), F.col("rep"))))
 
         def top(frame: DataFrame) -> DataFrame:
             w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)

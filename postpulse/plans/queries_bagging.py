@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postpulse.catalog import register
-from postpulse.functions.hashing import sql_md5_number
+from postpulse.functions.hashing import sql_md5_number, sql_md5_words
 from postpulse.functions.numeric import sig_round, sql_sig_round
 from postpulse.operators.sampling import SAMPLE_SEED, SHARD_SEED, SPLIT_SEED, hash_split
 from postpulse.plans import bagged as bg
@@ -20,6 +20,7 @@ from postpulse.sources import fixtures as fx
 ATTRS = [bg.Attr(a) for a in fx.BAGGING_ATTRS]
 TARGET = fx.BAGGING_TARGET
 N_SHARDS = bg.MAX_SPLIT_NUMBER + 1
+_H1, _H2 = sql_md5_words(SAMPLE_SEED, "row_id")
 
 
 def _split(spark, base):
@@ -47,7 +48,7 @@ rep AS (
 s AS (
   SELECT * EXCLUDE (rn), shard * {bg.SAMPLE_NUMBER} + rep AS tree FROM (
     SELECT *, row_number() OVER (PARTITION BY shard, rep
-              ORDER BY {sql_md5_number(SAMPLE_SEED, 'rep', 'row_id')}, row_id) AS rn FROM rep)
+              ORDER BY ({_H1} + rep * {_H2}) % 4294967296, row_id) AS rn FROM rep)
   WHERE rn <= {bg.SAMPLE_SIZE})"""
 
 

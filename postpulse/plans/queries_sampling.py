@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postpulse.catalog import register
-from postpulse.functions.hashing import sql_md5_number
+from postpulse.functions.hashing import sql_md5_number, sql_md5_words
 from postpulse.operators import sampling as smp
 from postpulse.sources.tables import table
 
+_H1, _H2 = sql_md5_words(smp.SAMPLE_SEED, "o_orderkey")
 SAMPLE_NUMBER = 4
 SAMPLE_SIZE = 1360
 MAX_SPLIT = 10
@@ -57,7 +58,7 @@ r AS (
   FROM b JOIN c ON b.shard = c.shard)
 SELECT o_orderkey, shard, CAST(rep AS INTEGER) AS rep FROM (
   SELECT *, row_number() OVER (PARTITION BY shard, rep
-                               ORDER BY {sql_md5_number(smp.SAMPLE_SEED, 'rep', 'o_orderkey')}, o_orderkey) AS rn
+                               ORDER BY ({_H1} + rep * {_H2}) % 4294967296, o_orderkey) AS rn
   FROM r)
 WHERE rn <= {SAMPLE_SIZE}""")
 def q_shard_sample(spark, base):

@@ -51,12 +51,20 @@ def _num(*parts):
     return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:8], 16)
 
 
+def _words(seed, i):
+    h = hashlib.md5(f"{seed}|{i}".encode()).hexdigest()
+    return int(h[:8], 16), int(h[8:16], 16) | 1
+
+
 def _brute_sample(ids_by_shard, number, size, seed):
     out = set()
     for shard, ids in ids_by_shard.items():
         reps = range(number) if len(ids) >= size else [0]
         for rep in reps:
-            chosen = sorted(ids, key=lambda i: (_num(seed, rep, i), i))[:size]
+            def key(i):
+                h1, h2 = _words(seed, i)
+                return ((h1 + rep * h2) % (1 << 32), i)
+            chosen = sorted(ids, key=key)[:size]
             out |= {(i, shard, rep) for i in chosen}
     return out
 
