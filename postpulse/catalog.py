@@ -29,14 +29,9 @@ def register(key: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the modules fills the registries
-    from postpulse.plans import queries_engagement  # noqa: F401
-    for mod in ("queries_sources", "queries_features", "queries_sampling",
-                "queries_models", "queries_bagging"):
-        try:
-            __import__(f"postpulse.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules still being written
-            if mod not in str(e):
-                raise
+    from postpulse.plans import (queries_bagging, queries_engagement,  # noqa: F401
+                                 queries_features, queries_models, queries_sampling,
+                                 queries_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,11 +19,6 @@ def md5_number(seed, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*pieces)), 1, 8), 16, 10).cast("long")
 
 
-def md5_bucket(seed, id_col: Column, buckets: int) -> Column:
-    """Bucket in [0, buckets) from md5_number."""
-    return (md5_number(seed, id_col) % buckets).cast("int")
-
-
 def sql_md5_number(seed, *exprs: str) -> str:
     """The same number written as DuckDB SQL (used by the oracles)."""
     inner = f"'{seed}'"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postpulse.functions import cleaning
-from postpulse.functions.timeparts import epoch_of, time_parts
+from postpulse.functions.timeparts import epoch_of, epoch_of_col, time_parts
 from postpulse.operators.features import with_time_parts
 from postpulse.session import scratch_path
 from postpulse.sources import csvio
@@ -101,3 +101,9 @@ def test_time_parts_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert (r.hour, r.day, r.month) == (0, 1, 4)
+
+
+def test_epoch_of_date_columns(spark):
+    df = spark.createDataFrame([(2021, 4, 1), (2020, 10, 1)], "y int, m int, d int")
+    got = [r.e for r in df.select(epoch_of_col(F.col("y"), F.col("m"), F.col("d")).alias("e")).collect()]
+    assert got == [1617235200, 1601510400]
