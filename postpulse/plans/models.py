@@ -95,15 +95,19 @@ def prepare(model_rows: DataFrame, id_col: str = "event_id", label: str = "score
     return data.withColumn("split", split_label(F.col(id_col), train_percent)), idx_cols
 
 
-def mean_baseline(data: DataFrame, label: str = "label") -> DataFrame:
-    """Mean of train labels as the prediction for every test row; test RMSE.
-
-    The mean is sum / count(*) (a null label is left out of the sum but
-    counted). It is a scalar subquery: computed once by Spark and folded into
-    the test-side projection, with no driver round trip and no join.
+def mean_baseline(rows: DataFrame, id_col: str = "event_id", label: str = "score",
+                  train_percent: int = TRAIN_PERCENT) -> DataFrame:
+    """Mean of train scores as the prediction for every test row; test RMSE.
+
+    Works on the model table itself (no features are needed). The mean is
+    sum / count(*): a null score is left out of the sum but counted. The RMSE
+    is over test rows with a score (the original fails on a null one). The
+    mean is a scalar subquery: computed once by Spark and folded into the
+    test-side projection, with no driver round trip and no join.
     """
-    train = data.filter(F.col("split") == "train")
-    test = data.filter(F.col("split") == "test")
+    lab = split_label(F.col(id_col), train_percent)
+    train = rows.filter(lab == "train")
+    test = rows.filter(lab == "test")
     # one scalar subquery (a struct) gives both numbers from a single pass
     tr = train.select(F.struct(F.count(F.lit(1)).alias("n"),
                                (F.sum(label) / F.count(F.lit(1))).alias("m")).alias("s")).scalar()

@@ -43,15 +43,14 @@ def _prepared(spark, base):
 @register("mean_baseline", f"""
 WITH {MODEL_SQL},
 s AS (SELECT score, CASE WHEN {sql_md5_number(SPLIT_SEED, 'event_id')} % 100 < 70
-                         THEN 'train' ELSE 'test' END AS split FROM m WHERE score IS NOT NULL),
+                         THEN 'train' ELSE 'test' END AS split FROM m),
 tr AS (SELECT count(*) AS n, sum(score) / count(*) AS mean FROM s WHERE split = 'train')
 SELECT (SELECT n FROM tr) AS n_train, count(*) AS n_test,
        round((SELECT mean FROM tr), 6) AS mean_score,
        round(sqrt(avg(power(score - (SELECT mean FROM tr), 2))), 6) AS rmse
 FROM s WHERE split = 'test'""")
 def q_mean_baseline(spark, base):
-    data, _ = _prepared(spark, base)
-    return models.mean_baseline(data)
+    return models.mean_baseline(fx.model_rows(spark, base))
 
 
 @register("string_index", _index_sql(
