@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.functions.cleaning import fill_blank_zero, to_int
+from postpulse.sources.csvio import write_delimited
 from postpulse.sources.fixtures import DELETED_AUTHOR
 
 POST_COLUMNS = ["author", "link", "num_comments", "subreddit"]
@@ -82,3 +83,14 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, key: str = "subreddit",
 def top_groups_rows(posts: DataFrame, k: int = 10) -> DataFrame:
     top = engagement_topk(engagement_by_group(clean_posts(posts)), k)
     return rows_of_groups(posts, top, bounded_rows=k)
+
+
+ENGAGEMENT_SCHEMA = "subreddit string, num_author long, num_links long"
+
+
+def write_engagement(by_group: DataFrame, path: str) -> str:
+    """The reducer's output file: subreddit,num_author,num_links per line.
+
+    The original printed a trailing comma (an empty fourth field); it is not kept.
+    """
+    return write_delimited(by_group.select("subreddit", "num_author", "num_links"), path, header=False)

@@ -1,9 +1,12 @@
-"""Engagement keys: engagement_topk, engagement_by_group, link_totals, rows_of_top_groups."""
+"""Engagement keys: engagement_topk, engagement_by_group, link_totals, rows_of_top_groups,
+engagement_csv."""
 
 from __future__ import annotations
 
 from postpulse.catalog import register
 from postpulse.operators import engagement as eng
+from postpulse.session import scratch_path
+from postpulse.sources import csvio
 from postpulse.sources import fixtures as fx
 
 # DuckDB form of the posts binding and of the cleaning step.
@@ -55,3 +58,11 @@ top AS (SELECT subreddit FROM bygroup ORDER BY num_links DESC, subreddit ASC LIM
 SELECT * FROM posts WHERE subreddit IN (SELECT subreddit FROM top)""")
 def q_rows_of_top_groups(spark, base):
     return eng.top_groups_rows(fx.posts(spark, base), 10)
+
+
+@register("engagement_csv", f"WITH {POSTS_SQL} SELECT * FROM bygroup")
+def q_engagement_csv(spark, base):
+    """Engagement table written as headerless CSV, then read back with its schema."""
+    path = scratch_path(spark, "engagement")
+    eng.write_engagement(q_engagement_by_group(spark, base), path)
+    return csvio.read_delimited(spark, path, eng.ENGAGEMENT_SCHEMA, header=False)
