@@ -8,8 +8,9 @@ level per iteration, with grouped aggregates:
    (``shard_sample``: ``sample_number`` samples of ``sample_size`` rows per
    shard, or the whole shard when it is smaller) -> tree id.
 2. Samples are collapsed to *cells*: one row per (tree, attribute tuple) with
-   n, sum y, sum y^2. Split choice needs only these sufficient statistics, so
-   a repeated tuple costs one row however many copies it has.
+   n, sum y, sum y^2 (y shifted by the training mean). Split choice needs only
+   these sufficient statistics, so a repeated tuple costs one row however many
+   copies it has.
 3. Per level, for every active (tree, node):
      node stats                     groupBy(tree, node)
      branch stats per attribute     explode(attr, value) -> groupBy(tree, node, attr, value)
@@ -49,7 +50,7 @@ MIN_RECORD = 1
 
 ROOT = ""
 REL_DIGITS = 9          # errors are compared after rounding err / node_mse to 9 digits
-ZERO_ERROR = 1e-12      # node mse below this share of its mean square counts as zero
+ZERO_ERROR = 1e-12      # node mse below this share of its mean square of (y - shift) is zero
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,19 @@ def sample_trees(rows: DataFrame, id_col: str, max_split: int = MAX_SPLIT_NUMBER
     return s.withColumn("tree", (F.col("shard") * F.lit(number) + F.col("rep")).cast("long"))
 
 
-def to_cells(samples: DataFrame, attrs: list[Attr], target: str) -> DataFrame:
-    y = F.col(target).cast("double")
+def target_shift(rows: DataFrame, target: str) -> float:
+    """Mean target of the training rows (one scalar read on the driver).
+
+    Cells hold sums of y - shift: with the shift near the data's mean,
+    sum(y^2) no longer dwarfs the spread, so error sums keep their digits even
+    for targets with a large mean and a small variance.
+    """
+    v = rows.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    return float(v) if v is not None else 0.0
+
+
+def to_cells(samples: DataFrame, attrs: list[Attr], target: str, shift: float = 0.0) -> DataFrame:
+    y = F.col(target).cast("double") - F.lit(float(shift))
     return samples.groupBy("tree", *[a.name for a in attrs]).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("s1"), F.sum(y * y).alias("s2"))
 
@@ -158,9 +170,11 @@ class BaggedModel:
     edges: DataFrame   # tree, node, value, child
     attrs: list[Attr]
     trees: DataFrame   # tree
+    shift: float = 0.0  # added back to every node mean
 
 
-def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None) -> BaggedModel:
+def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
+              shift: float = 0.0) -> BaggedModel:
     """Grow every tree of ``cells`` level by level."""
     from postpulse.session import shared_dir
     shared_dir(cells.sparkSession)
@@ -188,7 +202,7 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
             cond = F.when(F.col("attr_pos") == i, F.col(_mean_col(i))).otherwise(cond)
         decided = (stats.join(best, ["tree", "node"], "left")
                    .select("tree", "node", _depth_of(F.col("node")).alias("depth"), F.col("N").alias("n"),
-                           F.col("mean").alias("prediction"),
+                           (F.col("mean") + F.lit(float(shift))).alias("prediction"),
                            F.col("attr_pos").isNull().alias("is_leaf"),
                            "attr_pos", cond.alias("split_cond")))
         decided = decided.persist(StorageLevel.MEMORY_AND_DISK)
@@ -235,15 +249,16 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None)
     for h in held:
         h.unpersist()
     trees = nodes.filter(F.col("node") == ROOT).select("tree")
-    return BaggedModel(nodes=nodes, edges=edges, attrs=attrs, trees=trees)
+    return BaggedModel(nodes=nodes, edges=edges, attrs=attrs, trees=trees, shift=shift)
 
 
 def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,
         max_split: int = MAX_SPLIT_NUMBER, number: int = SAMPLE_NUMBER, size: int = SAMPLE_SIZE,
         max_depth: int | None = None) -> BaggedModel:
     """Sample, collapse to cells and grow all trees."""
-    cells = to_cells(sample_trees(rows, id_col, max_split, number, size), attrs, target)
-    return fit_cells(cells, attrs, max_depth)
+    shift = target_shift(rows, target)
+    cells = to_cells(sample_trees(rows, id_col, max_split, number, size), attrs, target, shift)
+    return fit_cells(cells, attrs, max_depth, shift)
 
 
 def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:

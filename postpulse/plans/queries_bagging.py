@@ -28,9 +28,11 @@ def _split(spark, base):
 
 
 def _root_cells(spark, base, attrs):
+    """Root cells of every tree (y shifted by the training mean) and that shift."""
     train, _ = _split(spark, base)
+    shift = bg.target_shift(train, TARGET)
     samples = bg.sample_trees(train, "row_id")
-    return bg.to_cells(samples, attrs, TARGET).withColumn("node", F.lit(bg.ROOT))
+    return bg.to_cells(samples, attrs, TARGET, shift).withColumn("node", F.lit(bg.ROOT)), shift
 
 
 # DuckDB: bagging rows, split, shards and samples with the default options.
@@ -59,8 +61,10 @@ SELECT CAST(tree AS BIGINT) AS tree, count(*) AS n, round(sum(y), 2) / count(*)
 FROM s GROUP BY tree""")
 def q_node_mse(spark, base):
     """Root-node size, mean and mean squared error of every tree."""
-    st = bg.node_stats(_root_cells(spark, base, ATTRS), ATTRS)
-    return st.select("tree", F.col("N").alias("n"), (F.round(F.col("S1"), 2) / F.col("N")).alias("mean"),
+    cells, shift = _root_cells(spark, base, ATTRS)
+    st = bg.node_stats(cells, ATTRS)
+    total = F.col("S1") + F.col("N") * F.lit(shift)
+    return st.select("tree", F.col("N").alias("n"), (F.round(total, 2) / F.col("N")).alias("mean"),
                      sig_round(F.col("mse")).alias("mse"))
 
 
@@ -77,7 +81,7 @@ BRANCH_SQL = " UNION ALL ".join(
 
 @register("best_split", f"""
 WITH {SAMPLES_SQL},
-node AS (SELECT tree, count(*) AS N, var_pop(y) AS mse, avg(y * y) AS ms FROM s GROUP BY tree),
+node AS (SELECT tree, count(*) AS N, var_pop(y) AS mse, avg((y - (SELECT avg(y) FROM r)) * (y - (SELECT avg(y) FROM r))) AS ms FROM s GROUP BY tree),
 br AS ({BRANCH_SQL}),
 pa AS (SELECT tree, attr_pos, count(*) AS k, sum(sse) AS SSE FROM br GROUP BY tree, attr_pos),
 cand AS (
@@ -90,7 +94,7 @@ SELECT CAST(tree AS BIGINT) AS tree, attr_pos, {_attr_case('attr_pos')} AS attr,
 FROM ranked WHERE rn = 1""")
 def q_best_split(spark, base):
     """Best root split of every tree: attribute, weighted error, branch count."""
-    active = _root_cells(spark, base, ATTRS)
+    active, _ = _root_cells(spark, base, ATTRS)
     st = bg.node_stats(active, ATTRS)
     br = bg.branch_stats(active, st, ATTRS)
     best = bg.best_splits(br, st)
@@ -118,7 +122,7 @@ SELECT CAST(br.tree AS BIGINT) AS tree, {sql_sig_round('any_value(node.m)')} AS
 FROM br JOIN node ON br.tree = node.tree GROUP BY br.tree""")
 def q_numeric_mean_split(spark, base):
     """Root split of every tree on a numeric attribute at its mean: < left, else right."""
-    active = _root_cells(spark, base, NUM_ATTRS)
+    active, _ = _root_cells(spark, base, NUM_ATTRS)
     st = bg.node_stats(active, NUM_ATTRS)
     br = bg.branch_stats(active, st, NUM_ATTRS)
     agg = br.groupBy("tree", "node").agg(
@@ -167,7 +171,7 @@ def _fit_sql() -> str:
             for i, a in enumerate(ATTRS))
         ctes += [
             f"st{lv} AS (SELECT tree, node, count(*) AS cnt, avg(y) AS mean, var_pop(y) AS mse, "
-            f"avg(y * y) AS ms FROM a{lv} GROUP BY tree, node)",
+            f"avg((y - (SELECT avg(y) FROM r)) * (y - (SELECT avg(y) FROM r))) AS ms FROM a{lv} GROUP BY tree, node)",
             f"br{lv} AS ({branches})",
             f"pa{lv} AS (SELECT tree, node, attr_pos, count(*) AS k, sum(sse) AS sse_tot "
             f"FROM br{lv} GROUP BY tree, node, attr_pos)",

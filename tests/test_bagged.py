@@ -17,12 +17,15 @@ def _mse(ys):
     return sum((y - m) ** 2 for y in ys) / len(ys)
 
 
-def build(recs, attrs):
-    """recs: list of (tuple_of_attr_values, y). Returns a nested dict tree."""
+def build(recs, attrs, shift=0.0):
+    """recs: list of (tuple_of_attr_values, y). Returns a nested dict tree.
+
+    Zero error means mse below 1e-12 of the mean square of (y - shift).
+    """
     ys = [y for _, y in recs]
     mean = sum(ys) / len(ys)
     node_mse = _mse(ys)
-    if len(recs) <= 1 or node_mse <= 1e-12 * (sum(y * y for y in ys) / len(ys)):
+    if len(recs) <= 1 or node_mse <= 1e-12 * (sum((y - shift) ** 2 for y in ys) / len(ys)):
         return {"leaf": mean}
     best = None
     for i, a in enumerate(attrs):
@@ -44,7 +47,7 @@ def build(recs, attrs):
     if best is None:
         return {"leaf": mean}
     _, i, xm, groups = best
-    return {"attr": i, "cond": xm, "kids": {v: build(g, attrs) for v, g in groups.items()}}
+    return {"attr": i, "cond": xm, "kids": {v: build(g, attrs, shift) for v, g in groups.items()}}
 
 
 def apply(node, values, attrs):
@@ -146,3 +149,21 @@ def test_mixed_numeric_and_categorical_match_recursion(spark):
     root = build(recs, attrs)
     for r in data:
         assert preds[r[0]] == pytest.approx(apply(root, (r[1], r[2]), attrs), rel=1e-9)
+
+
+def test_large_mean_small_spread_target_matches_recursion(spark):
+    attrs = [bg.Attr("a"), bg.Attr("b")]
+    data = [(i, f"a{i % 3}", f"b{(i * 7) % 5}", 1.6e9 + (i % 3) * 2.0 + ((i * 7) % 5) * 0.5 + (i % 11) * 0.01)
+            for i in range(300)]
+    df = spark.createDataFrame(data, "row_id long, a string, b string, y double")
+    model = bg.fit(df, "row_id", attrs, "y", max_split=2)
+    assert abs(model.shift - sum(r[3] for r in data) / len(data)) < 1e-3
+    samples = bg.sample_trees(df, "row_id", max_split=2)
+    by_tree = defaultdict(list)
+    for r in samples.collect():
+        by_tree[r.tree].append(((r.a, r.b), r.y))
+    got = {(r.tree, r.row_id): r.prediction for r in bg.predict_rows(model, df, "row_id").collect()}
+    for tree, recs in by_tree.items():
+        root = build(recs, attrs, model.shift)
+        for rid, a, b, _ in data:
+            assert got[(tree, rid)] == pytest.approx(apply(root, (a, b), attrs), rel=1e-12)
