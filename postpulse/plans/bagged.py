@@ -242,8 +242,8 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
             edges = edges.unionByName(p)
     else:
         edges = cells.sparkSession.createDataFrame([], "tree long, node string, value string, child string")
-    # one flat table each (edges of a level are a join of two checkpointed
-    # tables), so prediction joins read a plain scan per level
+    # one flat table each (written once from the persisted per-level tables),
+    # so prediction joins read a plain scan per level
     nodes = _checkpoint(nodes)
     edges = _checkpoint(edges)
     for h in held:
