@@ -49,6 +49,7 @@ MIN_RECORD = 1
 # ------------------------------------------------------------------------------
 
 ROOT = ""
+MISSING = "\u2205"        # branch value of a missing category
 REL_DIGITS = 9          # errors are compared after rounding err / node_mse to 9 digits
 ZERO_ERROR = 1e-12      # node mse below this share of its mean square of (y - shift) is zero
 
@@ -101,10 +102,17 @@ def node_stats(active: DataFrame, attrs: list[Attr]) -> DataFrame:
               .withColumn("mse", F.greatest(F.col("S2") / F.col("N") - mean * mean, F.lit(0.0))))
 
 
+def _category(name: str) -> Column:
+    """A categorical value as text; a missing value is a category of its own."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+
+
 def _branch_value(a: Attr, mean_col: Column | None) -> Column:
+    """Branch of a row: its category, or 'L'/'R' against the node mean (a missing
+    number goes right, like a value that is not below the mean)."""
     if a.kind == "N":
         return F.when(F.col(a.name) < mean_col, F.lit("L")).otherwise(F.lit("R"))
-    return F.col(a.name).cast("string")
+    return _category(a.name)
 
 
 def branch_stats(active: DataFrame, stats: DataFrame, attrs: list[Attr]) -> DataFrame:
@@ -223,9 +231,7 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
         inner = decided.filter(~F.col("is_leaf")).select("tree", "node", "attr_pos", "split_cond")
         if branches is None or inner.isEmpty():
             break
-        values = F.array(*[
-            (F.when(F.col(a.name) < F.col("split_cond"), F.lit("L")).otherwise(F.lit("R"))
-             if a.kind == "N" else F.col(a.name).cast("string")) for a in attrs])
+        values = F.array(*[_branch_value(a, F.col("split_cond")) for a in attrs])
         moved = (active.join(inner, ["tree", "node"])
                  .withColumn("_v", F.element_at(values, F.col("attr_pos") + 1))
                  .withColumn("node", F.concat(F.col("node"), F.lit("/"),
@@ -276,9 +282,7 @@ def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
     nodes = model.nodes.select("tree", "node", "is_leaf", "prediction", F.col("n").alias("leaf_n"),
                                "attr_pos", "split_cond", "default_child")
     max_depth = model.nodes.agg(F.max("depth")).first()[0] or 0
-    values = F.array(*[
-        (F.when(F.col(a.name) < F.col("split_cond"), F.lit("L")).otherwise(F.lit("R"))
-         if a.kind == "N" else F.col(a.name).cast("string")) for a in attrs])
+    values = F.array(*[_branch_value(a, F.col("split_cond")) for a in attrs])
     done = []
     for _ in range(max_depth + 1):
         j = state.join(nodes, ["tree", "node"])
@@ -298,7 +302,8 @@ def predict_rows(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
     """(tree, id, prediction, leaf_n): every tree's prediction for every row."""
     names = [a.name for a in model.attrs]
     per_tuple = predict_tuples(model, rows)
-    return rows.select(id_col, *names).join(per_tuple, names).select("tree", id_col, "prediction", "leaf_n")
+    return _join_tuples(rows.select(id_col, *names), per_tuple, names).select(
+        "tree", id_col, "prediction", "leaf_n")
 
 
 def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
@@ -310,4 +315,14 @@ def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame
     names = [a.name for a in model.attrs]
     per_tuple = predict_tuples(model, rows).groupBy(*names).agg(
         F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n_trees"))
-    return rows.select(id_col, *names).join(per_tuple, names).select(id_col, "prediction", "n_trees")
+    return _join_tuples(rows.select(id_col, *names), per_tuple, names).select(
+        id_col, "prediction", "n_trees")
+
+
+def _join_tuples(rows: DataFrame, per_tuple: DataFrame, names: list[str]) -> DataFrame:
+    """Rows joined to per-tuple results on the attribute tuple, null-safe, so a
+    row with a missing attribute keeps the prediction of its default branch."""
+    t = per_tuple.select(*[F.col(n).alias(f"_t_{n}") for n in names],
+                         *[c for c in per_tuple.columns if c not in names])
+    cond = [rows[n].eqNullSafe(t[f"_t_{n}"]) for n in names]
+    return rows.join(t, cond).drop(*[f"_t_{n}" for n in names])

@@ -74,7 +74,7 @@ def _attr_case(col: str) -> str:
 
 
 BRANCH_SQL = " UNION ALL ".join(
-    f"SELECT tree, {i} AS attr_pos, CAST({a.name} AS VARCHAR) AS v, count(*) AS n, "
+    f"SELECT tree, {i} AS attr_pos, coalesce(CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS n, "
     f"var_pop(y) * count(*) AS sse FROM s GROUP BY tree, {a.name}"
     for i, a in enumerate(ATTRS))
 
@@ -157,7 +157,8 @@ ATTR_COLS = ", ".join(a.name for a in ATTRS)
 
 
 def _value_case(pos: str, prefix: str = "") -> str:
-    whens = " ".join(f"WHEN {i} THEN CAST({prefix}{a.name} AS VARCHAR)" for i, a in enumerate(ATTRS))
+    whens = " ".join(f"WHEN {i} THEN coalesce(CAST({prefix}{a.name} AS VARCHAR), '{bg.MISSING}')"
+                     for i, a in enumerate(ATTRS))
     return f"(CASE {pos} {whens} END)"
 
 
@@ -166,7 +167,7 @@ def _fit_sql() -> str:
             f"a0 AS (SELECT tree, row_id, {ATTR_COLS}, y, '' AS node FROM s)"]
     for lv in range(LEVELS):
         branches = " UNION ALL ".join(
-            f"SELECT tree, node, {i} AS attr_pos, CAST({a.name} AS VARCHAR) AS v, count(*) AS cnt, "
+            f"SELECT tree, node, {i} AS attr_pos, coalesce(CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS cnt, "
             f"var_pop(y) * count(*) AS sse FROM a{lv} GROUP BY tree, node, {a.name}"
             for i, a in enumerate(ATTRS))
         ctes += [

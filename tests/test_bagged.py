@@ -167,3 +167,18 @@ def test_large_mean_small_spread_target_matches_recursion(spark):
         root = build(recs, attrs, model.shift)
         for rid, a, b, _ in data:
             assert got[(tree, rid)] == pytest.approx(apply(root, (a, b), attrs), rel=1e-12)
+
+
+def test_missing_attribute_follows_default_branch(spark):
+    attrs = [bg.Attr("a")]
+    rows = [(1, "b", 2.0), (2, "b", 2.0), (3, "c", 7.0), (4, "c", 7.0)]
+    _, preds = _fit_predict(spark, rows, attrs, [(9, None, 0.0)])
+    assert preds == {9: 2.0}
+
+
+def test_missing_category_is_its_own_branch(spark):
+    attrs = [bg.Attr("a")]
+    rows = [(1, "b", 2.0), (2, "b", 2.0), (3, None, 7.0), (4, None, 7.0)]
+    model, preds = _fit_predict(spark, rows, attrs, [(9, None, 0.0), (10, "b", 0.0)])
+    assert preds == {9: 7.0, 10: 2.0}
+    assert model.nodes.filter(F.col("node").isNull()).count() == 0
