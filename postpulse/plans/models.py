@@ -9,7 +9,9 @@ from the original scripts, all for repeatability or cost:
   pass over the data instead of one per column);
 * the indexed table is persisted before cross-validation's 151 fits and the
   feature indexer is applied once, not inside each of them;
-* cross-validation gets a seed and runs fits in parallel.
+* cross-validation gets a seed and runs 16 fits at a time (hides per-job
+  scheduling latency; on local[8] 16 beat 8 by ~30% and 30 by ~35% for the
+  forest grid).
 
 Indexers are fitted on all rows before the split, as in the original;
 ``fit_on_train=True`` fits them on the training rows only.
@@ -148,7 +150,7 @@ def tree_rmse(data: DataFrame, kind: str = "dt", **params) -> DataFrame:
 
 
 def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_grid=BINS_GRID,
-               folds: int = NUM_FOLDS, parallelism: int = 8, seed: int = 42) -> DataFrame:
+               folds: int = NUM_FOLDS, parallelism: int = 16, seed: int = 42) -> DataFrame:
     """Grid search with k-fold cross-validation, refit, test RMSE (M4, M5, M6).
 
     The feature indexer is fitted once (on all rows, as in the original) and
