@@ -15,6 +15,8 @@ from postpulse.functions.hashing import md5_number, md5_words, replicate_key
 
 HASH_RANGE = 1 << 32  # md5_number is uniform on [0, 2^32)
 
+BROADCAST_ROWS = 100_000   # driver-built key tables up to this size are broadcast
+
 SPLIT_SEED = 42
 SHARD_SEED = 43
 SAMPLE_SEED = 44
@@ -70,7 +72,8 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     Plan:
     1. Rows per shard (one aggregate; its result has one row per shard and is
        read by the driver). Small shards pass through as sample 0 with no
-       hashing or sorting at all.
+       hashing or sorting at all. Shard lists and thresholds go back as small
+       tables, broadcast only up to ``BROADCAST_ROWS`` rows.
     2. Rows of big shards are replicated per sample and kept only as
        *candidates* when their hash is below a per-shard threshold chosen so a
        sample has about size + margin*sqrt(size) candidates.
@@ -84,18 +87,26 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     counts = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n")).collect()
     if len(counts) * max(number, 1) > max_groups:
         raise ValueError(f"{len(counts)} shards x {number} samples exceeds {max_groups} groups")
+    spark = df.sparkSession
+    key_type = df.schema[shard_col].dataType.simpleString()
     sizes = {r[0]: r[1] for r in counts}
     small = [k for k, n in sizes.items() if n < size]
     big = {k: n for k, n in sizes.items() if n >= size}
     cols = list(df.columns) + ["rep"]
+
+    def keyed(rows: list, schema: str) -> DataFrame:
+        """A driver-built key table, broadcast only below a checked row count."""
+        t = spark.createDataFrame(rows, schema)
+        return F.broadcast(t) if len(rows) <= BROADCAST_ROWS else t
+
     parts = []
     if small:
-        parts.append(df.filter(F.col(shard_col).isin(small)).withColumn("rep", F.lit(0)))
+        small_keys = keyed([(k,) for k in small], f"{shard_col} {key_type}")
+        parts.append(df.join(small_keys, shard_col, "left_semi").withColumn("rep", F.lit(0)))
     if big:
-        spark = df.sparkSession
-        thr = {k: min(float(HASH_RANGE), math.ceil((size + math.sqrt(size) * margin + 16) * HASH_RANGE / n))
-               for k, n in big.items()}
-        thr_map = F.create_map(*[x for k, v in thr.items() for x in (F.lit(k), F.lit(v))])
+        thr = keyed([(k, float(min(HASH_RANGE, math.ceil((size + math.sqrt(size) * margin + 16)
+                                                           * HASH_RANGE / n))))
+                     for k, n in big.items()], f"{shard_col} {key_type}, _thr double")
 
         def replicate(frame: DataFrame) -> DataFrame:
             h1, h2 = md5_words(seed, F.col(id_col))
@@ -107,16 +118,17 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
             w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
             return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size)
 
-        in_big = df.filter(F.col(shard_col).isin(list(big)))
-        cand = replicate(in_big).filter(F.col("_u") < F.element_at(thr_map, F.col(shard_col)))
+        in_big = df.join(thr, shard_col)
+        cand = replicate(in_big).filter(F.col("_u") < F.col("_thr"))
         have = {(r[0], r[1]): r[2] for r in
                 cand.groupBy(shard_col, "rep").agg(F.count(F.lit(1))).collect()}
         short = [(k, r) for k in big for r in range(number) if have.get((k, r), 0) < size]
         fast = top(cand)
         if short:
-            redo = F.broadcast(spark.createDataFrame(short, f"{shard_col} {df.schema[shard_col].dataType.simpleString()}, rep int"))
+            redo = keyed(short, f"{shard_col} {key_type}, rep int")
             fast = fast.join(redo, [shard_col, "rep"], "left_anti")
-            exact = replicate(in_big.filter(F.col(shard_col).isin(sorted({k for k, _ in short}))))
+            redo_shards = keyed(sorted({(k,) for k, _ in short}), f"{shard_col} {key_type}")
+            exact = replicate(in_big.join(redo_shards, shard_col, "left_semi"))
             parts.append(top(exact.join(redo, [shard_col, "rep"], "left_semi")).select(*cols))
         parts.append(fast.select(*cols))
     if not parts:

@@ -49,6 +49,7 @@ MIN_RECORD = 1
 # ------------------------------------------------------------------------------
 
 ROOT = ""
+MAX_TREES = 1_000_000   # tree ids are expanded per test tuple from a literal list
 MISSING = "\u2205"        # branch value of a missing category
 REL_DIGITS = 9          # errors are compared after rounding err / node_mse to 9 digits
 ZERO_ERROR = 1e-12      # node mse below this share of its mean square of (y - shift) is zero
@@ -275,7 +276,9 @@ def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
     """
     attrs = model.attrs
     names = [a.name for a in attrs]
-    tree_ids = [r[0] for r in model.trees.collect()]
+    tree_ids = [r[0] for r in model.trees.limit(MAX_TREES + 1).collect()]
+    if len(tree_ids) > MAX_TREES:
+        raise ValueError(f"more than {MAX_TREES} trees; lower sample_number or max_split")
     state = (tuples.select(*names).distinct()
              .withColumn("tree", F.explode(F.array(*[F.lit(t).cast("long") for t in tree_ids])))
              .withColumn("node", F.lit(ROOT)))
