@@ -204,8 +204,8 @@ def _predict_sql() -> str:
             f"CAST(month(o_orderdate) AS VARCHAR) AS o_month, CAST(day(o_orderdate) AS VARCHAR) AS o_day "
             f"FROM orders WHERE NOT ({sql_md5_number(SPLIT_SEED, 'o_orderkey')} % 100 < 70)")
     ctes = [_fit_sql(),
-            f"t0 AS (SELECT tr.tree, x.row_id, {', '.join('x.' + a.name for a in ATTRS)}, '' AS node "
-            f"FROM ({test}) x JOIN (SELECT DISTINCT tree FROM nodes) tr ON true)"]
+            f"t0 AS (SELECT unnest((SELECT list(DISTINCT tree) FROM nodes)) AS tree, x.row_id, "
+            f"{', '.join('x.' + a.name for a in ATTRS)}, '' AS node FROM ({test}) x)"]
     for lv in range(LEVELS):
         ctes += [
             f"p{lv} AS (SELECT t.*, n.is_leaf, n.prediction, n.attr_pos FROM t{lv} t JOIN nodes n "
