@@ -33,3 +33,11 @@ def test_baseline_counts_null_score_in_divisor(spark):
     assert r.n_train == len(train)
     assert abs(r.mean_score - round(want, 6)) < 1e-9
     assert abs(r.rmse - round(10 - want, 6)) < 1e-6
+
+
+def test_indexers_fitted_on_train_only_keep_unseen(spark):
+    from postpulse.sources import fixtures as fx
+    rows = fx.model_rows(spark, "/root/testdata/sf0.001")
+    data, idx = models.prepare(rows, fit_on_train=True)
+    assert data.count() == rows.filter(F.col("score").isNotNull()).count()
+    assert set(data.select("split").distinct().toPandas()["split"]) == {"train", "test"}

@@ -107,3 +107,16 @@ def test_epoch_of_date_columns(spark):
     df = spark.createDataFrame([(2021, 4, 1), (2020, 10, 1)], "y int, m int, d int")
     got = [r.e for r in df.select(epoch_of_col(F.col("y"), F.col("m"), F.col("d")).alias("e")).collect()]
     assert got == [1617235200, 1601510400]
+
+
+def test_chunked_write_and_last_chunk(spark):
+    import glob
+    from postpulse.operators.slices import last_chunk
+    df = spark.range(95).withColumnRenamed("id", "k").coalesce(1)
+    path = scratch_path(spark, "chunks")
+    csvio.write_delimited(df, path, max_records_per_file=10)
+    files = glob.glob(path.replace("file:", "") + "/part-*.csv")
+    assert len(files) == 10                                   # 9 full chunks and one of 5
+    back = csvio.read_delimited(spark, path, "k long")
+    assert back.count() == 95
+    assert sorted(r.k for r in last_chunk(back, 10, "k").collect()) == list(range(90, 95))
