@@ -47,11 +47,16 @@ def link_totals(clean: DataFrame) -> DataFrame:
     return clean.groupBy("link").agg(F.sum("num_comments").alias("total_comments"))
 
 
-def engagement_by_group(clean: DataFrame) -> DataFrame:
-    """subreddit, num_author, num_links for every community."""
-    pairs = clean.groupBy("subreddit", "link").agg(
+def link_pairs(clean: DataFrame) -> DataFrame:
+    """One row per (community, link): rows and comments, aggregated map-side first."""
+    return clean.groupBy("subreddit", "link").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("num_comments").alias("comments"))
+
+
+def engagement_by_group(clean: DataFrame) -> DataFrame:
+    """subreddit, num_author, num_links for every community."""
+    pairs = link_pairs(clean)
     with_total = pairs.withColumn("link_total", F.sum("comments").over(Window.partitionBy("link")))
     return with_total.groupBy("subreddit").agg(
         F.sum("n_rows").alias("num_author"),

@@ -81,3 +81,17 @@ def test_topk_orders_by_links_then_name(spark):
     top = [(r.num_links, r.subreddit) for r in eng.engagement_topk(by, 10).collect()]
     full = sorted(((r.num_links, r.subreddit) for r in by.collect()), key=lambda t: (-t[0], t[1]))
     assert top == full[:10]
+
+
+def test_hot_link_with_a_third_of_rows(spark):
+    """One link holds a third of all rows across five communities."""
+    rows = []
+    for i in range(3000):
+        link = "HOT" if i % 3 == 0 else f"L{i % 97}"
+        rows.append((f"u{i % 13}", link, str(i % 7), f"s{i % 5}"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    clean = eng.clean_posts(df)
+    got = {r.subreddit: (r.num_author, r.num_links) for r in eng.engagement_by_group(clean).collect()}
+    assert got == _brute(rows)
+    # the hot link reaches the window as one row per community, not 1,000 rows
+    assert eng.link_pairs(clean).filter("link = 'HOT'").count() == 5
