@@ -182,3 +182,16 @@ def test_missing_category_is_its_own_branch(spark):
     model, preds = _fit_predict(spark, rows, attrs, [(9, None, 0.0), (10, "b", 0.0)])
     assert preds == {9: 7.0, 10: 2.0}
     assert model.nodes.filter(F.col("node").isNull()).count() == 0
+
+
+def test_hot_tuple_collapses_to_one_cell_per_tree(spark):
+    attrs = [bg.Attr("a"), bg.Attr("b")]
+    data = [(i, "hot" if i % 3 == 0 else f"a{i % 4}", "x" if i % 3 == 0 else f"b{i % 5}", float(i % 17))
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "row_id long, a string, b string, y double")
+    samples = bg.sample_trees(df, "row_id", max_split=3, number=2, size=300)
+    cells = bg.to_cells(samples, attrs, "y")
+    n_trees = samples.select("tree").distinct().count()
+    hot = cells.filter((F.col("a") == "hot") & (F.col("b") == "x"))
+    assert hot.count() == n_trees        # one row per tree, whatever its number of copies
+    assert hot.agg(F.sum("n")).first()[0] == samples.filter(F.col("a") == "hot").count()
