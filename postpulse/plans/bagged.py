@@ -141,13 +141,19 @@ def best_splits(branches: DataFrame, stats: DataFrame) -> DataFrame:
     Attributes with a single branch at the node are not candidates.
     """
     per_attr = branches.groupBy("tree", "node", "attr_pos").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("sse").alias("SSE"))
+        F.count(F.lit(1)).alias("k"), F.sum("sse").alias("SSE"), F.min("value").alias("vmin"))
     splittable = stats.filter(_splittable()).select("tree", "node", "N", "mse")
     cand = (per_attr.filter(F.col("k") >= 2).join(splittable, ["tree", "node"])
             .withColumn("err", F.col("SSE") / F.col("N"))
             .withColumn("key", F.round(F.col("err") / F.col("mse"), REL_DIGITS)))
-    best = cand.groupBy("tree", "node").agg(F.min(F.struct("key", "attr_pos", "err")).alias("b"))
-    return best.select("tree", "node", F.col("b.attr_pos").alias("attr_pos"), F.col("b.err").alias("err"))
+    best = cand.groupBy("tree", "node").agg(F.min(F.struct("key", "attr_pos", "err", "vmin")).alias("b"))
+    return best.select("tree", "node", F.col("b.attr_pos").alias("attr_pos"), F.col("b.err").alias("err"),
+                       F.col("b.vmin").alias("vmin"))
+
+
+def _child(node: Column, attr_pos: Column, value: Column) -> Column:
+    """Path of the child reached from ``node`` by ``attr_pos`` = ``value``."""
+    return F.concat(node, F.lit("/"), attr_pos.cast("string"), F.lit("="), value)
 
 
 def _depth_of(node: Column) -> Column:
@@ -199,7 +205,8 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
         final = max_depth is not None and depth >= max_depth
         if final:
             best = stats.select("tree", "node", F.lit(None).cast("int").alias("attr_pos"),
-                                F.lit(None).cast("double").alias("err")).limit(0)
+                                F.lit(None).cast("double").alias("err"),
+                                F.lit(None).cast("string").alias("vmin")).limit(0)
             branches = None
         else:
             branches = branch_stats(active, stats, attrs).persist(StorageLevel.MEMORY_AND_DISK)
@@ -213,21 +220,17 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
                    .select("tree", "node", _depth_of(F.col("node")).alias("depth"), F.col("N").alias("n"),
                            (F.col("mean") + F.lit(float(shift))).alias("prediction"),
                            F.col("attr_pos").isNull().alias("is_leaf"),
-                           "attr_pos", cond.alias("split_cond")))
+                           "attr_pos", cond.alias("split_cond"),
+                           # an unseen category follows the child of the smallest value
+                           _child(F.col("node"), F.col("attr_pos"), F.col("vmin")).alias("default_child")))
         decided = decided.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(decided)
         if branches is not None:
             inner = decided.filter(~F.col("is_leaf")).select("tree", "node", "attr_pos")
             edges = (branches.join(inner, ["tree", "node", "attr_pos"])
                      .select("tree", "node", "value",
-                             F.concat(F.col("node"), F.lit("/"), F.col("attr_pos").cast("string"),
-                                      F.lit("="), F.col("value")).alias("child")))
-            default = edges.groupBy("tree", "node").agg(
-                F.min(F.struct("value", "child")).getField("child").alias("default_child"))
-            decided = decided.join(default, ["tree", "node"], "left")
+                             _child(F.col("node"), F.col("attr_pos"), F.col("value")).alias("child")))
             edge_parts.append(edges)
-        else:
-            decided = decided.withColumn("default_child", F.lit(None).cast("string"))
         node_parts.append(decided)
         inner = decided.filter(~F.col("is_leaf")).select("tree", "node", "attr_pos", "split_cond")
         if branches is None or inner.isEmpty():
@@ -235,8 +238,7 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
         values = F.array(*[_branch_value(a, F.col("split_cond")) for a in attrs])
         moved = (active.join(inner, ["tree", "node"])
                  .withColumn("_v", F.element_at(values, F.col("attr_pos") + 1))
-                 .withColumn("node", F.concat(F.col("node"), F.lit("/"),
-                                              F.col("attr_pos").cast("string"), F.lit("="), F.col("_v")))
+                 .withColumn("node", _child(F.col("node"), F.col("attr_pos"), F.col("_v")))
                  .select("tree", *names, "n", "s1", "s2", "node"))
         active = _checkpoint(moved)
         depth += 1
