@@ -7,7 +7,6 @@ Spark ML's tree learner); the index and baseline keys have SQL oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from postpulse.catalog import register
 from postpulse.functions.hashing import sql_md5_number
