@@ -45,7 +45,15 @@ def build_session(app: str = "postpulse", cpus: int | None = None,
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide checkpoint folder; a temp folder only if none is set."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no SparkContext here
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured.rstrip("/")
+        local = tempfile.mkdtemp(prefix="postpulse-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", local)
+        return local
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
