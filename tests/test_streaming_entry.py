@@ -57,3 +57,11 @@ def test_oracles_match_at_smallest_scale(spark):
         drows = res.fetchall()
         assert sorted(df.columns) == sorted(dcols), key
         assert digest(df.columns, srows)[0] == digest(dcols, drows)[0], key
+
+
+def test_scratch_and_checkpoints_live_in_the_configured_folder(spark):
+    from postpulse.session import shared_dir
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_dir(spark) == configured.rstrip("/")
+    assert scratch_path(spark, "x").startswith(configured.rstrip("/") + "/")
+    assert spark.sparkContext.getCheckpointDir().replace("file:", "").startswith(configured.rstrip("/"))
