@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import exact_dedup, packing, quality, toxicity
+from postpulse.llm import (exact_dedup, langid, packing, quality, spm_backend, token_store,
+                           toxicity)
 from postpulse.llm.common import id_and_text, ship_package
+from postpulse.llm.tokens import tokenizer_path
+from postpulse.session import scratch_path
 from postpulse.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +105,32 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document by the stateful stream."""
     return exact_dedup.exact_groups(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op8_token_store")
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as bit-packed ids in files, read back from them."""
+    path = scratch_path(spark, "token-store")
+    manifest = token_store.write_store(spark, table(spark, sf_dir, "documents"), path,
+                                       tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_store(spark, path, manifest)
+
+
+def held_out(doc_id):
+    """Whether crc32 of the id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with remainder 2 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    trees = langid.fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
+    return langid.predict(docs, trees).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@register("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, compared with sentencepiece and spelled back."""
+    return spm_backend.encode_documents(table(spark, sf_dir, "documents"),
+                                        tokenizer_path("piece_bpe_32k.model")).drop("ids")
