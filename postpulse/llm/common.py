@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -33,10 +34,33 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """Settings that hold for the jobs run inside, then what held before."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def landed(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write below the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write below the shared folder and read back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are dropped once it is done; nothing reads them again.
+    """
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with session_settings(spark, {TIDY: "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

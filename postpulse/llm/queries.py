@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import (exact_dedup, langid, packing, quality, spm_backend, token_store,
-                           toxicity)
+from postpulse.llm import (exact_dedup, langid, packing, quality, spm_backend, suffix_dedup,
+                           token_store, toxicity)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
 from postpulse.session import scratch_path
@@ -40,6 +40,12 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORIES = ["low_quality", "toxic"]
 
 
+@register("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by a 400-byte string that starts twice."""
+    return suffix_dedup.removal_report(spark, table(spark, sf_dir, "documents")).drop("spans")
+
+
 @register("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier chain over every document; ``flagged`` is the toxic verdict."""
