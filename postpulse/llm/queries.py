@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import (exact_dedup, langid, packing, quality, spm_backend, suffix_dedup,
-                           token_store, toxicity)
+from postpulse.llm import (exact_dedup, langid, ngram_join, packing, quality, spm_backend,
+                           suffix_dedup, token_store, toxicity)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
 from postpulse.session import scratch_path
@@ -46,6 +46,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(spark, table(spark, sf_dir, "documents")).drop("spans")
 
 
+@register("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, similarity 0.8."""
+    return ngram_join.similar_documents(spark, table(spark, sf_dir, "documents")).drop("rid")
+
+
 @register("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier chain over every document; ``flagged`` is the toxic verdict."""
