@@ -210,11 +210,12 @@ def verify(members: DataFrame, num: int, den: int) -> DataFrame:
 def similar_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text", num: int = 4, den: int = 5, size: int = SHINGLE,
                       recall: float = RECALL) -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, group_size, rid.
+    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, group_size, kept, rid.
 
     ``n_links`` counts the other documents with similarity num / den or more; ``class_id``
     is the smallest id of the connected group of links, ``copy_of`` that of the documents
-    with the same shingles; ``rid`` is xxhash64 of the text.
+    with the same shingles; ``kept`` marks the first document of the group (smallest id, ids
+    before nulls); ``rid`` is xxhash64 of the text.
     """
     depth = prefix_depth(num / den, recall)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -223,7 +224,8 @@ def similar_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
     rows = landed(spark, signatures(docs, depth, size), "join-signatures")
     classes = landed(spark, rows.where(F.col("n") > 0).groupBy("cls").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "rid")).alias("one"),
-        F.min("doc_id").alias("copy_of"), F.first("n").alias("n"), F.first("keys").alias("keys")),
+        F.min("doc_id").alias("copy_of"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")),
         "join-classes")
 
     # the forest: members of a shared prefix are linked to its smallest class
@@ -267,14 +269,15 @@ def similar_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
     links = links.join(across.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "links", F.when(F.col("blocks") > 1, F.coalesce("root", "cls"))
         .otherwise(F.col("hub")).alias("root"))
-    roots = classes.select("cls", "copies", "copy_of").join(links, "cls", "left").select(
-        "cls", "copies", "copy_of", F.coalesce("links", F.lit(0)).alias("links"),
+    roots = classes.select("cls", "copies", "copy_of", "first").join(links, "cls", "left").select(
+        "cls", "copies", "copy_of", "first", F.coalesce("links", F.lit(0)).alias("links"),
         F.coalesce("root", "cls").alias("root"))
     roots = landed(spark, roots, "join-roots")
     named = roots.groupBy("root").agg(F.min("copy_of").alias("class_id"),
-                                      F.sum("copies").alias("group_size"))
-    by_class = roots.join(named, "root").select(
-        "cls", "class_id", "group_size", "copy_of",
+                                      F.sum("copies").alias("group_size"),
+                                      F.min("first").alias("first"))
+    by_class = roots.drop("first").join(named, "root").select(
+        "cls", "class_id", "group_size", "copy_of", "first",
         (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"))
     joined = rows.select("doc_id", "rid", "cls", "n").join(by_class, "cls", "left")
     alone = F.col("n") == 0
@@ -282,4 +285,20 @@ def similar_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"), "rid")
+        F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+                  & (F.col("rid") == F.col("first.rid")))).alias("kept"), "rid")
+
+
+def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             **options) -> DataFrame:
+    """The rows of ``df`` whose document stands first in its class, all columns kept.
+
+    Rows that repeat id and text stay or go together; exact deduplication tells those apart.
+    """
+    kept = similar_documents(spark, df, id_col, text_col, **options).where("kept").select(
+        F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"))
+    rid = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return (df.withColumn("__this", rid).join(
+        kept, (F.col("__this") == F.col("__rid"))
+        & F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left_semi").drop("__this"))
