@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import (exact_dedup, langid, ngram_join, packing, quality, spm_backend,
-                           suffix_dedup, token_store, toxicity)
+from postpulse.llm import (chaining, exact_dedup, langid, ngram_join, packing, quality,
+                           spm_backend, suffix_dedup, token_store, toxicity)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
 from postpulse.session import scratch_path
@@ -105,6 +105,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+@register("op6_collinear_chaining")
+def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of 50 words or more that every document shares with others."""
+    return chaining.repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 @register("op7_exact_dedup", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
            FROM documents)
