@@ -57,5 +57,10 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 
 
 def to_int(c: Column, strict: bool = True) -> Column:
-    """Parse text to int: an error on bad input (ANSI cast) or null when lenient."""
-    return c.cast("int") if strict else c.try_cast("int")
+    """Parse to int: an error on a value that is no integer (whatever ANSI mode is set), or
+    null when lenient. A null stays null."""
+    parsed = c.try_cast("int")
+    if not strict:
+        return parsed
+    bad = F.raise_error(F.concat(F.lit("not an integer: "), c.cast("string"))).cast("int")
+    return F.when(c.isNotNull() & parsed.isNull(), bad).otherwise(parsed)

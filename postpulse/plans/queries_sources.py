@@ -93,7 +93,9 @@ DOC_SCHEMA = "doc_id long, lang string, source string, n_chars long, text string
 def q_csv_roundtrip(spark, base):
     """Whole documents (commas, quotes, newlines inside fields) -> CSV with header -> read back."""
     path = scratch_path(spark, "csv-roundtrip")
-    csvio.write_delimited(table(spark, base, "documents"), path, columns=DOC_COLS)
+    # a multi-line file is one task: bound the files
+    csvio.write_delimited(table(spark, base, "documents"), path, columns=DOC_COLS,
+                          max_records_per_file=20_000)
     return csvio.read_delimited(spark, path, DOC_SCHEMA, header=True, multiline=True)
 
 
@@ -124,6 +126,27 @@ SELECT event_id, user_id, event_type AS subreddit, value FROM events
 WHERE event_type <> 'error' AND value <= 300""")
 def q_csv_arity_filter(spark, base):
     """Rows of 4 fields are kept; error rows carry a 5th field, large values lose one."""
+    kept = csvio.read_exact_width(spark, _mixed_widths(spark, base), 4, ARITY_NAMES, header=False)
+    return kept.select(F.col("event_id").cast("long").alias("event_id"),
+                       F.col("user_id").cast("long").alias("user_id"),
+                       "subreddit", F.col("value").cast("double").alias("value"))
+
+
+@register("csv_arity_counts", """
+SELECT CASE WHEN event_type <> 'error' AND value <= 300 THEN 'kept' ELSE 'rejected' END AS kind,
+       count(*) AS n_rows
+FROM events GROUP BY 1""")
+def q_csv_arity_counts(spark, base):
+    """Rows of the right and of a wrong width, each counted by a read that needs no column."""
+    kept, rejects = csvio.read_kept_and_rejects(spark, _mixed_widths(spark, base), 4, ARITY_NAMES,
+                                                header=False)
+    return kept.select(F.lit("kept").alias("kind")).unionByName(
+        rejects.select(F.lit("rejected").alias("kind"))).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+def _mixed_widths(spark, base) -> str:
+    """Events as text lines of three, four and five fields; the path."""
     e = table(spark, base, "events")
     line = (F.when(F.col("event_type") == "error",
                    F.concat_ws(",", "event_id", "user_id", "event_type", "value",
@@ -132,10 +155,7 @@ def q_csv_arity_filter(spark, base):
              .otherwise(F.concat_ws(",", "event_id", "user_id", "event_type", "value")))
     path = scratch_path(spark, "arity")
     e.select(line.alias("value")).write.text(path)
-    kept = csvio.read_exact_width(spark, path, 4, ARITY_NAMES, header=False)
-    return kept.select(F.col("event_id").cast("long").alias("event_id"),
-                       F.col("user_id").cast("long").alias("user_id"),
-                       "subreddit", F.col("value").cast("double").alias("value"))
+    return path
 
 
 @register("line_split", """

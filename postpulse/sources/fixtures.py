@@ -19,14 +19,17 @@ DELETED_AUTHOR = "[deleted]"
 # ------------------------------------------------------------------------------
 
 
-def posts(spark: SparkSession, base: str) -> DataFrame:
-    """Raw posts as text: author, link, num_comments, subreddit.
+def posts(spark: SparkSession, base: str, groups: DataFrame | None = None) -> DataFrame:
+    """Raw posts as text: author, link, num_comments, subreddit; with ``groups``, only the
+    posts of those subreddits, filtered before the join.
 
     lineitem joined with part; every tenth supplier is a deleted author. Links
     (orders) are shared by several communities (brands).
     """
     li = table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     pt = table(spark, base, "part").select("p_partkey", "p_brand")
+    if groups is not None:
+        pt = pt.join(groups.select(F.col("subreddit").alias("p_brand")), "p_brand", "left_semi")
     j = li.join(pt, li.l_partkey == pt.p_partkey)
     return j.select(
         F.when(F.col("l_suppkey") % 10 == 0, F.lit(DELETED_AUTHOR))
@@ -48,6 +51,37 @@ def comments(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def raw_comments(spark: SparkSession, base: str) -> list[DataFrame]:
+    """Comments as raw text rows, one frame per width: 22 fields, and bad ones of 21 and 23.
+
+    Every 50th epoch and every 40th subreddit is blank.
+    """
+    i = F.col("id")
+    row = comments(spark, base).join(
+        table(spark, base, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    values = {0: F.when(i % 50 == 0, "").otherwise(F.col("created_utc").cast("string")),
+              9: F.when(i % 40 == 0, "").otherwise(F.col("subreddit")),
+              11: (i % 2).cast("string"), 13: F.when(i % 4 == 0, "True").otherwise("False"),
+              15: i.cast("string"), 17: F.col("body"), 19: (i % 3).cast("string"),
+              20: (F.col("n_chars") % 100).cast("string")}
+    width = F.when(i % 17 == 3, 21).when(i % 19 == 5, 23).otherwise(22)
+    cells = [values.get(k, F.lit(f"x{k}")).alias(f"_c{k}") for k in range(23)]
+    return [row.where(width == n).select(*cells[:n]) for n in (22, 21, 23)]
+
+
+def raw_posts(spark: SparkSession, base: str) -> list[DataFrame]:
+    """Posts as raw text rows, one frame per width: 95 fields, and bad ones of 94 and 96.
+
+    Posts with 50 comments lose a field, those with 49 gain one; those with 48 have no author.
+    """
+    n = F.col("num_comments")
+    values = {2: F.when(n == "48", "").otherwise(F.col("author")), 15: F.col("link"), 32: n,
+              47: F.col("subreddit")}
+    cells = [values.get(k, F.lit(f"x{k}")).alias(f"_c{k}") for k in range(96)]
+    width = F.when(n == "50", 94).when(n == "49", 96).otherwise(95)
+    return [posts(spark, base).where(width == w).select(*cells[:w]) for w in (95, 94, 96)]
+
+
 def timed_rows(spark: SparkSession, base: str) -> DataFrame:
     """Events with epoch seconds; ``ts`` is kept so time filters can be pushed down."""
     e = table(spark, base, "events")

@@ -28,9 +28,37 @@ def test_exact_width_drops_short_and_long_rows(spark):
 
 def test_exact_width_keep_rejects(spark):
     path = _write_text(spark, ["a,b,c", "a,b"])
-    rows = csvio.read_exact_width(spark, path, 3, header=False, keep_rejects=True).collect()
-    assert len(rows) == 2
-    assert sum(1 for r in rows if r._corrupt is not None) == 1
+    kept, rejects = csvio.read_kept_and_rejects(spark, path, 3, header=False)
+    assert [tuple(r) for r in kept.collect()] == [("a", "b", "c")]
+    assert [r.line for r in rejects.collect()] == ["a,b"]
+    assert (kept.count(), rejects.count()) == (1, 1)
+
+
+def test_width_is_checked_whatever_is_selected(spark):
+    path = _write_text(spark, ["a,b,c,d", "a,b", "1,2,3,4,5", "w,x,y,z"])
+    rows = csvio.read_exact_width(spark, path, 4, list("abcd"), header=False)
+    assert rows.count() == 2
+    assert sorted(r.a for r in rows.select("a").collect()) == ["a", "w"]
+    assert sorted(r.d for r in rows.select("d").distinct().collect()) == ["d", "z"]
+    strict = csvio.read_delimited(spark, path, "a string, b string, c string, d string", header=False)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        strict.select("a").collect()
+
+
+def test_blank_text_epoch_is_1970(spark):
+    df = spark.createDataFrame([("",), (None,)], "created_utc string")
+    assert {(r.year, r.month, r.day) for r in with_time_parts(df).collect()} == {(1970, 1, 1)}
+
+
+def test_strict_cast_raises_without_ansi(spark):
+    df = spark.createDataFrame([("x",)], "s string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="not an integer"):
+            df.select(cleaning.to_int(F.col("s"))).collect()
+        assert df.select(cleaning.to_int(F.col("s"), strict=False).alias("v")).first().v is None
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
 
 
 def test_quoted_newline_is_one_row(spark):
