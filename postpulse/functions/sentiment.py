@@ -4,14 +4,15 @@ The per-row sentiment library of the original study is re-expressed as Spark
 expressions: text -> lower-case letter tokens -> valence lookup -> sum ->
 normalised compound score in [-1, 1] -> class.
 
-Two plans for the lookup:
+A lexicon is given in one of two forms, and the form alone decides the plan:
 
-* ``map`` (default): the lexicon becomes a literal map inside the projection.
-  Narrow, no shuffle, no join back to the documents; used when the lexicon has
-  at most ``MAP_LOOKUP_LIMIT`` entries (checked by counting it first).
-* ``join``: tokens are exploded and equi-joined with the lexicon table, summed
-  per document and joined back. Used for larger lexicons; both joins are
-  shuffle joins that AQE may turn into broadcasts from runtime sizes.
+* a dict (a few words, such as the default) becomes a literal map inside the
+  projection: narrow, no shuffle;
+* a table (token, valence) of any size is equi-joined with the exploded tokens,
+  summed per document and joined back; Spark chooses the joins from measured sizes.
+
+Both give the same answer: a token listed more than once in a table counts with its
+largest valence, and valences are rounded half up to four decimals.
 
 Valences are summed as integers (valence * 10^4) so the sum is exact and does
 not depend on the order in which a cluster adds the tokens.
@@ -19,6 +20,8 @@ not depend on the order in which a cluster adds the tokens.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,6 @@ DEFAULT_LEXICON = {"the": 1.0, "and": 0.7, "of": -1.0, "in": -0.8, "to": -0.9,
 
 TOKEN_SPLIT = "[^a-z]+"
 VALENCE_SCALE = 10000
-MAP_LOOKUP_LIMIT = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -45,7 +47,7 @@ def tokens(text: Column) -> Column:
 
 
 def _scaled(v: float) -> int:
-    return int(round(v * VALENCE_SCALE))
+    return int(Decimal(repr(float(v))).scaleb(4).to_integral_value(ROUND_HALF_UP))
 
 
 def lexicon_map(lexicon: dict[str, float]) -> Column:
@@ -79,43 +81,28 @@ def sentiment_class(text: Column, compound: Column) -> Column:
             .otherwise(5))
 
 
-def lexicon_as_dict(lexicon) -> dict[str, float]:
-    """Accept a dict or a (token, valence) DataFrame whose size is checked first."""
-    if isinstance(lexicon, dict):
-        return lexicon
-    n = lexicon.count()
-    if n > MAP_LOOKUP_LIMIT:
-        raise ValueError(f"lexicon has {n} entries, above {MAP_LOOKUP_LIMIT}; use method='join'")
-    return {r[0]: float(r[1]) for r in lexicon.select("token", "valence").collect()}
+def lexicon_rows(lexicon: DataFrame) -> DataFrame:
+    """(token, v): one row per token, the largest of its valences, as a whole number."""
+    return lexicon.groupBy("token").agg(F.max("valence").alias("valence")).select(
+        "token", F.round(F.col("valence").cast("decimal(20,10)") * VALENCE_SCALE).cast("long").alias("v"))
 
 
-def score_texts(df: DataFrame, id_col: str, text_col: str, lexicon=None,
-                method: str = "auto") -> DataFrame:
+def score_texts(df: DataFrame, id_col: str, text_col: str, lexicon=None) -> DataFrame:
     """Add ``compound`` and ``sentiment_class`` to every row of ``df``.
 
     ``lexicon`` is a dict or a DataFrame (token string, valence double).
     """
     lexicon = DEFAULT_LEXICON if lexicon is None else lexicon
-    if method == "auto":
-        if isinstance(lexicon, dict):
-            method = "map"
-        else:
-            method = "map" if lexicon.count() <= MAP_LOOKUP_LIMIT else "join"
     text = F.col(text_col)
-    if method == "map":
-        lex = lexicon_as_dict(lexicon)
+    if isinstance(lexicon, dict):
         # The lookup sum is an array lambda: give it its own projection so it is
         # evaluated once per row, not once per reference in the formula and class.
-        summed = df.withColumn("_s", valence_sum(text, lex))
+        summed = df.withColumn("_s", valence_sum(text, lexicon))
         compound = compound_from_sum(F.col("_s"))
         return (summed.withColumn("compound", F.when(text.isNull(), F.lit(None)).otherwise(compound))
                       .withColumn("sentiment_class", sentiment_class(text, F.col("compound")))
                       .drop("_s"))
-    if method != "join":
-        raise ValueError(method)
-    lex_df = lexicon if not isinstance(lexicon, dict) else df.sparkSession.createDataFrame(
-        list(lexicon.items()), "token string, valence double")
-    lex_df = lex_df.select("token", F.round(F.col("valence") * VALENCE_SCALE).cast("long").alias("v"))
+    lex_df = lexicon_rows(lexicon)
     toks = df.select(F.col(id_col).alias("_sid"), F.explode(tokens(text)).alias("token"))
     sums = (toks.join(lex_df, "token")
                 .groupBy("_sid").agg(F.sum("v").alias("_v")))

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.functions.hashing import md5_number, md5_words, replicate_key
+from postpulse.session import scratch_path
 
 HASH_RANGE = 1 << 32  # md5_number is uniform on [0, 2^32)
 
-BROADCAST_ROWS = 100_000   # driver-built key tables up to this size are broadcast
-
 SPLIT_SEED = 42
 SHARD_SEED = 43
 SAMPLE_SEED = 44
@@ -44,6 +43,25 @@ def sort_within_key(df: DataFrame, key: str, tiebreak: str, partitions: int | No
     return out.sortWithinPartitions(*cols)
 
 
+def with_position(df: DataFrame) -> DataFrame:
+    """Adds ``position``: the place of each row in the frame's own order, from 0.
+
+    The frame is written once with partition and row numbers; a partition's offset is the
+    sum over the partitions before it (one small row per partition).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "positions")
+    # Spark numbers rows as partition * 2**33 + row
+    df.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = (spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+              .withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").withColumn(
+        "position", F.col("_row") + F.col("_offset")).drop("_at", "_part", "_row", "_offset")
+
+
 def split_label(id_col: Column, train_percent: int = 70, seed=SPLIT_SEED) -> Column:
     """'train' when the md5 bucket (mod 100) is below ``train_percent``, else 'test' (R4)."""
     return F.when(md5_number(seed, id_col) % 100 < train_percent, F.lit("train")).otherwise(F.lit("test"))
@@ -61,7 +79,7 @@ def shard_of(id_col: Column, max_split: int = 10, seed=SHARD_SEED) -> Column:
 
 
 def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size: int,
-                 seed=SAMPLE_SEED, margin: float = 6.0, max_groups: int = 10_000_000) -> DataFrame:
+                 seed=SAMPLE_SEED, margin: float = 6.0) -> DataFrame:
     """Per shard, ``number`` samples of ``size`` rows without replacement.
 
     A shard with fewer than ``size`` rows gives one sample (rep 0) holding all
@@ -69,71 +87,53 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     key (h1 + rep * h2) mod 2^32, where h1, h2 are two words of md5(seed|id)
     (ties by id): one md5 per row, one multiply-add per (row, sample).
 
-    Plan:
-    1. Rows per shard (one aggregate; its result has one row per shard and is
-       read by the driver). Small shards pass through as sample 0 with no
-       hashing or sorting at all. Shard lists and thresholds go back as small
-       tables, broadcast only up to ``BROADCAST_ROWS`` rows.
-    2. Rows of big shards are replicated per sample and kept only as
-       *candidates* when their hash is below a per-shard threshold chosen so a
-       sample has about size + margin*sqrt(size) candidates.
-    3. Candidates per sample are counted (one row per sample, read by the
-       driver). The ``size`` smallest candidates of each sample are taken by a
-       row_number window, which Spark turns into a per-partition top-k before
-       its shuffle. A sample with too few candidates (probability ~1e-9 at the
-       default margin) is recomputed from all its shard's rows, so the result
-       is always exact and no task ever sorts a whole shard in the normal case.
+    Everything is one DataFrame plan; nothing about shards or samples reaches the driver.
+    1. Rows per shard are counted and joined back with the shard's threshold, set so that
+       a sample has about size + margin*sqrt(size) rows below it.
+    2. A row of a big shard finds the samples it falls into with one array expression
+       (``filter`` over the sample numbers) and only those are exploded: rows that move
+       follow rows kept, not rows x samples.
+    3. The ``size`` smallest rows of each sample come from a row_number window, which
+       Spark turns into a per-partition top-k before its shuffle.
+    4. A sample with too few rows below the threshold (probability ~1e-9 at the default
+       margin) is taken from all rows of its shard instead, so the result is always exact.
     """
-    counts = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n")).collect()
-    if len(counts) * max(number, 1) > max_groups:
-        raise ValueError(f"{len(counts)} shards x {number} samples exceeds {max_groups} groups")
-    spark = df.sparkSession
-    key_type = df.schema[shard_col].dataType.simpleString()
-    sizes = {r[0]: r[1] for r in counts}
-    small = [k for k, n in sizes.items() if n < size]
-    big = {k: n for k, n in sizes.items() if n >= size}
-    cols = list(df.columns) + ["rep"]
-
-    def keyed(rows: list, schema: str) -> DataFrame:
-        """A driver-built key table, broadcast only below a checked row count."""
-        t = spark.createDataFrame(rows, schema)
-        return F.broadcast(t) if len(rows) <= BROADCAST_ROWS else t
-
-    parts = []
-    if small:
-        small_keys = keyed([(k,) for k in small], f"{shard_col} {key_type}")
-        parts.append(df.join(small_keys, shard_col, "left_semi").withColumn("rep", F.lit(0)))
-    if big:
-        thr = keyed([(k, float(min(HASH_RANGE, math.ceil((size + math.sqrt(size) * margin + 16)
-                                                           * HASH_RANGE / n))))
-                     for k, n in big.items()], f"{shard_col} {key_type}, _thr double")
-
-        def replicate(frame: DataFrame) -> DataFrame:
-            h1, h2 = md5_words(seed, F.col(id_col))
-            return (frame.withColumn("_h1", h1).withColumn("_h2", h2)
-                         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
-                         .withColumn("_u", replicate_key(F.col("_h1"), F.col("_h2"), F.col("rep"))))
-
-        def top(frame: DataFrame) -> DataFrame:
-            w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
-            return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size)
-
-        in_big = df.join(thr, shard_col)
-        cand = replicate(in_big).filter(F.col("_u") < F.col("_thr"))
-        have = {(r[0], r[1]): r[2] for r in
-                cand.groupBy(shard_col, "rep").agg(F.count(F.lit(1))).collect()}
-        short = [(k, r) for k in big for r in range(number) if have.get((k, r), 0) < size]
-        fast = top(cand)
-        if short:
-            redo = keyed(short, f"{shard_col} {key_type}, rep int")
-            fast = fast.join(redo, [shard_col, "rep"], "left_anti")
-            redo_shards = keyed(sorted({(k,) for k, _ in short}), f"{shard_col} {key_type}")
-            exact = replicate(in_big.join(redo_shards, shard_col, "left_semi"))
-            parts.append(top(exact.join(redo, [shard_col, "rep"], "left_semi")).select(*cols))
-        parts.append(fast.select(*cols))
-    if not parts:
-        return df.withColumn("rep", F.lit(0)).limit(0)
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    cols = [*df.columns, "rep"]
+    sizes = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n"))
+    need = float(size + math.sqrt(size) * margin + 16)
+    sizes = sizes.withColumn("_thr", F.least(F.lit(float(HASH_RANGE)),
+                                             F.ceil(F.lit(need * HASH_RANGE) / F.col("_n")).cast("double")))
+    keyed = df.join(sizes.withColumnRenamed(shard_col, "_shard"),
+                    F.col(shard_col).eqNullSafe(F.col("_shard"))).drop("_shard")
+    small = keyed.where(F.col("_n") < size).withColumn("rep", F.lit(0))
+    h1, h2 = md5_words(seed, F.col(id_col))
+    big = keyed.where(F.col("_n") >= size).withColumn("_h1", h1).withColumn("_h2", h2)
+
+    def key(rep: Column) -> Column:
+        return replicate_key(F.col("_h1"), F.col("_h2"), rep)
+
+    def top(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
+        return frame.withColumn("_u", key(F.col("rep"))).withColumn(
+            "_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
+
+    reps = F.sequence(F.lit(0), F.lit(number - 1))
+    drawn = big.withColumn("rep", F.explode(F.filter(reps, lambda r: key(r) < F.col("_thr"))))
+    # samples that got enough, against all samples of the big shards
+    enough = (drawn.groupBy(shard_col, "rep").agg(F.count(F.lit(1)).alias("_have"))
+              .where(F.col("_have") >= size))
+    wanted = sizes.where(F.col("_n") >= size).select(shard_col, F.explode(reps).alias("rep"))
+    short = _null_safe(wanted, enough, [shard_col, "rep"], "left_anti")
+    out = small.select(*cols).unionByName(top(drawn).select(*cols))
+    if short.isEmpty():
+        return out
+    redo = big.join(short.select(F.col(shard_col).alias("_s"), "rep"),
+                    F.col(shard_col).eqNullSafe(F.col("_s"))).drop("_s")
+    kept = _null_safe(top(drawn), short, [shard_col, "rep"], "left_anti")
+    return small.select(*cols).unionByName(kept.select(*cols)).unionByName(top(redo).select(*cols))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join on keys that may be null."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    return left.join(r, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys], how)

@@ -33,10 +33,10 @@ def test_compound_formula(spark):
 
 def test_map_and_join_plans_agree(spark):
     d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
-    a = {r.doc_id: (r.compound, r.sentiment_class) for r in score_texts(d, "doc_id", "text", method="map").collect()}
+    a = {r.doc_id: (r.compound, r.sentiment_class) for r in score_texts(d, "doc_id", "text").collect()}
     lex = spark.createDataFrame(list(DEFAULT_LEXICON.items()), "token string, valence double")
     b = {r.doc_id: (r.compound, r.sentiment_class)
-         for r in score_texts(d, "doc_id", "text", lex, method="join").collect()}
+         for r in score_texts(d, "doc_id", "text", lex).collect()}
     assert a == b
 
 
@@ -112,3 +112,20 @@ def test_sort_within_key_spreads_a_hot_key(spark):
     assert max(sizes) <= 1200            # the 3000-row key is split across partitions
     rows = out.collect()
     assert [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
+
+
+def test_repeated_lexicon_token_counts_once_by_every_path(spark):
+    d = spark.createDataFrame([(1, "good day")], "doc_id long, text string")
+    twice = spark.createDataFrame([("good", 1.0), ("good", 0.5)], "token string, valence double")
+    table = score_texts(d, "doc_id", "text", twice).first()
+    words = score_texts(d, "doc_id", "text", {"good": 1.0}).first()
+    assert (table.compound, table.sentiment_class) == (words.compound, words.sentiment_class)
+    half = score_texts(d, "doc_id", "text", {"good": 0.00005}).first()
+    assert half.compound == score_texts(d, "doc_id", "text", spark.createDataFrame(
+        [("good", 0.00005)], "token string, valence double")).first().compound
+
+
+def test_positions_show_a_wrong_order(spark):
+    from postpulse.operators.sampling import with_position
+    rows = with_position(spark.range(100).orderBy(F.desc("id"))).collect()
+    assert sorted((r.position, r.id) for r in rows) == [(i, 99 - i) for i in range(100)]
