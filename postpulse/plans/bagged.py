@@ -49,8 +49,7 @@ MIN_RECORD = 1
 # ------------------------------------------------------------------------------
 
 ROOT = ""
-MAX_TREES = 1_000_000   # tree ids are expanded per test tuple from a literal list
-MISSING = "\u2205"        # branch value of a missing category
+VALUE, MISSING = "v", "z"   # a category's branch is VALUE + category; a missing one's is MISSING
 REL_DIGITS = 9          # errors are compared after rounding err / node_mse to 9 digits
 ZERO_ERROR = 1e-12      # node mse below this share of its mean square of (y - shift) is zero
 
@@ -96,7 +95,9 @@ def node_stats(active: DataFrame, attrs: list[Attr]) -> DataFrame:
     aggs = [F.sum("n").alias("N"), F.sum("s1").alias("S1"), F.sum("s2").alias("S2")]
     for i, a in enumerate(attrs):
         if a.kind == "N":
-            aggs.append((F.sum(F.col(a.name) * F.col("n")) / F.sum("n")).alias(_mean_col(i)))
+            # over the rows that have the number
+            held = F.when(F.col(a.name).isNotNull(), F.col("n"))
+            aggs.append((F.sum(F.col(a.name) * F.col("n")) / F.sum(held)).alias(_mean_col(i)))
     st = active.groupBy("tree", "node").agg(*aggs)
     mean = F.col("S1") / F.col("N")
     return (st.withColumn("mean", mean)
@@ -104,8 +105,9 @@ def node_stats(active: DataFrame, attrs: list[Attr]) -> DataFrame:
 
 
 def _category(name: str) -> Column:
-    """A categorical value as text; a missing value is a category of its own."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+    """A categorical value as branch text; a missing value is a branch of its own, after all
+    others and equal to none of them."""
+    return F.coalesce(F.concat(F.lit(VALUE), F.col(name).cast("string")), F.lit(MISSING))
 
 
 def _branch_value(a: Attr, mean_col: Column | None) -> Column:
@@ -152,14 +154,12 @@ def best_splits(branches: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def _child(node: Column, attr_pos: Column, value: Column) -> Column:
-    """Path of the child reached from ``node`` by ``attr_pos`` = ``value``."""
-    return F.concat(node, F.lit("/"), attr_pos.cast("string"), F.lit("="), value)
+    """Id of the child reached from ``node`` by ``attr_pos`` = ``value``.
 
-
-def _depth_of(node: Column) -> Column:
-    """Depth from the node path ('' root, '/a=v' level 1, ...): no per-level literal,
-    so every level runs the same generated code."""
-    return (F.length(node) - F.length(F.regexp_replace(node, "/", ""))).cast("int")
+    A digest of parent id, position and value: parent ids have a fixed length and positions
+    are digits, so different branches give different texts whatever the value holds.
+    """
+    return F.md5(F.concat(node, F.lit("|"), attr_pos.cast("string"), F.lit("|"), value))
 
 
 def _splittable() -> Column:
@@ -195,10 +195,18 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
     shared_dir(cells.sparkSession)
     names = [a.name for a in attrs]
     active = _checkpoint(cells.withColumn("node", F.lit(ROOT)))
-    node_parts, edge_parts = [], []
     # Per-level tables are one level deep (they read this level's checkpointed
     # `active`), so they are only persisted; the loop state is checkpointed.
     held = []
+    try:
+        return _grow(cells, active, attrs, names, max_depth, shift, held)
+    finally:
+        for h in held:
+            h.unpersist()
+
+
+def _grow(cells, active, attrs, names, max_depth, shift, held) -> BaggedModel:
+    node_parts, edge_parts = [], []
     depth = 0
     while True:
         stats = node_stats(active, attrs)
@@ -217,7 +225,7 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
         for i in numeric:
             cond = F.when(F.col("attr_pos") == i, F.col(_mean_col(i))).otherwise(cond)
         decided = (stats.join(best, ["tree", "node"], "left")
-                   .select("tree", "node", _depth_of(F.col("node")).alias("depth"), F.col("N").alias("n"),
+                   .select("tree", "node", F.lit(depth).alias("depth"), F.col("N").alias("n"),
                            (F.col("mean") + F.lit(float(shift))).alias("prediction"),
                            F.col("attr_pos").isNull().alias("is_leaf"),
                            "attr_pos", cond.alias("split_cond"),
@@ -255,8 +263,6 @@ def fit_cells(cells: DataFrame, attrs: list[Attr], max_depth: int | None = None,
     # so prediction joins read a plain scan per level
     nodes = _checkpoint(nodes)
     edges = _checkpoint(edges)
-    for h in held:
-        h.unpersist()
     trees = nodes.filter(F.col("node") == ROOT).select("tree")
     return BaggedModel(nodes=nodes, edges=edges, attrs=attrs, trees=trees, shift=shift)
 
@@ -273,30 +279,29 @@ def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,
 def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
     """(tree, attribute tuple) -> prediction, leaf size for every tree and distinct tuple.
 
-    The tree list is bounded by (max_split + 1) * sample_number, a setting, not
-    the data; it is expanded per tuple with explode rather than a cross join.
+    Every distinct tuple walks every tree: one array of tree ids, a scalar subquery bounded by
+    (max_split + 1) * sample_number (a setting, not the data), is exploded per tuple. The
+    first step joins the trees' roots, one row per tree, which is broadcast for that reason;
+    its key would be one per tree. Each level is joined once and checkpointed.
     """
     attrs = model.attrs
     names = [a.name for a in attrs]
-    tree_ids = [r[0] for r in model.trees.limit(MAX_TREES + 1).collect()]
-    if len(tree_ids) > MAX_TREES:
-        raise ValueError(f"more than {MAX_TREES} trees; lower sample_number or max_split")
-    state = (tuples.select(*names).distinct()
-             .withColumn("tree", F.explode(F.array(*[F.lit(t).cast("long") for t in tree_ids])))
+    tree_ids = model.trees.agg(F.sort_array(F.collect_list("tree")).alias("t")).scalar()
+    state = (tuples.select(*names).distinct().withColumn("tree", F.explode(tree_ids))
              .withColumn("node", F.lit(ROOT)))
     nodes = model.nodes.select("tree", "node", "is_leaf", "prediction", F.col("n").alias("leaf_n"),
                                "attr_pos", "split_cond", "default_child")
     max_depth = model.nodes.agg(F.max("depth")).first()[0] or 0
     values = F.array(*[_branch_value(a, F.col("split_cond")) for a in attrs])
     done = []
-    for _ in range(max_depth + 1):
-        j = state.join(nodes, ["tree", "node"])
+    for level in range(max_depth + 1):
+        at = F.broadcast(nodes.where(F.col("node") == ROOT)) if level == 0 else nodes
+        j = _checkpoint(state.join(at, ["tree", "node"]))
         done.append(j.filter(F.col("is_leaf")).select("tree", *names, "prediction", "leaf_n"))
-        step = (j.filter(~F.col("is_leaf"))
-                 .withColumn("value", F.element_at(values, F.col("attr_pos") + 1))
-                 .join(model.edges, ["tree", "node", "value"], "left")
-                 .select("tree", *names, F.coalesce(F.col("child"), F.col("default_child")).alias("node")))
-        state = _checkpoint(step)
+        state = (j.filter(~F.col("is_leaf"))
+                  .withColumn("value", F.element_at(values, F.col("attr_pos") + 1))
+                  .join(model.edges, ["tree", "node", "value"], "left")
+                  .select("tree", *names, F.coalesce(F.col("child"), F.col("default_child")).alias("node")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -311,15 +316,24 @@ def predict_rows(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
         "tree", id_col, "prediction", "leaf_n")
 
 
-def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
+GRID = 1_000_000.0      # ensemble means add up predictions as whole millionths
+
+
+def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str,
+                  prediction: Column | None = None) -> DataFrame:
     """(id, prediction): equal-weight mean over trees.
 
     Averaged per distinct tuple first (partial aggregation), then joined back,
-    so no key ever gathers all predictions in one place.
+    so no key ever gathers all predictions in one place. Predictions (or the given
+    expression of prediction and leaf_n) are added as whole millionths and divided once:
+    the sum is exact, whatever order a cluster adds it in.
     """
     names = [a.name for a in model.attrs]
+    p = F.col("prediction") if prediction is None else prediction
+    units = F.floor(p * F.lit(GRID) + 0.5).cast("long")
     per_tuple = predict_tuples(model, rows).groupBy(*names).agg(
-        F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n_trees"))
+        (F.sum(units).cast("double") / (F.count(F.lit(1)) * F.lit(GRID))).alias("prediction"),
+        F.count(F.lit(1)).alias("n_trees"))
     return _join_tuples(rows.select(id_col, *names), per_tuple, names).select(
         id_col, "prediction", "n_trees")
 

@@ -74,7 +74,7 @@ def _attr_case(col: str) -> str:
 
 
 BRANCH_SQL = " UNION ALL ".join(
-    f"SELECT tree, {i} AS attr_pos, coalesce(CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS n, "
+    f"SELECT tree, {i} AS attr_pos, coalesce('{bg.VALUE}' || CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS n, "
     f"var_pop(y) * count(*) AS sse FROM s GROUP BY tree, {a.name}"
     for i, a in enumerate(ATTRS))
 
@@ -157,7 +157,7 @@ ATTR_COLS = ", ".join(a.name for a in ATTRS)
 
 
 def _value_case(pos: str, prefix: str = "") -> str:
-    whens = " ".join(f"WHEN {i} THEN coalesce(CAST({prefix}{a.name} AS VARCHAR), '{bg.MISSING}')"
+    whens = " ".join(f"WHEN {i} THEN coalesce('{bg.VALUE}' || CAST({prefix}{a.name} AS VARCHAR), '{bg.MISSING}')"
                      for i, a in enumerate(ATTRS))
     return f"(CASE {pos} {whens} END)"
 
@@ -167,7 +167,7 @@ def _fit_sql() -> str:
             f"a0 AS (SELECT tree, row_id, {ATTR_COLS}, y, '' AS node FROM s)"]
     for lv in range(LEVELS):
         branches = " UNION ALL ".join(
-            f"SELECT tree, node, {i} AS attr_pos, coalesce(CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS cnt, "
+            f"SELECT tree, node, {i} AS attr_pos, coalesce('{bg.VALUE}' || CAST({a.name} AS VARCHAR), '{bg.MISSING}') AS v, count(*) AS cnt, "
             f"var_pop(y) * count(*) AS sse FROM a{lv} GROUP BY tree, node, {a.name}"
             for i, a in enumerate(ATTRS))
         ctes += [
@@ -185,11 +185,11 @@ def _fit_sql() -> str:
             f"nd{lv} AS (SELECT st.tree, st.node, {lv} AS depth, st.cnt AS n, st.mean AS prediction, "
             f"b.attr_pos IS NULL AS is_leaf, b.attr_pos FROM st{lv} st LEFT JOIN best{lv} b "
             f"ON st.tree = b.tree AND st.node = b.node)",
-            f"ed{lv} AS (SELECT br.tree, br.node, br.v, br.node || '/' || CAST(br.attr_pos AS VARCHAR) "
-            f"|| '=' || br.v AS child FROM br{lv} br JOIN best{lv} b ON br.tree = b.tree "
+            f"ed{lv} AS (SELECT br.tree, br.node, br.v, md5(br.node || '|' || CAST(br.attr_pos AS VARCHAR) "
+            f"|| '|' || br.v) AS child FROM br{lv} br JOIN best{lv} b ON br.tree = b.tree "
             f"AND br.node = b.node AND br.attr_pos = b.attr_pos)",
             f"a{lv + 1} AS (SELECT a.tree, a.row_id, {', '.join('a.' + a.name for a in ATTRS)}, a.y, "
-            f"a.node || '/' || CAST(b.attr_pos AS VARCHAR) || '=' || {_value_case('b.attr_pos', 'a.')} "
+            f"md5(a.node || '|' || CAST(b.attr_pos AS VARCHAR) || '|' || {_value_case('b.attr_pos', 'a.')}) "
             f"AS node FROM a{lv} a JOIN best{lv} b ON a.tree = b.tree AND a.node = b.node)",
         ]
     ctes.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM nd{lv}" for lv in range(LEVELS)) + ")")
@@ -247,10 +247,46 @@ def q_bagged_predict(spark, base):
 
 @register("ensemble_mean", f"""
 WITH {_predict_sql()}
-SELECT row_id, {sql_sig_round('avg(prediction)')} AS prediction, count(*) AS n_trees
+SELECT row_id, CAST(sum(CAST(floor(round(prediction * leaf_n, 2) / leaf_n * {bg.GRID} + 0.5) AS BIGINT))
+                    AS DOUBLE) / (count(*) * {bg.GRID}) AS prediction, count(*) AS n_trees
 FROM preds GROUP BY row_id""")
 def q_ensemble_mean(spark, base):
     """Equal-weight mean of the trees' predictions per test row."""
     model, test = _model(spark, base)
-    return bg.ensemble_mean(model, test, "row_id").select(
-        "row_id", sig_round(F.col("prediction")).alias("prediction"), "n_trees")
+    return bg.ensemble_mean(model, test, "row_id", F.round(
+        F.col("prediction") * F.col("leaf_n"), 2) / F.col("leaf_n")).select(
+        "row_id", "prediction", "n_trees")
+
+
+MULTI_NUMBER, MULTI_SIZE = 3, 200
+
+
+def _multi_samples_sql() -> str:
+    return (SAMPLES_SQL.replace(f">= {bg.SAMPLE_SIZE} ", f">= {MULTI_SIZE} ")
+            .replace(f"range(0, {bg.SAMPLE_NUMBER})", f"range(0, {MULTI_NUMBER})")
+            .replace(f"shard * {bg.SAMPLE_NUMBER}", f"shard * {MULTI_NUMBER}")
+            .replace(f"rn <= {bg.SAMPLE_SIZE}", f"rn <= {MULTI_SIZE}"))
+
+
+@register("bagged_multi_sample", f"""
+WITH {_multi_samples_sql()},
+node AS (SELECT tree, count(*) AS N, var_pop(y) AS mse, avg((y - (SELECT avg(y) FROM r)) * (y - (SELECT avg(y) FROM r))) AS ms FROM s GROUP BY tree),
+br AS ({BRANCH_SQL}),
+pa AS (SELECT tree, attr_pos, count(*) AS k, sum(sse) AS SSE FROM br GROUP BY tree, attr_pos),
+cand AS (
+  SELECT pa.tree, attr_pos, k, round(SSE / N / mse, 9) AS key
+  FROM pa JOIN node ON pa.tree = node.tree
+  WHERE k >= 2 AND N > 1 AND mse > 1e-12 * ms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY key, attr_pos) AS rn FROM cand)
+SELECT CAST(node.tree AS BIGINT) AS tree, N AS n, ranked.attr_pos, ranked.k AS n_branches
+FROM node JOIN ranked ON node.tree = ranked.tree WHERE rn = 1""")
+def q_bagged_multi_sample(spark, base):
+    """Several samples per shard, smaller than the shard: one tree each, with its root split."""
+    train, _ = _split(spark, base)
+    samples = bg.sample_trees(train, "row_id", number=MULTI_NUMBER, size=MULTI_SIZE)
+    model = bg.fit_cells(bg.to_cells(samples, ATTRS, TARGET, bg.target_shift(train, TARGET)), ATTRS,
+                         max_depth=1)
+    root = model.nodes.where(F.col("node") == bg.ROOT)
+    children = model.edges.where(F.col("node") == bg.ROOT).groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n_branches"))
+    return root.join(children, "tree").select("tree", "n", "attr_pos", "n_branches")

@@ -195,3 +195,45 @@ def test_hot_tuple_collapses_to_one_cell_per_tree(spark):
     hot = cells.filter((F.col("a") == "hot") & (F.col("b") == "x"))
     assert hot.count() == n_trees        # one row per tree, whatever its number of copies
     assert hot.agg(F.sum("n")).first()[0] == samples.filter(F.col("a") == "hot").count()
+
+
+def test_values_that_look_like_paths_stay_apart(spark):
+    """Categories with the characters of a path, and empty, missing and odd ones."""
+    attrs = [bg.Attr("u"), bg.Attr("v")]
+    rows = [(1, "a", "b", 10.0), (2, "a", "c", 20.0), (3, "a/1=b", "b", 101.0),
+            (4, "a/1=b", "c", 300.0)]
+    model, preds = _fit_predict(spark, rows, attrs, rows)
+    assert preds == {1: 10.0, 2: 20.0, 3: 101.0, 4: 300.0}
+    assert model.nodes.agg(F.max("depth")).first()[0] == 2
+    odd = ["", "∅", "z", "v", "|", "a|1|v", "=", "/"]
+    rows = [(2 * i + j, u, w, float(i * 7 + j * 100)) for i, u in enumerate(odd)
+            for j, w in enumerate(["b", "c"])]
+    rows += [(90, None, "b", 5000.0), (91, None, "c", 6000.0)]
+    _, preds = _fit_predict(spark, rows, attrs, rows)
+    assert len(preds) == len(rows)
+    assert preds == {r[0]: r[3] for r in rows}
+
+
+def test_numeric_mean_leaves_missing_numbers_out(spark):
+    attrs = [bg.Attr("x", "N")]
+    rows = [(1, 1.0, 1.0), (2, None, 9.0), (3, 3.0, 9.0)]
+    model, _ = _fit_predict(spark, rows, attrs, rows)
+    root = model.nodes.filter(F.col("node") == bg.ROOT).first()
+    assert root.split_cond == 2.0
+
+
+def test_prediction_plan_of_many_trees_is_built_quickly(spark):
+    import time
+    trees = spark.range(11_000).select(F.col("id").alias("tree"))
+    nodes = trees.select("tree", F.lit(bg.ROOT).alias("node"), F.lit(0).alias("depth"),
+                         F.lit(1).cast("long").alias("n"), F.col("tree").cast("double").alias("prediction"),
+                         F.lit(True).alias("is_leaf"), F.lit(None).cast("int").alias("attr_pos"),
+                         F.lit(None).cast("double").alias("split_cond"),
+                         F.lit(None).cast("string").alias("default_child"))
+    edges = spark.createDataFrame([], "tree long, node string, value string, child string")
+    model = bg.BaggedModel(nodes=nodes, edges=edges, attrs=[bg.Attr("a")], trees=trees)
+    rows = spark.createDataFrame([(1, "x")], "row_id long, a string")
+    began = time.time()
+    out = bg.predict_rows(model, rows, "row_id")
+    assert time.time() - began < 20      # one eager checkpoint; no literal list of trees
+    assert out.count() == 11_000
