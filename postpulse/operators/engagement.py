@@ -21,6 +21,8 @@ map-side partial aggregates, never raw rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from postpulse.functions.cleaning import fill_blank_zero, to_int
 from postpulse.sources.csvio import write_delimited
 from postpulse.sources.fixtures import DELETED_AUTHOR
 
+WIDE = "decimal(38,0)"
 POST_COLUMNS = ["author", "link", "num_comments", "subreddit"]
 
 
@@ -35,13 +38,24 @@ def clean_posts(posts: DataFrame, strict: bool = True) -> DataFrame:
     """Blank -> '0' in every field, drop deleted authors, parse the comment count.
 
     A blank author became '0' first and is kept, as in the original mapper.
-    ``strict`` raises on a non-numeric count (ANSI cast); otherwise it is null.
+    ``strict`` raises on a non-numeric count; otherwise it is null.
     """
     filled = fill_blank_zero(posts.select(*POST_COLUMNS))
     return (filled.filter(F.col("author") != F.lit(DELETED_AUTHOR))
                   .withColumn("num_comments", to_int(F.col("num_comments"), strict)))
 
 
+# ---- fixed values: width of a raw post row and the fields the job reads --------
+POST_WIDTH = 95
+POST_FIELDS = {"author": 2, "link": 15, "num_comments": 32, "subreddit": 47}
+# ------------------------------------------------------------------------------
+
+
+def posts_of_raw(raw: DataFrame) -> DataFrame:
+    """The four fields of raw rows ``_c0`` .. ``_c94`` that the ranking needs."""
+    return raw.select(*[F.col(f"_c{i}").alias(n) for n, i in POST_FIELDS.items()])
+
+
 def link_totals(clean: DataFrame) -> DataFrame:
     """Total comments per link (A1)."""
     return clean.groupBy("link").agg(F.sum("num_comments").alias("total_comments"))
@@ -56,11 +70,14 @@ def link_pairs(clean: DataFrame) -> DataFrame:
 
 def engagement_by_group(clean: DataFrame) -> DataFrame:
     """subreddit, num_author, num_links for every community."""
+    # a blank or hot link's rows x comments pass 2**63 long before its rows do
     pairs = link_pairs(clean)
-    with_total = pairs.withColumn("link_total", F.sum("comments").over(Window.partitionBy("link")))
+    total = F.sum(F.col("comments").cast(WIDE)).over(Window.partitionBy("link")).cast(WIDE)
+    with_total = pairs.withColumn("link_total", total)
     return with_total.groupBy("subreddit").agg(
         F.sum("n_rows").alias("num_author"),
-        F.sum(F.col("n_rows") * F.col("link_total")).alias("num_links"))
+        F.sum((F.col("n_rows").cast("decimal(19,0)") * F.col("link_total")).cast(WIDE))
+        .cast(WIDE).alias("num_links"))
 
 
 def engagement_topk(by_group: DataFrame, k: int = 10) -> DataFrame:
@@ -71,26 +88,23 @@ def engagement_topk(by_group: DataFrame, k: int = 10) -> DataFrame:
     return by_group.orderBy(F.desc("num_links"), F.asc("subreddit")).limit(k)
 
 
-def rows_of_groups(rows: DataFrame, groups: DataFrame, key: str = "subreddit",
-                   bounded_rows: int | None = None) -> DataFrame:
-    """Keep rows whose community is in ``groups`` (J2), as a left-semi join.
+def rows_of_groups(rows: DataFrame, groups: DataFrame, key: str = "subreddit") -> DataFrame:
+    """Keep rows whose community is in ``groups`` (J2), as a left-semi join that Spark plans
+    from measured sizes."""
+    return rows.join(groups.select(key), key, "left_semi")
 
-    ``groups`` is broadcast only when the caller states its size bound
-    (``bounded_rows``, e.g. k of a top-k); otherwise Spark/AQE choose from
-    measured sizes.
-    """
-    g = groups.select(key)
-    if bounded_rows is not None and bounded_rows <= 100_000:
-        g = F.broadcast(g)
-    return rows.join(g, key, "left_semi")
 
+def top_groups_rows(posts: Callable[[DataFrame | None], DataFrame], k: int = 10) -> DataFrame:
+    """Rows of the ``k`` most engaging communities.
 
-def top_groups_rows(posts: DataFrame, k: int = 10) -> DataFrame:
-    top = engagement_topk(engagement_by_group(clean_posts(posts)), k)
-    return rows_of_groups(posts, top, bounded_rows=k)
+    ``posts(groups)`` binds the posts; given communities, it keeps theirs only, on the side
+    of its own join that names them, so the second pass filters before it joins.
+    """
+    top = engagement_topk(engagement_by_group(clean_posts(posts(None))), k)
+    return posts(F.broadcast(top.select("subreddit").limit(k)))
 
 
-ENGAGEMENT_SCHEMA = "subreddit string, num_author long, num_links long"
+ENGAGEMENT_SCHEMA = f"subreddit string, num_author long, num_links {WIDE}"
 
 
 def write_engagement(by_group: DataFrame, path: str) -> str:

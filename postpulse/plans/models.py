@@ -28,6 +28,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postpulse.operators.sampling import split_label
 
@@ -42,7 +43,8 @@ TRAIN_PERCENT = 70
 
 def text_columns(df: DataFrame, exclude=()) -> list[str]:
     """Columns of string type: all of them are treated as categorical."""
-    return [n for n, t in df.dtypes if t.startswith("string") and n not in exclude]
+    return [f.name for f in df.schema.fields
+            if isinstance(f.dataType, StringType) and f.name not in exclude]
 
 
 def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None,
@@ -77,6 +79,21 @@ def feature_indexer(df: DataFrame, max_categories: int = MAX_CATEGORIES):
                          maxCategories=max_categories).fit(df)
 
 
+def category_map(df: DataFrame, names: list[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """(feature, name, categorical, n_values, value, place) of the fitted indexer: one row per
+    value of a categorical feature (at most ``max_categories``), one per continuous feature."""
+    maps = feature_indexer(df, max_categories).categoryMaps
+    rows = []
+    for i, name in enumerate(names):
+        known = dict(maps[i]) if i in maps else None
+        if known is None:
+            rows.append((i, name, False, None, None, None))
+        else:
+            rows += [(i, name, True, len(known), float(v), int(p)) for v, p in known.items()]
+    return df.sparkSession.createDataFrame(
+        rows, "feature int, name string, categorical boolean, n_values long, value double, place int")
+
+
 def flatten(df: DataFrame, vector_col: str, prefix: str, width: int) -> DataFrame:
     arr = vector_to_array(F.col(vector_col))
     rest = [c for c in df.columns if c != vector_col]

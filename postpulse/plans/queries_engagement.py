@@ -28,7 +28,7 @@ kept AS (
 lt AS (SELECT link, sum(num_comments) AS total FROM kept GROUP BY link),
 bygroup AS (
   SELECT k.subreddit, CAST(count(*) AS BIGINT) AS num_author,
-         CAST(sum(lt.total) AS BIGINT) AS num_links
+         CAST(sum(lt.total) AS DECIMAL(38,0)) AS num_links
   FROM kept k JOIN lt ON k.link = lt.link GROUP BY k.subreddit)
 """
 
@@ -57,7 +57,7 @@ WITH {POSTS_SQL},
 top AS (SELECT subreddit FROM bygroup ORDER BY num_links DESC, subreddit ASC LIMIT 10)
 SELECT * FROM posts WHERE subreddit IN (SELECT subreddit FROM top)""")
 def q_rows_of_top_groups(spark, base):
-    return eng.top_groups_rows(fx.posts(spark, base), 10)
+    return eng.top_groups_rows(lambda groups: fx.posts(spark, base, groups), 10)
 
 
 @register("engagement_csv", f"WITH {POSTS_SQL} SELECT * FROM bygroup")
@@ -66,3 +66,16 @@ def q_engagement_csv(spark, base):
     path = scratch_path(spark, "engagement")
     eng.write_engagement(q_engagement_by_group(spark, base), path)
     return csvio.read_delimited(spark, path, eng.ENGAGEMENT_SCHEMA, header=False)
+
+
+JOB_SQL = POSTS_SQL.replace("SELECT coalesce(nullif(author, ''), '0') AS author", "SELECT CASE WHEN num_comments = '48' THEN '0' ELSE author END AS author").replace(
+    "WHERE coalesce(nullif(author, ''), '0') <> '[deleted]'",
+    "WHERE num_comments NOT IN ('49', '50') AND (num_comments = '48' OR author <> '[deleted]')")
+
+
+@register("engagement_job", f"WITH {JOB_SQL} SELECT * FROM bygroup")
+def q_engagement_job(spark, base):
+    """Raw post CSV of 95 fields -> width check -> blank to 0 -> author filter -> ranking table."""
+    paths = csvio.write_mixed(fx.raw_posts(spark, base), scratch_path(spark, "raw-posts"))
+    raw = csvio.read_exact_width(spark, paths, eng.POST_WIDTH)
+    return eng.engagement_by_group(eng.clean_posts(eng.posts_of_raw(raw)))

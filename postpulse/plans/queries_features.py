@@ -12,6 +12,7 @@ from postpulse.catalog import register
 from postpulse.functions import cleaning
 from postpulse.functions.sentiment import DEFAULT_LEXICON, VALENCE_SCALE, score_texts
 from postpulse.operators import features
+from postpulse.plans import models
 from postpulse.session import scratch_path
 from postpulse.sources import csvio
 from postpulse.sources import fixtures as fx
@@ -127,6 +128,64 @@ def q_feature_table(spark, base):
     return features.feature_table(fx.comments(spark, base))
 
 
+RAW_SQL = """
+raw AS (
+  SELECT doc_id, text, n_chars,
+         CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 1601510400 + doc_id * 3607 END AS epoch,
+         CASE WHEN doc_id % 40 = 0 THEN '0' ELSE source END AS subreddit
+  FROM documents WHERE doc_id % 17 <> 3 AND doc_id % 19 <> 5)"""
+
+
+def _feature_job_sql(cast: str) -> str:
+    t = "epoch_ms(epoch * 1000)"
+    return f"""
+WITH {SCORE_SQL}, {RAW_SQL}
+SELECT raw.subreddit, CAST(raw.doc_id % 2 AS VARCHAR) AS gilded,
+       CASE WHEN raw.doc_id % 4 = 0 THEN 'True' ELSE 'False' END AS archived,
+       CAST(cls.sentiment_class AS {cast}) AS sentiment,
+       CAST(raw.doc_id % 3 AS VARCHAR) AS controversiality,
+       CAST(raw.n_chars % 100 AS VARCHAR) AS score,
+       CAST(hour({t}) AS INTEGER) AS "HoD", CAST(isodow({t}) AS INTEGER) AS "DoW",
+       CAST(day({t}) AS INTEGER) AS "DoM", CAST(month({t}) AS INTEGER) AS month,
+       CAST(year({t}) AS INTEGER) AS year, CAST(raw.doc_id AS VARCHAR) AS id
+FROM raw JOIN cls ON raw.doc_id = cls.doc_id"""
+
+
+def _raw_features(spark, base):
+    paths = csvio.write_mixed(fx.raw_comments(spark, base), scratch_path(spark, "raw-comments"))
+    raw = csvio.read_exact_width(spark, paths, features.COMMENT_WIDTH, multiline=True)
+    return features.feature_job(raw)
+
+
+@register("feature_job", _feature_job_sql("INTEGER"))
+def q_feature_job(spark, base):
+    """Raw comment CSV -> width check -> blank to 0 -> time parts -> class -> 12 columns."""
+    return _raw_features(spark, base)
+
+
+@register("comment_dt_rmse")
+def q_comment_dt_rmse(spark, base):
+    """The study's whole way: raw comments, feature job, 10 indexed features, tree, RMSE."""
+    rows = features.comment_model_rows(_raw_features(spark, base))
+    data, _ = models.prepare(rows, id_col="id")
+    return models.tree_rmse(data, "dt")
+
+
+@register("comment_rf_rmse")
+def q_comment_rf_rmse(spark, base):
+    rows = features.comment_model_rows(_raw_features(spark, base))
+    data, _ = models.prepare(rows, id_col="id")
+    return models.tree_rmse(data, "rf")
+
+
+@register("comment_features")
+def q_comment_features(spark, base):
+    """Importance of each of the 10 features."""
+    rows = features.comment_model_rows(_raw_features(spark, base))
+    data, idx = models.prepare(rows, id_col="id")
+    return models.tree_summary(data, idx, "dt")
+
+
 @register("feature_stream", f"""
 WITH {SCORE_SQL}
 SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,

@@ -67,15 +67,25 @@ def q_assemble_features(spark, base):
     return models.flatten(data.drop("split"), "features", "f", len(idx))
 
 
-@register("vector_index", _index_sql(
-    "m.event_id, m.score AS label, " + ", ".join(f"i_{c}.idx AS f{i}" for i, c in enumerate(TEXT_COLS))))
+def _vector_index_sql() -> str:
+    parts = [f"SELECT {i} AS feature, '{c}Index' AS name, idx, count(*) OVER () AS n_values, "
+             f"CAST(row_number() OVER (ORDER BY CASE WHEN idx = 0 THEN 0 ELSE 1 END, idx) - 1 AS INTEGER) "
+             f"AS place FROM i_{c}" for i, c in enumerate(TEXT_COLS)]
+    ctes = _index_sql("1").split("\nSELECT")[0]
+    return f"""{ctes}, f AS ({' UNION ALL '.join(parts)})
+SELECT CAST(feature AS INTEGER) AS feature, name, n_values <= {models.MAX_CATEGORIES} AS categorical,
+       CAST(CASE WHEN n_values <= {models.MAX_CATEGORIES} THEN n_values END AS BIGINT) AS n_values,
+       CASE WHEN n_values <= {models.MAX_CATEGORIES} THEN idx END AS value,
+       CASE WHEN n_values <= {models.MAX_CATEGORIES} THEN place END AS place
+FROM f WHERE n_values <= {models.MAX_CATEGORIES} OR idx = 0"""
+
+
+@register("vector_index", _vector_index_sql())
 def q_vector_index(spark, base):
-    """Indexed feature vectors: categorical maps are the identity on index output,
-    features with more than 25 values pass through unchanged."""
+    """The fitted map: which features are categorical, and the place of each of their values
+    (value 0 first, then ascending); a continuous feature is one row without values."""
     data, idx = _prepared(spark, base)
-    vi = models.feature_indexer(data)
-    out = vi.transform(data).select("event_id", "label", "indexedFeatures")
-    return models.flatten(out, "indexedFeatures", "f", len(idx))
+    return models.category_map(data, idx)
 
 
 @register("dt_rmse")

@@ -5,8 +5,7 @@ is for tests, ``bench.py`` and command-line use.
 
 Intermediate tables (lineage cuts in iterative jobs, CSV round trips) are
 written below the folder the cluster names in ``spark.checkpoint.dir``. That
-folder is read from the session; a private temporary one is set only when the
-setting is absent (local tests).
+folder is read from the session; a private temporary one is set only in local mode.
 """
 
 from __future__ import annotations
@@ -33,7 +32,9 @@ def build_session(app: str = "postpulse", cpus: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("POSTPULSE_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.ansi.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.driver.memory", os.environ.get("POSTPULSE_DRIVER_MEMORY", default_heap()))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -44,16 +45,18 @@ def build_session(app: str = "postpulse", cpus: int | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide checkpoint folder; a temp folder only if none is set."""
+    """The cluster-wide checkpoint folder.
+
+    Unset, it is an error on a cluster (each executor would write to its own disk) and a
+    temp folder in local mode, where there is one machine.
+    """
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session has no SparkContext here
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             return configured.rstrip("/")
-        local = tempfile.mkdtemp(prefix="postpulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", local)
-        return local
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
@@ -63,6 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a per-application subfolder; use its parent
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="postpulse-ckpt-")
     sc.setCheckpointDir(local)
     return local
@@ -70,4 +75,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh, never-reused location below the shared folder."""
-    return f"{shared_dir(spark)}/postpulse-scratch/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/postpulse-scratch/{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete every scratch copy made so far in this process; the number deleted.
+
+    For callers that are done with all results built on them.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def default_heap() -> str:
+    """Half of the machine's memory, 16 GB at most."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    return f"{max(1, min(16, total // 2**31))}g"

@@ -95,3 +95,15 @@ def test_hot_link_with_a_third_of_rows(spark):
     assert got == _brute(rows)
     # the hot link reaches the window as one row per community, not 1,000 rows
     assert eng.link_pairs(clean).filter("link = 'HOT'").count() == 5
+
+
+def test_hot_link_passes_64_bits(spark):
+    pairs = spark.createDataFrame([("s1", "0", 300_000_000_000, 7_500_000_000_000)],
+                                  "subreddit string, link string, n_rows long, comments long")
+    original = eng.link_pairs
+    eng.link_pairs = lambda clean: clean
+    try:
+        row = eng.engagement_by_group(pairs).first()
+    finally:
+        eng.link_pairs = original
+    assert int(row.num_links) == 300_000_000_000 * 7_500_000_000_000 > 2 ** 63

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from postpulse import catalog as entry
 
 BASE = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
