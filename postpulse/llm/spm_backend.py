@@ -218,7 +218,8 @@ class Backend:
         marker; the ids of a chunk are those that spell its bytes.
         """
         prefix = MARK if self.model.dummy_prefix else ""
-        marked = [c for c in fresh if c.startswith(prefix) and c != prefix]
+        # a chunk of markers alone would run into the next one
+        marked = [c for c in fresh if c.startswith(prefix) and c.strip(MARK)]
         groups = [marked[i:i + JOINED] for i in range(0, len(marked), JOINED)]
         texts = ["".join(g)[len(prefix):].replace(MARK, " ") for g in groups]
         mine = self.core.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)

@@ -156,7 +156,7 @@ def counted(runs: DataFrame) -> DataFrame:
         "key", "ctx", "n", "m", F.when(is_open, F.col("windows")).otherwise(0).alias("open_windows"))
 
 
-def with_bytes(spark: SparkSession, docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+def with_bytes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """Adds ``data``, the bytes of a run, to (key, ctx, rid, doc_id, start, n, ...) rows."""
     per_doc = chosen.groupBy("rid", "doc_id").agg(F.collect_list(
         F.struct("key", "ctx", "start", "n", "m", "open_windows")).alias("runs"))
@@ -215,7 +215,7 @@ def sort_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def narrowed(contexts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
-    """Cut (key, ctx, m, data) contexts into runs of at most ``width`` windows.
+    """Cut (key, ctx, m, anchor, data) contexts into runs of at most ``width`` windows.
 
     Windows belong together when their distances to the anchor lie in one cell of a grid,
     the same in every context; the bytes that all windows of a cell share are the new key.
@@ -224,9 +224,10 @@ def narrowed(contexts: DataFrame, width: int, length: int, gram: int) -> DataFra
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for key, ctx, m, data in zip(pdf["key"], pdf["ctx"], pdf["m"], pdf["data"]):
-                # the anchor is the first place with its hash
-                at = int(np.argmax(gram_hashes(data, gram) == np.int64(key).view(np.uint64)))
+            for key, ctx, m, at, data in zip(pdf["key"], pdf["ctx"], pdf["m"], pdf["anchor"],
+                                             pdf["data"]):
+                if at < 0:      # not cut yet: the anchor is the first place with the key's hash
+                    at = int(np.argmax(gram_hashes(data, gram) == np.int64(key).view(np.uint64)))
                 lo, n = 0, len(data) - length + 1
                 name = int(key).to_bytes(8, "little", signed=True)
                 while lo < n:
@@ -236,13 +237,14 @@ def narrowed(contexts: DataFrame, width: int, length: int, gram: int) -> DataFra
                     core = data[first:first - width + 1 + length]
                     piece = data[lo:hi + length - 1]
                     out.append((digest(name + cell.to_bytes(4, "little") + core), digest(piece),
-                                m, hi - lo, key, ctx, lo, piece))
+                                m, hi - lo, key, ctx, lo, at - lo, piece))
                     lo = hi
             yield pd.DataFrame(out, columns=["key", "ctx", "m", "n", "root_key", "root_ctx", "at",
-                                             "data"])
+                                             "anchor", "data"])
 
-    return contexts.select("key", "ctx", "m", "data").mapInPandas(
-        cut, "key long, ctx long, m long, n int, root_key long, root_ctx long, at int, data binary")
+    return contexts.select("key", "ctx", "m", "anchor", "data").mapInPandas(
+        cut, "key long, ctx long, m long, n int, root_key long, root_ctx long, at int, "
+             "anchor int, data binary")
 
 
 def repeats(spark: SparkSession, contexts: DataFrame, length: int, gram: int, hot: int,
@@ -261,7 +263,7 @@ def repeats(spark: SparkSession, contexts: DataFrame, length: int, gram: int, ho
         F.col("root_key").alias("key"), F.col("root_ctx").alias("ctx"), F.col("at").alias("lo"),
         (F.col("at") + F.col("n")).alias("hi"))
     still = verdict.where("open_windows > 0").select("key", "ctx", "m", "open_windows")
-    still = (pieces.select("key", "ctx", "n", "data").join(still, ["key", "ctx"])
+    still = (pieces.select("key", "ctx", "n", "anchor", "data").join(still, ["key", "ctx"])
              .dropDuplicates(["key", "ctx"]))
     deeper = repeats(spark, landed(spark, still, "repeats-open"), length, gram, hot, widths[1:])
     deeper = deeper.join(roots, ["key", "ctx"]).select(
@@ -288,9 +290,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     open_ = verdict.where("open_windows > 0").select("key", "ctx", "m", "open_windows")
     first = runs.join(open_, ["key", "ctx"]).groupBy("key", "ctx").agg(
         F.min(F.struct("rid", "doc_id", "start", "n", "m", "open_windows")).alias("run"))
-    contexts = landed(spark, with_bytes(spark, docs, first.select("key", "ctx", "run.*"), length),
+    contexts = landed(spark, with_bytes(docs, first.select("key", "ctx", "run.*"), length),
                       "repeats-contexts")
-    parts = repeats(spark, contexts, length, gram, hot)
+    parts = repeats(spark, contexts.withColumn("anchor", F.lit(-1)), length, gram, hot)
     whole = verdict.where("m > 1").select("key", "ctx", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     found = landed(spark, parts.unionByName(whole), "repeats-found")
     return runs.join(found, ["key", "ctx"]).groupBy("doc_id", "rid").agg(F.collect_set(

@@ -186,6 +186,9 @@ def write_store(spark: SparkSession, df: DataFrame, path: str, tokenizer: str, e
 
 def read_store(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    columns = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    if manifest.isEmpty():       # no file, and so no folder either
+        return spark.createDataFrame([], columns)
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file of about FILE_IDS ids
     before = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
@@ -204,4 +207,4 @@ def read_store(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame
                                     "n_tokens": np.diff(starts), "ids_crc32": crc})
 
     return files.join(F.broadcast(before), "file").mapInPandas(
-        unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        unpack, columns)
