@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-LIMIT = 1_000_000
+LIMIT = 600_000
 JOINED = 64          # new pieces per library call
 
 #: Characters whose lower case and NFC form Python and the library give alike: printable
