@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postpulse.llm.common import normal_text
+from postpulse.llm.common import TIDY, landed, normal_text, session_settings
 from postpulse.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
+         # many small stores: no space set aside, small change logs instead of whole snapshots
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 LOCATOR = "struct<no_id:boolean,doc_id:bigint,file:string,row:bigint>"
 
 
@@ -65,18 +68,11 @@ def run_state(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     state = stream.groupBy("digest").agg(F.min("at").alias("keep"),
                                          F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
+    with session_settings(spark, STATE | {TIDY: "true"}):
         query = (state.writeStream.outputMode("update").foreachBatch(write)
                  .option("checkpointLocation", f"{root}/checkpoint")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
     # an empty input runs no batch; the union gives the reader a schema and a file either way
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{changes}/batch=-1")
     changed = spark.read.schema(schema).parquet(changes)
@@ -105,23 +101,18 @@ def exact_groups(spark: SparkSession, path: str, id_col: str = "doc_id",
     rows = rows.select(
         "*", digest(F.col("norm")).alias("digest"), sha256_hex(F.col("norm")).alias("text_sha256"))
     narrow = rows.select("doc_id", "file", "row", "digest", "text_sha256")
-    joined = narrow.join(state, "digest")
-    alone = joined.where("group_size = 1")
-    hit_keys = state.where("group_size > 1")
+    alone = narrow.join(state.where("group_size = 1"), "digest")
 
     # byte check: each hit against the text at its key's locator
-    hits = rows.join(hit_keys, "digest")
+    hits = landed(spark, rows.join(state.where("group_size > 1"), "digest"), "dedup-hits")
     kept_text = hits.where((F.col("file") == F.col("keep.file"))
                            & (F.col("row") == F.col("keep.row"))).select(
         F.col("digest"), F.col("norm").alias("kept_norm"))
     checked = hits.join(kept_text, "digest").withColumn(
         "same", F.col("norm").cast("binary") == F.col("kept_norm").cast("binary"))
-    checked_path = scratch_path(spark, "dedup-checked")
     # only rows whose bytes differ carry their text on
-    checked.select("doc_id", "file", "row", "digest", "text_sha256", "keep", "group_size",
-                   "same", F.when(~F.col("same"), F.col("norm")).alias("norm")
-                   ).write.parquet(checked_path)
-    checked = spark.read.parquet(checked_path)
+    checked = landed(spark, checked.withColumn("norm", F.when(~F.col("same"), F.col("norm")))
+                     .drop("kept_norm"), "dedup-checked")
     odd = checked.where("not same")
     n_odd = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("odd_rows"))
     good = (checked.where("same").join(n_odd, "digest", "left")
