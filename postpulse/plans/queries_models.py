@@ -88,6 +88,39 @@ def q_vector_index(spark, base):
     return models.category_map(data, idx)
 
 
+def _stump_sql() -> str:
+    base = _index_sql("m.event_id, m.score AS label, " + ", ".join(
+        f"i_{c}.idx AS f{i}" for i, c in enumerate(TEXT_COLS)))
+    parts = []
+    for i, c in enumerate(TEXT_COLS):
+        parts.append(f"SELECT {i} AS f, '{c}Index' AS feature, f{i} AS v, count(*) AS n, sum(label) AS s, "
+                     f"(SELECT count(DISTINCT f{i}) FROM d) <= {models.MAX_CATEGORIES} AS cat "
+                     f"FROM tr GROUP BY f{i}")
+    return f"""
+WITH d AS ({base}),
+tr AS (SELECT * FROM d WHERE label IS NOT NULL
+       AND {sql_md5_number(SPLIT_SEED, 'event_id')} % 100 < 70),
+st AS ({' UNION ALL '.join(parts)}),
+run AS (SELECT f, feature, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+               sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+        FROM st WINDOW w AS (PARTITION BY f ORDER BY CASE WHEN cat THEN s / n ELSE v END, v
+                             ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT * FROM run WHERE nl < n
+         ORDER BY round(sl * sl * 1.0 / nl + (s - sl) * (s - sl) * 1.0 / (n - nl), 6) DESC, f LIMIT 1),
+sides AS (SELECT feature, nl AS n, sl * 1.0 / nl AS mean FROM best
+          UNION ALL SELECT feature, n - nl, (s - sl) * 1.0 / (n - nl) FROM best)
+SELECT feature, CASE WHEN mean = (SELECT min(mean) FROM sides) THEN 'low' ELSE 'high' END AS side,
+       CAST(n AS BIGINT) AS n, round(mean, 6) AS mean
+FROM sides"""
+
+
+@register("dt_stump", _stump_sql())
+def q_dt_stump(spark, base):
+    """The best single split of the train rows: feature, and size and mean of both sides."""
+    data, idx = _prepared(spark, base)
+    return models.stump(data, idx)
+
+
 @register("dt_rmse")
 def q_dt_rmse(spark, base):
     data, _ = _prepared(spark, base)

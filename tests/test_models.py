@@ -41,3 +41,57 @@ def test_indexers_fitted_on_train_only_keep_unseen(spark):
     data, idx = models.prepare(rows, fit_on_train=True)
     assert data.count() == rows.filter(F.col("score").isNotNull()).count()
     assert set(data.select("split").distinct().toPandas()["split"]) == {"train", "test"}
+
+
+def _toy(spark, n=240):
+    """Label follows feature 0 alone; feature 1 is noise, feature 2 constant."""
+    from postpulse.operators.sampling import split_label
+    rows = [(i, f"a{i % 6}", f"b{(i * 7) % 5}", "c", (i % 6) * 10 + (i * 13) % 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, a string, b string, c string, score int")
+    return models.prepare(df)
+
+
+def test_tree_rmse_of_a_known_feature(spark):
+    data, idx = _toy(spark)
+    row = models.tree_rmse(data, "dt").first()
+    assert row.rmse < 1.5 and row.num_nodes > 1
+    summary = {r.feature: r.importance for r in models.tree_summary(data, idx, "dt").collect()}
+    assert max(summary, key=summary.get) == "aIndex" and summary["aIndex"] > 0.95
+    assert summary["cIndex"] == 0.0
+
+
+def test_forest_of_one_plain_tree_equals_the_tree(spark):
+    data, _ = _toy(spark)
+    tree = models.tree_rmse(data, "dt").first()
+    forest = models.tree_rmse(data, "rf", numTrees=1, bootstrap=False, featureSubsetStrategy="all").first()
+    assert abs(tree.rmse - forest.rmse) < 1e-9 and tree.num_nodes == forest.num_nodes
+
+
+def test_grid_search_equals_a_fold_loop_by_hand(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor
+    data, _ = _toy(spark)
+    depths, bins, folds = [1, 3], [25, 35], 3
+    got = models.tuned_rmse(data, "dt", depths, bins, folds).first()
+    indexed = models.feature_indexer(data).transform(data).withColumn("fold", models.fold_of("event_id", folds))
+    train = indexed.filter(F.col("split") == "train").cache()
+    evaluator = RegressionEvaluator(metricName="rmse")
+    scores = []
+    for d in depths:
+        for b in bins:
+            est = DecisionTreeRegressor(featuresCol="indexedFeatures", maxDepth=d, maxBins=b, seed=42)
+            errors = [evaluator.evaluate(est.fit(train.where(F.col("fold") != k)).transform(
+                train.where(F.col("fold") == k))) for k in range(folds)]
+            scores.append((sum(errors) / folds, d, b))
+    best = min(scores, key=lambda x: x[0])
+    final = DecisionTreeRegressor(featuresCol="indexedFeatures", maxDepth=best[1], maxBins=best[2], seed=42)
+    rmse = evaluator.evaluate(final.fit(train).transform(indexed.filter(F.col("split") == "test")))
+    assert (got.best_max_depth, got.best_max_bins) == best[1:]
+    assert abs(got.rmse - rmse) < 1e-9
+
+
+def test_stump_takes_the_useful_feature(spark):
+    data, idx = _toy(spark)
+    rows = models.stump(data, idx).collect()
+    assert {r.feature for r in rows} == {"aIndex"} and {r.side for r in rows} == {"low", "high"}
+    assert sum(r.n for r in rows) == data.filter(F.col("split") == "train").count()
