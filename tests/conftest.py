@@ -24,6 +24,10 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.eventLog.enabled", "true")     # plans of all jobs, for test_plans
+         .config("spark.eventLog.dir", tempfile.mkdtemp(prefix="postpulse-test-events-"))
+         .config("spark.eventLog.rolling.enabled", "false")
+         .config("spark.eventLog.compress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

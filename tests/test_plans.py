@@ -1,5 +1,9 @@
 """Physical-plan properties the design relies on at scale."""
 
+import glob
+import json
+import os
+
 import pytest
 
 from postpulse import catalog as entry
@@ -63,3 +67,27 @@ def test_top_groups_broadcasts_only_the_bounded_top_k(plans):
     plan = plans["rows_of_top_groups"]
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+MANY_JOBS = ("bagged_predict", "shard_sample", "feature_job", "engagement_job", "shuffle_rows")
+
+
+def _log(spark) -> str:
+    folder = spark.sparkContext.getConf().get("spark.eventLog.dir").replace("file:", "")
+    return max(glob.glob(f"{folder}/*{spark.sparkContext.applicationId}*"), key=os.path.getmtime)
+
+
+@pytest.mark.parametrize("key", MANY_JOBS)
+def test_every_job_of_a_key_keeps_the_rules(spark, key):
+    """Plans of all jobs that a key runs, not only of the frame it returns."""
+    path = _log(spark)
+    start = os.path.getsize(path)
+    entry.queries()[key](spark, BASE).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    with open(path, encoding="utf-8", errors="replace") as f:
+        f.seek(start)
+        plans = [e["physicalPlanDescription"] for e in map(json.loads, f.read().splitlines())
+                 if "physicalPlanDescription" in e]
+    assert len(plans) >= 2
+    for plan in plans:
+        assert not [x for x in FORBIDDEN if x in plan]
