@@ -18,7 +18,10 @@ Indexers are fitted on all rows before the split, as in the original;
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
@@ -193,13 +196,15 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
     """Grid search with k-fold cross-validation, refit, test RMSE (M4, M5, M6).
 
     A row's fold is the md5 bucket of its id, so folds do not depend on partitioning.
-    ``parallelism`` fits run at a time: twice the cluster's cores unless given.
-
-    The feature indexer is fitted once (on all rows, as in the original) and
-    applied once before the 151 fits rather than inside every pipeline; the
-    indexed training rows are persisted. ``cacheNodeIds`` (node ids kept per
-    row and checkpointed every 10 iterations) and ``maxMemoryInMB`` change how
-    a deep tree or forest is computed, not the fitted trees.
+    ``parallelism`` fits run at a time: twice the cluster's cores unless given. The feature
+    indexer is fitted once (on all rows, as in the original) and applied once before the
+    fits; the indexed training rows are persisted. ``cacheNodeIds`` (node ids kept per row
+    and checkpointed every 10 iterations) and ``maxMemoryInMB`` change how a deep tree or
+    forest is computed, not the fitted trees.
+
+    For a single tree, one fit per (bins, fold) to the greatest depth scores every depth:
+    growth is greedy, so a tree of less depth is the deeper one cut off (``depth_errors``).
+    A forest draws features per node, so its grid is fitted point by point.
     """
     vi = feature_indexer(data)
     est = (DecisionTreeRegressor if kind == "dt" else RandomForestRegressor)(
@@ -207,26 +212,83 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
         cacheNodeIds=True, seed=seed)
     grid = (ParamGridBuilder().addGrid(est.maxDepth, depth_grid)
             .addGrid(est.maxBins, bins_grid).build())
-    evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator,
-                        numFolds=folds, foldCol="fold", parallelism=min(
-                            len(grid), parallelism
-                            or 2 * data.sparkSession.sparkContext.defaultParallelism))
+    at_once = min(len(grid), parallelism or 2 * data.sparkSession.sparkContext.defaultParallelism)
     indexed = vi.transform(data)
     train = indexed.filter(F.col("split") == "train").select(
         "indexedFeatures", "label", fold_of(id_col, folds).alias("fold")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cv_model = cv.fit(train)
+        if kind == "dt":
+            errors = tree_grid_errors(train, est, depth_grid, bins_grid, folds, at_once)
+            best = min(grid, key=lambda g: errors[g[est.maxDepth], g[est.maxBins]])
+            tree = est.fit(train, best)
+        else:
+            cv = CrossValidator(
+                estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
+                evaluator=RegressionEvaluator(labelCol="label", predictionCol="prediction",
+                                              metricName="rmse"), parallelism=at_once)
+            tree = cv.fit(train).bestModel
     finally:
         train.unpersist()
-    tree = cv_model.bestModel
-    pred = cv_model.transform(indexed.filter(F.col("split") == "test"))
+    pred = tree.transform(indexed.filter(F.col("split") == "test"))
     return _rmse_frame(pred, model=kind, best_max_depth=int(tree.getOrDefault("maxDepth")),
                        best_max_bins=int(tree.getOrDefault("maxBins")),
                        grid_points=len(grid), folds=folds)
 
 
+def tree_grid_errors(train: DataFrame, est, depth_grid, bins_grid, folds: int,
+                     at_once: int) -> dict[tuple[int, int], float]:
+    """Mean validation RMSE over the folds for each (depth, bins), from one deep fit each."""
+    def run(job: tuple[int, int]) -> dict[int, float]:
+        bins, fold = job
+        model = est.copy({est.maxDepth: max(depth_grid), est.maxBins: bins,
+                          est.leafCol: "leaf"}).fit(train.where(F.col("fold") != fold))
+        leaves = model.transform(train).groupBy(
+            F.col("leaf").cast("int").alias("leaf"), (F.col("fold") == fold).alias("held")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"),
+            F.sum(F.col("label") * F.col("label")).alias("ss")).toPandas()   # two rows per leaf
+        return depth_errors(model.toDebugString, leaves, depth_grid)
+
+    jobs = [(b, k) for b in bins_grid for k in range(folds)]
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(train.sparkSession)(run), jobs))
+    return {(d, b): sum(e[d] for (bb, _), e in zip(jobs, done) if bb == b) / folds
+            for d in depth_grid for b in bins_grid}
+
+
+def depth_errors(tree_text: str, leaves, depth_grid) -> dict[int, float]:
+    """RMSE on the held rows of a tree cut off at each depth.
+
+    ``leaves`` has n, s and ss of the labels per leaf for fitted and held rows; a node's
+    prediction is the mean of the fitted rows below it.
+    """
+    paths, open_ = [], []          # per leaf in preorder, the numbers of its ancestors
+    count = 0
+    for line in tree_text.splitlines()[1:]:
+        depth = len(line) - len(line.lstrip()) - 2
+        if line.lstrip().startswith("If"):
+            open_[depth:] = [count]
+            count += 1
+        elif line.lstrip().startswith("Predict"):
+            paths.append([*open_[:depth], count])
+            count += 1
+    fitted = {r.leaf: r for r in leaves[~leaves["held"]].itertuples()}
+    held = {r.leaf: r for r in leaves[leaves["held"]].itertuples()}
+    n, s = np.zeros(count), np.zeros(count)
+    for leaf, path in enumerate(paths):
+        if leaf in fitted:
+            n[path] += fitted[leaf].n
+            s[path] += fitted[leaf].s
+    mean = s / np.maximum(n, 1)
+    total = sum(r.n for r in held.values())
+    out = {}
+    for d in depth_grid:
+        p = [mean[path[min(d, len(path) - 1)]] for path in paths]
+        sse = sum(r.ss - 2 * p[leaf] * r.s + r.n * p[leaf] ** 2 for leaf, r in held.items())
+        out[d] = float(np.sqrt(max(sse, 0.0) / total)) if total else 0.0
+    return out
+
+
 def tree_summary(data: DataFrame, idx_cols: list[str], kind: str = "dt") -> DataFrame:
     """Fitted-model summary: one row per feature with its importance (M7)."""
     model = fit_tree(data, kind)

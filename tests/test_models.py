@@ -71,7 +71,7 @@ def test_grid_search_equals_a_fold_loop_by_hand(spark):
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import DecisionTreeRegressor
     data, _ = _toy(spark)
-    depths, bins, folds = [1, 3], [25, 35], 3
+    depths, bins, folds = [1, 2, 3, 6], [25, 35], 3
     got = models.tuned_rmse(data, "dt", depths, bins, folds).first()
     indexed = models.feature_indexer(data).transform(data).withColumn("fold", models.fold_of("event_id", folds))
     train = indexed.filter(F.col("split") == "train").cache()
@@ -95,3 +95,24 @@ def test_stump_takes_the_useful_feature(spark):
     rows = models.stump(data, idx).collect()
     assert {r.feature for r in rows} == {"aIndex"} and {r.side for r in rows} == {"low", "high"}
     assert sum(r.n for r in rows) == data.filter(F.col("split") == "train").count()
+
+
+def test_one_deep_fit_scores_every_depth(spark):
+    """Grid errors equal those of plain fits at each depth, on the model table's rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from postpulse.sources import fixtures as fx
+    data, _ = models.prepare(fx.model_rows(spark, "/root/testdata/sf0.001"))
+    indexed = models.feature_indexer(data).transform(data)
+    train = indexed.filter(F.col("split") == "train").select(
+        "indexedFeatures", "label", models.fold_of("event_id", 2).alias("fold")).cache()
+    est = DecisionTreeRegressor(featuresCol="indexedFeatures", seed=42)
+    depths, bins = [1, 4, 9, 30], [32, 40]
+    got = models.tree_grid_errors(train, est, depths, bins, 2, 4)
+    evaluator = RegressionEvaluator(metricName="rmse")
+    for d in depths:
+        for b in bins:
+            plain = est.copy({est.maxDepth: d, est.maxBins: b})
+            want = sum(evaluator.evaluate(plain.fit(train.where(F.col("fold") != k)).transform(
+                train.where(F.col("fold") == k))) for k in range(2)) / 2
+            assert abs(got[d, b] - want) < 1e-7 * want
