@@ -286,11 +286,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     runs = landed(spark, anchor_runs(docs, length, gram), "repeats-runs")
     verdict = landed(spark, counted(runs.withColumn("m", F.lit(1).cast("long"))),
                      "repeats-counted")
-    # one run of each context that takes part in a sort
-    open_ = verdict.where("open_windows > 0").select("key", "ctx", "m", "open_windows")
-    first = runs.join(open_, ["key", "ctx"]).groupBy("key", "ctx").agg(
-        F.min(F.struct("rid", "doc_id", "start", "n", "m", "open_windows")).alias("run"))
-    contexts = landed(spark, with_bytes(docs, first.select("key", "ctx", "run.*"), length),
+    # one run of each context that takes part in a sort, chosen before the shuffle: rows of the
+    # smallest text hash are the same text, so its id and place may come from different ones
+    open_ = verdict.where("open_windows > 0").select("key", "ctx", "n", "m", "open_windows")
+    first = runs.groupBy("key", "ctx").agg(
+        F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"),
+        F.min_by("start", "rid").alias("start"))
+    contexts = landed(spark, with_bytes(docs, first.join(open_, ["key", "ctx"]), length),
                       "repeats-contexts")
     parts = repeats(spark, contexts.withColumn("anchor", F.lit(-1)), length, gram, hot)
     whole = verdict.where("m > 1").select("key", "ctx", F.lit(0).alias("lo"), F.col("n").alias("hi"))
