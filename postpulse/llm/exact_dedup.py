@@ -76,8 +76,9 @@ def run_state(spark: SparkSession, stream: DataFrame) -> DataFrame:
     # an empty input runs no batch; the union gives the reader a schema and a file either way
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{changes}/batch=-1")
     changed = spark.read.schema(schema).parquet(changes)
-    return changed.groupBy("digest").agg(F.min("keep").alias("keep"),
-                                         F.max("group_size").alias("group_size"))
+    # landed, so that the joins with it have no aggregate of their own and can be split
+    return landed(spark, changed.groupBy("digest").agg(
+        F.min("keep").alias("keep"), F.max("group_size").alias("group_size")), "dedup-state")
 
 
 def exact_groups(spark: SparkSession, path: str, id_col: str = "doc_id",
