@@ -34,6 +34,15 @@ CLASS_THRESHOLDS = (0.6, 0.25, -0.25, -0.6)
 MISSING_TEXT_CLASS = 10
 # -----------------------------------------------------------------------------
 
+# ---- fixed values of the published rule-based scorer ------------------------
+NEGATION_FACTOR = -0.74      # a negation among the three words before
+CAPITALS_INCREMENT = 0.733   # a word in capitals in a text that is not all capitals
+EXCLAMATION_INCREMENT = 0.292
+MAX_EXCLAMATIONS = 4
+BOOSTER = 0.293              # an intensifier just before; its opposite for a damper
+NEGATION_REACH = 3
+# -----------------------------------------------------------------------------
+
 # Lexicon used by the registered queries and tests (FIXTURES.md, "lexicon").
 DEFAULT_LEXICON = {"the": 1.0, "and": 0.7, "of": -1.0, "in": -0.8, "to": -0.9,
                    "la": 1.2, "der": -1.1}
@@ -111,3 +120,58 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, lexicon=None) -> Data
              .withColumn("compound", F.when(text.isNull(), F.lit(None)).otherwise(compound_from_sum(s)))
              .drop("_sid", "_v"))
     return out.withColumn("sentiment_class", sentiment_class(text, F.col("compound")))
+
+
+WORD_PATTERN = "[\\p{L}']+"
+#: Default word lists of the rules; both are arguments.
+NEGATIONS = ("not", "no", "never", "don't", "can't", "won't", "isn't", "nicht", "pas", "on")
+BOOSTERS = {"very": 1, "really": 1, "so": 1, "that": 1, "slightly": -1, "barely": -1, "is": -1}
+
+
+def rule_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
+                negations=NEGATIONS, boosters=BOOSTERS) -> DataFrame:
+    """(id, compound, sentiment_class): the word sum with its context rules.
+
+    Words are letters of any script and apostrophes. A word's valence moves away from
+    zero by BOOSTER after an intensifier (towards it after a damper) and by
+    CAPITALS_INCREMENT when it stands in capitals in a mixed text, and is multiplied by
+    NEGATION_FACTOR when one of the three words before is a negation. Up to four
+    exclamation marks then add to the sum's size. Each word's valence is rounded to four
+    decimals and summed as a whole number, so the sum does not depend on order.
+
+    One plan for every lexicon: the words with their three predecessors are exploded and
+    equi-joined with the lexicon table, then summed per document.
+    """
+    text = F.col(text_col)
+    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    base = df.select(F.col(id_col).alias("_sid"), text.alias("_text"), words.alias("_w"))
+    caps = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
+    base = base.withColumn("_mixed", F.exists("_w", caps) & ~F.forall("_w", caps))
+
+    def context(w, i):
+        before = [F.lower(F.try_element_at("_w", i + 1 - k)) for k in range(1, NEGATION_REACH + 1)]
+        before = [F.when(i >= k, b) for k, b in enumerate(before, 1)]
+        negated = F.lit(False)
+        for b in before:
+            negated = negated | F.coalesce(b.isin(list(negations)), F.lit(False))
+        boost = F.lit(0)
+        for word, sign in boosters.items():
+            boost = F.when(before[0] == word, F.lit(sign)).otherwise(boost)
+        return F.struct(F.lower(w).alias("token"), (caps(w) & F.col("_mixed")).alias("loud"),
+                        negated.alias("negated"), boost.alias("boost"))
+
+    tokens_ = base.select("_sid", F.explode(F.transform("_w", context)).alias("t")).select("_sid", "t.*")
+    v = F.col("v").cast("double") / VALENCE_SCALE
+    moved = v + F.signum(v) * (F.when(F.col("loud"), CAPITALS_INCREMENT).otherwise(0.0)
+                               + F.col("boost") * BOOSTER)
+    turned = moved * F.when(F.col("negated"), NEGATION_FACTOR).otherwise(1.0)
+    units = F.floor(turned * VALENCE_SCALE + 0.5).cast("long")
+    sums = (tokens_.join(lexicon_rows(lexicon), "token")
+            .groupBy("_sid").agg(F.sum(units).alias("_v")))
+    marks = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
+                    F.lit(MAX_EXCLAMATIONS))
+    s = F.coalesce(F.col("_v"), F.lit(0)) / F.lit(float(VALENCE_SCALE))
+    s = s + F.signum(s) * marks * EXCLAMATION_INCREMENT
+    out = df.select(id_col, text_col).join(sums, F.col(id_col) == F.col("_sid"), "left").withColumn(
+        "compound", F.when(text.isNull(), F.lit(None)).otherwise(compound_from_sum(s)))
+    return out.select(id_col, "compound", sentiment_class(text, F.col("compound")).alias("sentiment_class"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postpulse.catalog import register
 from postpulse.functions import cleaning
+from postpulse.functions import sentiment as sent
 from postpulse.functions.sentiment import DEFAULT_LEXICON, VALENCE_SCALE, score_texts
 from postpulse.operators import features
 from postpulse.plans import models
@@ -128,6 +129,47 @@ def q_feature_table(spark, base):
     return features.feature_table(fx.comments(spark, base))
 
 
+def _rules_sql() -> str:
+    neg = ", ".join("'" + w.replace("'", "''") + "'" for w in sent.NEGATIONS)
+    boost = " ".join(f"WHEN '{w}' THEN {k}" for w, k in sent.BOOSTERS.items())
+    lex = ", ".join(f"('{w}', {int(round(v * VALENCE_SCALE))})" for w, v in DEFAULT_LEXICON.items())
+    caps = "(upper({0}) = {0} AND lower({0}) <> {0})"
+    return f"""
+WITH lex(token, v) AS (VALUES {lex}),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}'']+') AS ws FROM documents),
+m AS (SELECT *, len([x FOR x IN ws IF {caps.format('x')}]) AS n_caps FROM w),
+p AS (SELECT doc_id, ws, n_caps > 0 AND n_caps < len(ws) AS mixed, unnest(range(1, len(ws) + 1)) AS i FROM m),
+t AS (SELECT doc_id, lower(ws[i]) AS token, mixed AND {caps.format('ws[i]')} AS loud,
+             coalesce(i > 1 AND lower(ws[i - 1]) IN ({neg}), false)
+             OR coalesce(i > 2 AND lower(ws[i - 2]) IN ({neg}), false)
+             OR coalesce(i > 3 AND lower(ws[i - 3]) IN ({neg}), false) AS negated,
+             CASE WHEN i > 1 THEN CASE lower(ws[i - 1]) {boost} ELSE 0 END ELSE 0 END AS boost FROM p),
+s AS (SELECT doc_id, sum(CAST(floor(
+        (CAST(v AS DOUBLE) / {VALENCE_SCALE} + sign(v) * (CASE WHEN loud THEN {sent.CAPITALS_INCREMENT}::DOUBLE ELSE 0.0::DOUBLE END
+          + boost * {sent.BOOSTER}::DOUBLE))
+        * (CASE WHEN negated THEN {sent.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END) * {VALENCE_SCALE} + 0.5) AS BIGINT)) AS v
+      FROM t JOIN lex USING (token) GROUP BY doc_id),
+q AS (SELECT d.doc_id, d.text, coalesce(s.v, 0) / {float(VALENCE_SCALE)}::DOUBLE AS s,
+             least(length(d.text) - length(replace(d.text, '!', '')), {sent.MAX_EXCLAMATIONS}) AS marks
+      FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id),
+c AS (SELECT doc_id, text, s + sign(s) * marks * {sent.EXCLAMATION_INCREMENT}::DOUBLE AS s FROM q),
+comp AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL
+                ELSE round(s / sqrt(s * s + {float(sent.ALPHA)}::DOUBLE), 4) END AS compound FROM c)
+SELECT doc_id, compound,
+       CASE WHEN text IS NULL OR text = '' THEN 10
+            WHEN compound > 0.6 THEN 1 WHEN compound > 0.25 THEN 2
+            WHEN compound > -0.25 THEN 3 WHEN compound > -0.6 THEN 4 ELSE 5 END AS sentiment_class
+FROM comp"""
+
+
+@register("sentiment_rules", _rules_sql())
+def q_sentiment_rules(spark, base):
+    """Word sum with negation, intensifiers, capitals and exclamation marks; the lexicon is a table."""
+    lexicon = spark.createDataFrame(list(DEFAULT_LEXICON.items()), "token string, valence double")
+    d = table(spark, base, "documents").select("doc_id", "text")
+    return sent.rule_scores(d, "doc_id", "text", lexicon)
+
+
 RAW_SQL = """
 raw AS (
   SELECT doc_id, text, n_chars,

@@ -129,3 +129,22 @@ def test_positions_show_a_wrong_order(spark):
     from postpulse.operators.sampling import with_position
     rows = with_position(spark.range(100).orderBy(F.desc("id"))).collect()
     assert sorted((r.position, r.id) for r in rows) == [(i, 99 - i) for i in range(100)]
+
+
+def test_rules_change_the_score(spark):
+    from postpulse.functions.sentiment import rule_scores
+    lexicon = spark.createDataFrame([("good", 2.0), ("über", 1.5), ("bad", -2.0)], "token string, valence double")
+    texts = ["good", "not good", "very good", "GOOD day", "GOOD", "good!!", "bad!!!!!!", "über alles", None, "",
+             "good, not so bad"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = {r.id: (r.compound, r.sentiment_class) for r in rule_scores(rows, "id", "body", lexicon).collect()}
+    score = lambda s: round(s / (s * s + 15) ** 0.5, 4)
+    assert got[0][0] == score(2.0)
+    assert got[1][0] == score(2.0 * -0.74)
+    assert got[2][0] == score(2.0 + 0.293)
+    assert got[3][0] == score(2.0 + 0.733) and got[4][0] == score(2.0)
+    assert got[5][0] == score(2.0 + 2 * 0.292) and got[6][0] == score(-2.0 - 4 * 0.292)
+    assert got[7][0] == score(1.5)
+    assert got[8] == (None, 10) and got[9][1] == 10
+    # "so" boosts and "not" turns the second word
+    assert got[10][0] == score(2.0 + round((-2.0 - 0.293) * -0.74, 4))
