@@ -13,10 +13,11 @@ from __future__ import annotations
 import re
 import sys
 
-import __spark_entry__ as entry
+from postpulse import catalog as entry
 from postpulse.session import build_session
 
-ML_KEYS = {"dt_rmse", "rf_rmse", "dt_cv", "rf_cv", "tree_summary"}
+ML_KEYS = {"dt_rmse", "rf_rmse", "dt_cv", "rf_cv", "tree_summary", "dt_stump", "comment_dt_rmse",
+           "comment_rf_rmse", "comment_features"}
 
 
 def facts(spark, df) -> dict:
