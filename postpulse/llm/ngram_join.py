@@ -37,7 +37,7 @@ SHINGLE = 5
 VALUES, TREES, LABEL = 128, 64, 12
 RECALL = 0.999
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
-CACHE = 1_000_000
+CACHE = 400_000
 NO_SET = 0
 
 
@@ -246,7 +246,8 @@ def similar_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
     # exact verification: the text of one document per class
     wanted = members.select("comp", "blocks", "block", "cls", "copies",
                             F.col("one.doc_id").alias("d"), F.col("one.rid").alias("r"))
-    texts = docs.join(wanted, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    # the same join at every size: the members grow with the corpus and are never broadcast
+    texts = docs.join(wanted.hint("merge"), (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
     def to_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
