@@ -61,7 +61,17 @@ def landed(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     with session_settings(spark, {TIDY: "true"}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete ``landed`` tables that nothing reads any more: all built on them is landed too."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.landed_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
