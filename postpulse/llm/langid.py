@@ -32,6 +32,7 @@ ORDER = 3
 UNDETERMINED = "und"
 SLICE = 1 << 20       # bytes scored at a time
 HASH_BITS = 21
+BROADCAST_ROWS = 500_000
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -67,6 +68,10 @@ def training_rows(docs: DataFrame, max_docs: int) -> DataFrame:
     ids = (docs.where("lang is not null").select("lang", "doc_id")
            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
            .select("lang", "doc_id").distinct())
+    # languages x max_docs rows at most: below BROADCAST_ROWS the texts need no shuffle
+    langs = docs.where("lang is not null").select("lang").distinct().count()
+    if langs * max_docs <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     return docs.join(ids, ["lang", "doc_id"], "left_semi").select("lang", "text")
 
 
