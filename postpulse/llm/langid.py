@@ -33,6 +33,7 @@ UNDETERMINED = "und"
 SLICE = 1 << 20       # bytes scored at a time
 HASH_BITS = 21
 BROADCAST_ROWS = 500_000
+SALTS = 64
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -64,10 +65,13 @@ def count_contexts(rows: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame, max_docs: int) -> DataFrame:
     """(lang, text) of at most ``max_docs`` documents per language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where("lang is not null").select("lang", "doc_id")
-           .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
-           .select("lang", "doc_id").distinct())
+    ids = docs.where("lang is not null").select(
+        "lang", "doc_id", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt"))
+    # first within salted parts of a language, so a hot one reaches its task as the best of each
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
+    ids = ids.select("lang", "doc_id").distinct()
     # languages x max_docs rows at most: below BROADCAST_ROWS the texts need no shuffle
     langs = docs.where("lang is not null").select("lang").distinct().count()
     if langs * max_docs <= BROADCAST_ROWS:
