@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import (chaining, exact_dedup, langid, ngram_join, packing, quality,
+from postpulse.llm import (bit_planes, chaining, exact_dedup, langid, ngram_join, packing, quality,
                            spm_backend, suffix_dedup, token_store, toxicity)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
@@ -152,3 +152,38 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, compared with sentencepiece and spelled back."""
     return spm_backend.encode_documents(table(spark, sf_dir, "documents"),
                                         tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
+def lloyd_sql(k: int, rounds: int) -> str:
+    """The rounds unrolled: components as rows, centroids as rows."""
+    ctes = [r"""
+kept AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+         WHERE len(embedding) = 64
+           AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS z
+       FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h LIMIT %d))""" % k]
+    near = """
+a%d AS (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d
+        FROM (SELECT vec_id, v, c, list_sum([(v[i] - z[i]) ** 2 FOR i IN range(1, 65)])::BIGINT AS d
+              FROM kept, c%d) GROUP BY vec_id, v)"""
+    for r in range(rounds):
+        ctes += [near % (r, r), """
+m%d AS (SELECT c, list(s ORDER BY i) AS z
+        FROM (SELECT c, i, floor(sum(x)::HUGEINT / count(*))::BIGINT AS s
+              FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a%d)
+              GROUP BY c, i) GROUP BY c),
+c%d AS (SELECT c%d.c, coalesce(m%d.z, c%d.z) AS z FROM c%d LEFT JOIN m%d ON c%d.c = m%d.c)""" % (
+            r, r, r + 1, r, r, r, r, r, r, r)]
+    ctes.append(near % (rounds, rounds))
+    return "WITH " + ",".join(ctes) + """
+SELECT a.vec_id, a.c::INT AS cluster, a.d AS distance,
+       (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(z.z, ',')) AS centroid_sha256
+FROM a%d a JOIN c%d z ON a.c = z.c""" % (rounds, rounds)
+
+
+@register("op11_centroid_clustering", lloyd_sql(8, 10))
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector of ``embeddings`` in one of 8 clusters after 10 rounds."""
+    return bit_planes.cluster_vectors(spark, table(spark, sf_dir, "embeddings"), k=8, rounds=10,
+                                      seed="3:").drop("cluster_size")
