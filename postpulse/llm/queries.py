@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import (bit_planes, chaining, exact_dedup, langid, ngram_join, packing, quality,
+from postpulse.llm import (bit_planes, chaining, exact_dedup, ffd_packing, langid, ngram_join, packing, quality,
                            spm_backend, suffix_dedup, token_store, toxicity)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
@@ -187,3 +187,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole vector of ``embeddings`` in one of 8 clusters after 10 rounds."""
     return bit_planes.cluster_vectors(spark, table(spark, sf_dir, "embeddings"), k=8, rounds=10,
                                       seed="3:").drop("cluster_size")
+
+
+@register("op12_first_fit_packing")
+def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of at most 4,096."""
+    return ffd_packing.pack(spark, table(spark, sf_dir, "documents"),
+                            tokenizer_path("word_bpe_49k.json"), end_id=2)

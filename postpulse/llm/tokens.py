@@ -2,7 +2,7 @@
 
 A tokenizer whose pre-tokenizer never joins text across a blank encodes a text as the
 concatenation of its blank-separated words. Workers keep the ids of the chunks they have
-met (bounded by ``LIMIT`` entries, then forgotten), and hand only new chunks to the
+met (bounded by ``MEMO`` bytes, then forgotten), and hand only new chunks to the
 library, many per call. Texts go through whole; nothing is cut or skipped.
 """
 
@@ -15,7 +15,8 @@ import re
 
 import numpy as np
 
-LIMIT = 600_000
+MEMO = 100 << 20     # bytes held for chunks
+ENTRY = 190          # of them for an entry beside its characters and ids
 JOINED = 64          # new pieces per library call
 
 #: Characters whose lower case and NFC form Python and the library give alike: printable
@@ -60,6 +61,7 @@ class WordEncoder:
             self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.special = [t["content"].lower() for t in config.get("added_tokens", [])]
         self.ids: dict[str, bytes] = {}
+        self.held = 0
 
     def vocabulary_bits(self) -> int:
         return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
@@ -73,8 +75,8 @@ class WordEncoder:
         self._learn({c for cs in split for c in cs if c not in self.ids})
         got = self.ids.__getitem__
         out = [np.frombuffer(b"".join(map(got, cs)), dtype="<u4") for cs in split]
-        if len(self.ids) > LIMIT:
-            self.ids = {}
+        if self.held > MEMO:
+            self.ids, self.held = {}, 0
         return out
 
     def _chunks(self, text: str) -> list[str]:
@@ -98,12 +100,16 @@ class WordEncoder:
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4   # each piece ends in one such id
             data, at = ids.tobytes(), 0
             for p, end in zip(group, ends.tolist(), strict=True):
-                self.ids[p] = data[at:end]
+                self._keep(p, data[at:end])
                 at = end
         words = [c for c in fresh if c[0] == " "]
         for c, e in zip(words, self.tokenizer.encode_batch_fast(
                 [c[1:] for c in words], add_special_tokens=False)):
-            self.ids[c] = np.array(e.ids, dtype="<u4").tobytes()
+            self._keep(c, np.array(e.ids, dtype="<u4").tobytes())
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.ids[chunk] = ids
+        self.held += ENTRY + len(chunk) * (1 if chunk.isascii() else 2) + len(ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
