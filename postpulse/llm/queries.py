@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.llm import (bit_planes, chaining, exact_dedup, ffd_packing, langid, ngram_join, packing, quality,
-                           spm_backend, suffix_dedup, token_store, toxicity)
+                           spm_backend, suffix_dedup, token_store, toxicity, turn_repair)
 from postpulse.llm.common import id_and_text, ship_package
 from postpulse.llm.tokens import tokenizer_path
 from postpulse.session import scratch_path
@@ -194,3 +194,25 @@ def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in sequences of at most 4,096."""
     return ffd_packing.pack(spark, table(spark, sf_dir, "documents"),
                             tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults of the contract; ``copies`` 0 marks a row dropped."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return rows.select(
+        "conv_id", "turn",
+        F.when(fault == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fault < 2, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+        .alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(spark, rows, copies_col="copies")
