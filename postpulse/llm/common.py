@@ -24,6 +24,14 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                      F.col(text_col).cast("string").alias("text"))
 
 
+def map_frames(df: DataFrame, fn, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """``mapInPandas`` with the id as text inside: pandas holds a long beside a null as a float,
+    which rounds ids above 2^53."""
+    inside = schema.replace(f"{id_col} long", f"{id_col} string")
+    got = df.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(fn, inside)
+    return got.withColumn(id_col, F.col(id_col).cast("long"))
+
+
 def normal_text(col):
     """Null as empty, every run of blanks as one space."""
     return F.regexp_replace(F.coalesce(col, F.lit("")), BLANKS, " ")

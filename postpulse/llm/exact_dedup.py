@@ -137,14 +137,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    A frame has no files of its own, so it is landed in the shared folder first.
+    A frame has no files of its own, so one that is not ``landed`` yet is written first.
     """
-    path = scratch_path(spark, "dedup-input")
-    docs.write.parquet(path)
-    stays = exact_groups(spark, path, id_col, text_col).where("kept").select(
-        F.col("file").alias("__file"), F.col("row").alias("__row"))
-    landed = spark.read.schema(docs.schema).parquet(path)
-    return (landed.withColumn("__f", F.col("_metadata.file_path"))
-            .withColumn("__r", F.col("_metadata.row_index"))
-            .join(stays, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")),
-                  "left_semi").drop("__f", "__r"))
+    if not hasattr(docs, "landed_at"):
+        docs = landed(spark, docs, "dedup-input")
+    stays = exact_groups(spark, docs.landed_at, id_col, text_col).where("kept").select("file", "row")
+    # the row travels as a struct, so none of its columns can clash with ours
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"),
+                        F.col("_metadata.file_path").alias("this_file"),
+                        F.col("_metadata.row_index").alias("this_row"))
+    return keyed.join(stays, (F.col("this_file") == F.col("file"))
+                      & (F.col("this_row") == F.col("row")), "left_semi").select("whole.*")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import id_and_text
+from postpulse.llm.common import id_and_text, map_frames
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -66,7 +66,8 @@ def count_contexts(rows: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, max_docs: int) -> DataFrame:
     """(lang, text) of at most ``max_docs`` documents per language."""
     ids = docs.where("lang is not null").select(
-        "lang", "doc_id", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt"))
+        "lang", "doc_id", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt")
+    ).distinct()        # rows that repeat an id are one, added up before the shuffle
     # first within salted parts of a language, so a hot one reaches its task as the best of each
     for keys in (["lang", "salt"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -76,7 +77,9 @@ def training_rows(docs: DataFrame, max_docs: int) -> DataFrame:
     langs = docs.where("lang is not null").select("lang").distinct().count()
     if langs * max_docs <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, ["lang", "doc_id"], "left_semi").select("lang", "text")
+    rows = docs.join(ids, ["lang", "doc_id"], "left_semi")
+    return rows.groupBy("lang", "doc_id").agg(      # the text with the smallest hash
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
 
 
 @dataclass
@@ -219,8 +222,7 @@ def predict(df: DataFrame, trees: Trees | None, id_col: str = "doc_id",
                 gap = np.minimum(bits - bits[np.arange(len(best)), best][:, None], 1000)
                 langs = np.where(lettered, np.array(trees.langs, object)[best], UNDETERMINED)
                 score = np.where(lettered, 1.0 / np.exp2(-gap).sum(axis=1), 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": langs,
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": langs,
                                 "score": score})
 
-    return id_and_text(df, id_col, text_col).mapInPandas(
-        run, "doc_id long, lang_pred string, score double")
+    return map_frames(id_and_text(df, id_col, text_col), run, "doc_id long, lang_pred string, score double")

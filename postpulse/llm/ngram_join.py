@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import landed, words_of
+from postpulse.llm.common import landed, map_frames, words_of
 from postpulse.llm.components import components
 
 SHINGLE = 5
@@ -125,10 +125,10 @@ def signatures(docs: DataFrame, depth: int, size: int = SHINGLE) -> DataFrame:
                     key = (key ^ least[chosen[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(32)
                 keys.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "rid": pdf["rid"],
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "rid": pdf["rid"],
                                 "cls": cls, "n": n, "keys": keys})
 
-    return docs.mapInPandas(sign, "doc_id long, rid long, cls long, n int, keys array<long>")
+    return map_frames(docs, sign, "doc_id long, rid long, cls long, n int, keys array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -298,8 +298,10 @@ def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     Rows that repeat id and text stay or go together; exact deduplication tells those apart.
     """
     kept = similar_documents(spark, df, id_col, text_col, **options).where("kept").select(
-        F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"))
-    rid = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return (df.withColumn("__this", rid).join(
-        kept, (F.col("__this") == F.col("__rid"))
-        & F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left_semi").drop("__this"))
+        F.col("doc_id").alias("kept_doc"), F.col("rid").alias("kept_rid"))
+    # the row travels as a struct, so none of its columns can clash with ours
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("this_doc"),
+                      F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+                      .alias("this_rid"))
+    return keyed.join(kept, (F.col("this_rid") == F.col("kept_rid"))
+                      & F.col("this_doc").eqNullSafe(F.col("kept_doc")), "left_semi").select("row.*")

@@ -9,9 +9,9 @@ Bins of one shard are numbered, and each source, each cluster and each remainder
 one bitmap over those numbers, so "the bins with this remainder that hold neither" is
 two bit operations however many copies or rows of a hot source there are.
 
-Items are dealt to shards by a hash of their identity, with about ``shard_items`` items
-each whatever the size of the corpus; a hot source or cluster therefore spreads over all
-shards. Documents longer than ``capacity`` are cut: full pieces fill bins of their own
+Items are dealt to shards by a hash of their row number, with about ``shard_items`` items
+each whatever the size of the corpus; a hot source, cluster or row therefore spreads
+over all shards. Documents longer than ``capacity`` are cut: full pieces fill bins of their own
 and need no search, the rest is packed as an item.
 
 Defined results: a null source conflicts with no other; a null text has no tokens; an
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import BLANKS, normal_text
+from postpulse.llm.common import BLANKS, landed, normal_text
 
 
 class Shard:
@@ -97,26 +97,30 @@ def pack(rows: DataFrame, capacity: int = 2048, shard_items: int = 8192) -> Data
     Returns one row per piece: bin_id (unique over the result), doc_id, piece, start (token
     offset in the document), n_tokens, source, cluster. Every token is in exactly one piece.
     """
-    # narrow rows, read twice: once to count, once to pack
+    # narrow rows, written once, so that a row's number is the same in every attempt
+    rows = landed(rows.sparkSession, rows, "packing-items").withColumn(
+        "salt", F.monotonically_increasing_id())
     shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(shard_items)))
                       .cast("long").alias("shards"))
     shards = shards.first()["shards"]
-    # ties within one document are told apart by a number that depends on the row alone
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"),
-                                            F.lit(shards)))
-    schema = ("bin_id string, doc_id long, piece long, start long, n_tokens long, "
+    # by row, so that equal rows spread over the shards; ids as text, since pandas holds a long
+    # beside a null as a float
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("salt"), F.lit(shards))).withColumn(
+        "doc_id", F.col("doc_id").cast("string"))
+    schema = ("bin_id string, doc_id string, piece long, start long, n_tokens long, "
               "source string, cluster long")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, out, full = Shard(capacity), [], 0
         number = int(pdf["shard"].iat[0])
-        pdf = pdf.assign(rest=pdf["n_tokens"] % capacity)
+        pdf = pdf.assign(rest=pdf["n_tokens"] % capacity,
+                         id=pd.array([None if d is None else int(d) for d in pdf["doc_id"]],
+                                     "Int64"))
         # longest first, then by id: the same bins whatever order the rows arrive in
-        pdf = pdf.sort_values(["rest", "doc_id", "cluster", "n_tokens", "source"],
+        pdf = pdf.sort_values(["rest", "id", "cluster", "n_tokens", "source"],
                               ascending=[False, True, True, True, True], na_position="last")
         for d, s, c, n, rest in zip(pdf["doc_id"], pdf["source"], pdf["cluster"],
                                     pdf["n_tokens"], pdf["rest"]):
-            d = None if pd.isna(d) else int(d)
             s = None if pd.isna(s) else s
             whole = n // capacity
             for k in range(whole):
@@ -125,8 +129,8 @@ def pack(rows: DataFrame, capacity: int = 2048, shard_items: int = 8192) -> Data
             if rest or not n:
                 b = shard.place(int(rest), s, c)
                 out.append((f"{number}-b{b}", d, whole, whole * capacity, int(rest), s, c))
-        got = pd.DataFrame(out, columns=["bin_id", "doc_id", "piece", "start", "n_tokens",
-                                         "source", "cluster"])
-        return got.astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["bin_id", "doc_id", "piece", "start", "n_tokens",
+                                          "source", "cluster"])
 
-    return dealt.groupBy("shard").applyInPandas(fill, schema)
+    bins = dealt.groupBy("shard").applyInPandas(fill, schema)
+    return bins.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import id_and_text
+from postpulse.llm.common import id_and_text, map_frames
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -153,13 +153,12 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 d = Doc(text)
                 by = "base" if d.base_failed else next((n for n, r in cascade if r(d)), None)
-                out.append((None if pd.isna(doc_id) else int(doc_id), d.n_words, d.word_chars,
+                out.append((doc_id, d.n_words, d.word_chars,
                             d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed,
                             by is None, by))
-            got = pd.DataFrame(out, columns=COLUMNS)
-            yield got.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=COLUMNS)
 
-    return docs.mapInPandas(judge, SCHEMA)
+    return map_frames(docs, judge, SCHEMA)
 
 
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -28,13 +28,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from postpulse.llm.common import id_and_text
+from postpulse.llm.common import id_and_text, map_frames
 
 MARK = "▁"
 #: Piece types and model types of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-LIMIT = 600_000
+MEMO = 100 << 20     # bytes held for chunks
+ENTRY = 250          # of them for an entry beside its characters and ids
 JOINED = 64          # new chunks per library call
 
 
@@ -170,6 +171,7 @@ class Backend:
         self.tokenizer = rebuild(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, tuple[bytes, bool]] = {}
+        self.held = 0
         self.bytes_of = [self._bytes(p, t) for p, _, t in self.model.pieces]
         # bytes of the normalised text that an id stands for; unknown ones end the count
         self.width_of = np.array([1 if t == BYTE else len(p.encode()) if t != UNKNOWN else 1 << 40
@@ -207,8 +209,8 @@ class Backend:
             parts = list(map(got, cs))
             out.append((np.frombuffer(b"".join([p for p, _ in parts]), "<u4"),
                         all([same for _, same in parts])))
-        if len(self.known) > LIMIT:
-            self.known = {}
+        if self.held > MEMO:
+            self.known, self.held = {}, 0
         return out
 
     def _learn(self, fresh: set[str]) -> None:
@@ -230,7 +232,7 @@ class Backend:
             if a.ids == b and ends[-1] == len(ids):
                 at = 0
                 for c, end in zip(group, ends.tolist()):
-                    self.known[c] = ids[at:end].tobytes(), True
+                    self._keep(c, ids[at:end], True)
                     at = end
             else:
                 self._learn_alone(group)
@@ -242,13 +244,26 @@ class Backend:
             ids = self.core.encode(c, add_special_tokens=False).ids
             # the prefix alone is no text of its own, so there is nothing to compare
             same = c == prefix or ids == self.other.encode(c[len(prefix):].replace(MARK, " "))
-            self.known[c] = np.array(ids, "<u4").tobytes(), same
+            self._keep(c, np.array(ids, "<u4"), same)
+
+    def _keep(self, chunk: str, ids: np.ndarray, same: bool) -> None:
+        self.known[chunk] = ids.tobytes(), same
+        self.held += ENTRY + 2 * len(chunk) + 4 * len(ids)     # the marker is a two-byte character
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return self.decode_batch([ids])[0]
+
+    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+
+    def round_trips(self, texts: list[str | None], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the rebuilt decoder gives each normalised text back, without the dummy prefix."""
+        prefix = 1 if self.model.dummy_prefix else 0
+        want = (self.normal(t or "").replace(MARK, " ")[prefix:] for t in texts)
+        return [a == b for a, b in zip(self.decode_batch(ids), want)]
 
-    def round_trip(self, text: str | None, ids: np.ndarray) -> bool:
-        """Whether the ids spell the normalised text, byte for byte."""
+    def spells(self, text: str | None, ids: np.ndarray) -> bool:
+        """Whether the pieces of the ids are the normalised text, byte for byte."""
         pieces = self.bytes_of
         spelled = b"".join([pieces[i] for i in ids.tolist()])
         return spelled == self.normal(text or "").replace(MARK, " ").encode("utf-8", "surrogatepass")
@@ -284,13 +299,14 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id",
                 texts = [t if isinstance(t, str) else None for t in cut["text"]]
                 got = model.encode(texts)
                 yield pd.DataFrame({
-                    "doc_id": cut["doc_id"].astype("Int64").values,
+                    "doc_id": cut["doc_id"].values,
                     "n_tokens": [len(i) for i, _ in got],
                     "ids_crc32": [zlib.crc32(i.tobytes()) for i, _ in got],
                     "parity": [p for _, p in got],
-                    "round_trip": [model.round_trip(t, i) for t, (i, _) in zip(texts, got)],
+                    "round_trip": [decoded and model.spells(t, i) for t, (i, _), decoded in zip(
+                        texts, got, model.round_trips(texts, [i for i, _ in got]))],
                     "ids": [i.tobytes() for i, _ in got]})
 
-    return id_and_text(df, id_col, text_col).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean, "
+    return map_frames(
+        id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean, "
              "ids binary")

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import landed
+from postpulse.llm.common import landed, map_frames
 from postpulse.llm.suffix_array import Block
 
 LENGTH = 400
@@ -124,7 +124,6 @@ def anchor_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
             for doc_id, rid, text in zip(pdf["doc_id"], pdf["rid"], pdf["text"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
                 # a long text goes in overlapping pieces: each window is in exactly one
                 for lo in range(0, max(1, len(raw) - length + 1), PIECE):
                     part.append(raw[lo:lo + PIECE + length - 1])
@@ -134,10 +133,9 @@ def anchor_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                         flush()
             if part:
                 flush()
-            got = pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")])
-            yield got.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")])
 
-    return docs.mapInPandas(find, RUNS)
+    return map_frames(docs, find, RUNS)
 
 
 def counted(runs: DataFrame) -> DataFrame:
@@ -157,11 +155,13 @@ def counted(runs: DataFrame) -> DataFrame:
 
 
 def with_bytes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """Adds ``data``, the bytes of a run, to (key, ctx, rid, doc_id, start, n, ...) rows."""
-    per_doc = chosen.groupBy("rid", "doc_id").agg(F.collect_list(
+    """Adds ``data``, the bytes of a run, to (key, ctx, rid, start, n, ...) rows.
+
+    Rows of one text hash are one text: one of them a task is shuffled, and one is joined.
+    """
+    per_text = chosen.groupBy("rid").agg(F.collect_list(
         F.struct("key", "ctx", "start", "n", "m", "open_windows")).alias("runs"))
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("rid", "r"),
-                        (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    joined = docs.select("rid", "text").dropDuplicates(["rid"]).join(per_text, "rid")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -287,11 +287,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     verdict = landed(spark, counted(runs.withColumn("m", F.lit(1).cast("long"))),
                      "repeats-counted")
     # one run of each context that takes part in a sort, chosen before the shuffle: rows of the
-    # smallest text hash are the same text, so its id and place may come from different ones
+    # smallest text hash are the same text
     open_ = verdict.where("open_windows > 0").select("key", "ctx", "n", "m", "open_windows")
     first = runs.groupBy("key", "ctx").agg(
-        F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"),
-        F.min_by("start", "rid").alias("start"))
+        F.min("rid").alias("rid"), F.min_by("start", "rid").alias("start"))
     contexts = landed(spark, with_bytes(docs, first.join(open_, ["key", "ctx"]), length),
                       "repeats-contexts")
     parts = repeats(spark, contexts.withColumn("anchor", F.lit(-1)), length, gram, hot)
@@ -348,11 +347,11 @@ def removal_report(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
                             [{"lo": a, "hi": b} for a, b in spans]))
             got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256",
                                              "spans"], index=pdf.index)
-            got.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
+            got.insert(0, "doc_id", pdf["doc_id"])
             yield got
 
-    return joined.select("doc_id", "text", "starts").mapInPandas(
-        report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+    return map_frames(
+        joined.select("doc_id", "text", "starts"), report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                 "spans array<struct<lo:bigint,hi:bigint>>")
 
 

@@ -171,7 +171,7 @@ def write_store(spark: SparkSession, df: DataFrame, path: str, tokenizer: str, e
                     if writer is None:
                         temp = f"{root}/_{uuid.uuid4().hex}"
                         writer = Writer(fs.open_output_stream(temp), bits)
-                    writer.add(None if pd.isna(doc_id) else int(doc_id),
+                    writer.add(None if doc_id is None else int(doc_id),
                                np.concatenate([ids, np.array(end, "<u4")]))
                     if writer.starts[-1] >= file_ids:
                         close()
@@ -180,6 +180,8 @@ def write_store(spark: SparkSession, df: DataFrame, path: str, tokenizer: str, e
             close()
         yield pd.DataFrame(rows, columns=["file", "part", "seq", "n_docs", "n_ids"])
 
+    # ids as text: pandas holds a long beside a null as a float
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     return landed(spark, dealt.mapInPandas(
         write, "file string, part long, seq long, n_docs long, n_ids long"), "token-manifest")
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import id_and_text, landed
+from postpulse.llm.common import id_and_text, landed, map_frames
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
@@ -76,7 +76,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str],
     agreed = agreed.where(" and ".join(f"{c} is not null" for c in ["doc_id", *categories]))
     order = F.xxhash64(F.col("doc_id").cast("long"))
     sample = agreed.orderBy(order, "doc_id").limit(max_train)  # the bound of the broadcast
-    return docs.join(F.broadcast(sample), "doc_id").withColumn(
+    # rows that repeat an id count once: the text with the smallest hash
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", *categories).agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows.withColumn(
         "fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(1 << 20)))
 
 
@@ -244,21 +247,19 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
         for pdf in frames:
             p = [chain.probabilities(t) for t in pdf["text"]]
             got = pd.DataFrame(p, columns=names, index=pdf.index).astype("float64")
-            got.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
+            got.insert(0, "doc_id", pdf["doc_id"])
             got["flagged"] = got[names[-1]] >= chain.threshold
             yield got
 
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in names) + ", flagged boolean"
-    return id_and_text(df, id_col, text_col).mapInPandas(predict, schema)
+    return map_frames(id_and_text(df, id_col, text_col), predict, schema)
 
 
 def reject(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows whose text is not flagged, all columns kept."""
-    at = df.columns.index(text_col)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            good = [chain.probabilities(t)[-1] < chain.threshold for t in pdf.iloc[:, at]]
-            yield pdf[pd.Series(good, index=pdf.index, dtype=bool)]
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([chain.probabilities(t)[-1] < chain.threshold for t in texts], dtype=bool)
 
-    return df.mapInPandas(keep, df.schema)
+    return df.where(clean(F.col(text_col)))       # other columns stay in the JVM

@@ -43,13 +43,13 @@ def test_stages_by_brute_force(spark):
     seen = defaultdict(int)
     raw = {d: (t or "").encode() for d, t in rows[3].items()}
     for b in raw.values():
-        for i in range(len(b) - 399):
-            seen[hash(b[i:i + 400])] += 1
+        for i in range(len(b) - cp.REPEAT_BYTES + 1):
+            seen[hash(b[i:i + cp.REPEAT_BYTES])] += 1
     for d, b in raw.items():
         covered = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[hash(b[i:i + 400])] > 1:
-                covered[i:i + 400] = b"\1" * 400
+        for i in range(len(b) - cp.REPEAT_BYTES + 1):
+            if seen[hash(b[i:i + cp.REPEAT_BYTES])] > 1:
+                covered[i:i + cp.REPEAT_BYTES] = b"\1" * cp.REPEAT_BYTES
         want = bytes(x for x, c in zip(b, covered) if not c).decode("utf-8", "ignore")
         assert (rows[4][d] or "") == want
     words = {d: len((t or "").encode().split()) for d, t in rows[4].items()}

@@ -87,6 +87,11 @@ def test_store_round_trip(spark, docs):
     assert ts.read_store(spark, empty, none).count() == 0
 
 
+def own_wrong(own):
+    """Ids of other texts than "some text" and "b"."""
+    return [i for i, _ in own.encode(["some  text", ""])]
+
+
 def test_sentencepiece_parity_and_round_trip(spark, docs):
     with open(PIECES, "rb") as f:
         data = f.read()
@@ -96,7 +101,11 @@ def test_sentencepiece_parity_and_round_trip(spark, docs):
     own = sb.Backend(data)
     for text, (ids, parity), other in zip(texts, own.encode(texts), own.other.encode(texts)):
         assert parity and ids.tolist() == other
-        assert own.round_trip(text, ids) and own.decode(ids) == text
+        assert own.spells(text, ids) and own.decode(ids) == text
+    ids = [i for i, _ in own.encode(texts)]
+    assert all(own.round_trips(texts, ids)) and own.decode_batch(ids) == own.other.decode(
+        [i.tolist() for i in ids])
+    assert own.round_trips(["some text", "b"], own_wrong(own)) == [False, False]
     got = sb.encode_documents(docs([(1, "some text"), (2, None), (None, ""), (1, "some text")]), PIECES)
     assert [(r.n_tokens > 0, r.parity, r.round_trip) for r in got.orderBy("doc_id").collect()] == [
         (False, True, True), (True, True, True), (True, True, True), (False, True, True)]
