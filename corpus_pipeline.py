@@ -15,6 +15,8 @@ from postpulse.llm.common import id_and_text, landed, ship_package
 from postpulse.sources.tables import table
 
 CAPACITY = 2048
+#: A passage of just over 50 words repeats as a whole; the shortest words make it about this long.
+REPEAT_BYTES, REPEAT_GRAM = 240, 64
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut 400-byte strings that start twice; every document stays, n_chars follows its text."""
+    """Cut REPEAT_BYTES-byte strings that start twice; every document stays, n_chars follows."""
     ship_package(spark)
-    return suffix_dedup.remove_repeats(spark, docs).withColumn(
+    return suffix_dedup.remove_repeats(spark, docs, length=REPEAT_BYTES, gram=REPEAT_GRAM).withColumn(
         "n_chars", F.length("text").cast("long"))
 
 
