@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from postpulse.catalog import register
 from postpulse.functions.timeparts import epoch_of
 from postpulse.operators import slices
-from postpulse.sources import csvio
+from postpulse.sources import csvio, csvsplit
 from postpulse.sources import fixtures as fx
 from postpulse.sources.tables import table
 from postpulse.session import scratch_path
@@ -99,6 +99,14 @@ def q_csv_roundtrip(spark, base):
     return csvio.read_delimited(spark, path, DOC_SCHEMA, header=True, multiline=True)
 
 
+@register("csv_split_roundtrip", "SELECT doc_id, lang, source, n_chars, text FROM documents")
+def q_csv_split_roundtrip(spark, base):
+    """The same files read by byte ranges: a large file with newlines in quotes is many tasks."""
+    path = scratch_path(spark, "csv-split")
+    csvio.write_delimited(table(spark, base, "documents"), path, columns=DOC_COLS)
+    return csvsplit.read_split(spark, path, DOC_SCHEMA)
+
+
 ORDER_SCHEMA = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
 
 
