@@ -24,7 +24,7 @@ import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postpulse.functions.hashing import md5_number
-from postpulse.operators.sampling import split_label
+from postpulse.operators.sampling import split_label, with_position
 
 # ---- fixed values of the original scripts -----------------------------------
 MAX_CATEGORIES = 25
@@ -44,6 +44,9 @@ FOLD_SEED = 45
 TRAIN_PERCENT = 70
 # ------------------------------------------------------------------------------
 
+TOP_VALUES = 1000       # values of a column that are broadcast at most
+SALTS = 1 << 20
+
 
 def text_columns(df: DataFrame, exclude=()) -> list[str]:
     """Columns of string type: all of them are treated as categorical."""
@@ -51,17 +54,63 @@ def text_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, StringType) and f.name not in exclude]
 
 
+def frequency_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value, n, rank): place of every value of a column by falling frequency, from 0.
+
+    Ties go by value. One aggregate counts the values of all columns, a range sort orders them
+    over the cluster, and the rows before a value's partition plus its row there are its place.
+    """
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.col(c).alias("value"))
+        for i, c in enumerate(columns)])).alias("p")).select("p.*")
+    counts = pairs.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    placed = with_position(counts.orderBy("feature", F.desc("n"), "value"))
+    starts = placed.groupBy("feature").agg(F.min("position").alias("start"))
+    return placed.join(F.broadcast(starts), "feature").select(      # one row per column
+        "feature", "value", "n", (F.col("position") - F.col("start")).alias("rank"))
+
+
 def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None,
-                  handle_invalid: str = "error") -> DataFrame:
+                  handle_invalid: str = "error", top: int = TOP_VALUES) -> DataFrame:
     """Replace each text column by its frequency rank ``<col>Index``.
 
-    Most frequent value = 0, ties alphabetical. One multi-column indexer, so
-    the value counts of every column come from a single aggregation job.
+    Most frequent value = 0, ties alphabetical. A null or a value not seen in ``fit_on`` is an
+    error, is left out (``skip``) or gets the number of values (``keep``).
+
+    The ``top`` most frequent values of a column are joined as a broadcast of that many rows, so
+    a value that holds a third of all rows is never shuffled. If a column has more values, the
+    rows of the others meet them by an equi-join, in which the rows already settled are spread
+    by a salt. Only the number of values of each column reaches the driver.
     """
-    indexer = StringIndexer(inputCols=columns, outputCols=[c + "Index" for c in columns],
-                            handleInvalid=handle_invalid)
-    model = Pipeline(stages=[indexer]).fit(fit_on if fit_on is not None else df)
-    return model.transform(df).drop(*columns)
+    if handle_invalid not in ("error", "skip", "keep"):
+        raise ValueError(f"handle_invalid: {handle_invalid}")
+    ranks = frequency_ranks(df if fit_on is None else fit_on, columns)
+    sizes = {r["feature"]: r["n_values"] for r in ranks.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_values")).collect()}
+    out = df
+    for i, c in enumerate(columns):
+        mine = ranks.where(F.col("feature") == i).select(
+            F.col("value").alias("_value"), F.col("rank").cast("double").alias("_index"))
+        frequent = mine.where(F.col("_index") < top)       # pushed down to the landed ranks
+        out = out.join(F.broadcast(frequent), F.col(c) == F.col("_value"), "left").drop("_value")
+        if sizes.get(i, 0) > top:
+            settled = F.col("_index").isNotNull() | F.col(c).isNull()
+            salt = F.when(settled, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0))
+            rare = mine.where(F.col("_index") >= top).select(
+                "_value", F.col("_index").alias("_rare"), F.lit(0).cast("long").alias("_zero"))
+            out = out.withColumn("_salt", salt.cast("long")).join(
+                rare, (F.col(c) == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
+            out = out.withColumn("_index", F.coalesce("_index", "_rare")).drop(
+                "_value", "_rare", "_zero", "_salt")
+        if handle_invalid == "skip":
+            out = out.where(F.col("_index").isNotNull())
+        other = (F.lit(float(sizes.get(i, 0))) if handle_invalid == "keep" else
+                 F.raise_error(F.concat(F.lit(f"value of {c} not seen: "), F.coalesce(
+                     F.col(c), F.lit("null")))).cast("double"))
+        index = F.col("_index") if handle_invalid == "skip" else F.coalesce("_index", other)
+        out = out.withColumn(c + "Index", index).drop("_index")
+    return out.drop(*columns)
 
 
 def assemble(df: DataFrame, index_columns: list[str], label: str = "score",

@@ -7,12 +7,14 @@ Spark ML's tree learner); the index and baseline keys have SQL oracles.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from postpulse.catalog import register
 from postpulse.functions.hashing import sql_md5_number
 from postpulse.operators.sampling import SPLIT_SEED
 from postpulse.plans import models
 from postpulse.sources import fixtures as fx
+from postpulse.sources.tables import table
 
 MODEL_SQL = """
 m AS (
@@ -35,6 +37,31 @@ def _index_sql(select_cols: str) -> str:
     return f"WITH {','.join(ctes)}\nSELECT {select_cols} FROM m {joins}"
 
 
+MANY_SQL = """
+many AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_quantity <= 17 THEN 'hot' WHEN l_quantity <= 25 THEN NULL
+              ELSE concat(l_partkey, '-', l_suppkey, '-', l_quantity) END AS code
+  FROM lineitem)"""
+
+
+@register("string_index_many", f"""
+WITH {MANY_SQL},
+i AS (SELECT code AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, code) - 1 AS DOUBLE) AS idx
+      FROM many WHERE code IS NOT NULL GROUP BY code)
+SELECT l_orderkey, l_linenumber,
+       coalesce(i.idx, CAST((SELECT count(*) FROM i) AS DOUBLE)) AS "codeIndex"
+FROM many LEFT JOIN i ON many.code = i.v""")
+def q_string_index_many(spark, base):
+    """A column with about as many values as rows, and one value that holds a third of them."""
+    rows = table(spark, base, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_quantity") <= 17, "hot").when(
+            F.col("l_quantity") > 25, F.concat(
+                F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"),
+                F.lit("-"), F.col("l_quantity").cast("string"))).alias("code"))
+    return models.index_strings(rows, ["code"], handle_invalid="keep")
+
+
 def _prepared(spark, base):
     return models.prepare(fx.model_rows(spark, base))
 

@@ -1,5 +1,7 @@
 """Model-preparation edge cases (FIXTURES.md section 4)."""
 
+import pytest
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ def test_equal_counts_index_alphabetically(spark):
     assert got == {"a": 1.0, "b": 2.0, "c": 0.0}
 
 
+@pytest.mark.parametrize("top", [0, 2, 1000])
+def test_index_equals_the_ml_indexer(spark, top):
+    rows = [(i, "hot" if i % 3 == 0 else f"v{i % 41}" if i % 5 else f"w{i}", f"z{i * i % 7}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a string, b string").repartition(5)
+    extra = spark.createDataFrame([(5000, None, "z1"), (5001, "new", None)], "id long, a string, b string")
+    for invalid in ("keep", "skip"):
+        model = StringIndexer(inputCols=["a", "b"], outputCols=["aIndex", "bIndex"],
+                              handleInvalid=invalid).fit(df)
+        want = model.transform(df.union(extra)).drop("a", "b")
+        got = models.index_strings(df.union(extra), ["a", "b"], df, invalid, top=top)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="not seen"):
+        models.index_strings(df.union(extra), ["a", "b"], df, top=top).collect()
+
+
 def test_25_values_categorical_26_continuous(spark):
     rows = [(Vectors.dense([float(i % 25), float(i % 26)]),) for i in range(26 * 25)]
     vi = models.feature_indexer(spark.createDataFrame(rows, ["features"]))
