@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.functions.hashing import md5_number, md5_words, replicate_key
-from postpulse.session import scratch_path
+from postpulse.session import scratch_path, stored
 
 HASH_RANGE = 1 << 32  # md5_number is uniform on [0, 2^32)
 
@@ -78,6 +78,49 @@ def shard_of(id_col: Column, max_split: int = 10, seed=SHARD_SEED) -> Column:
     return (md5_number(seed, id_col) % (max_split + 1)).cast("int")
 
 
+def sample_cuts(keys: DataFrame, number: int, size: int, margin: float) -> DataFrame:
+    """(shard, rep, u, id, same, allowed): where the ``size`` smallest keys of a sample end.
+
+    ``keys`` has _shard, _n (rows of the shard), _id, _h1, _h2. Keys are uniform, so the cut lies
+    near size / n of their range: rows below a band around it are counted, those in the band are
+    counted by key and id, and running totals over the band give the last row taken. ``same`` rows
+    have that key and id, of which ``allowed`` belong to the sample. A band that misses its cut is
+    widened; the widest one is the whole range.
+    """
+    spark = keys.sparkSession
+    reps = F.sequence(F.lit(0), F.lit(number - 1))
+    shards = keys.select("_shard").distinct()
+    open_ = stored(spark, shards.select("_shard", F.explode(reps).alias("rep")), "sample-open")
+    everything, parts = True, []
+    while True:
+        band = margin * math.sqrt(size) + 16
+        edge = lambda k: F.lit(k * HASH_RANGE) / F.col("_n")
+        near = keys.withColumn("rep", F.explode(reps)).withColumn(
+            "_u", replicate_key(F.col("_h1"), F.col("_h2"), F.col("rep"))).where(
+            F.col("_u") < edge(size + band))
+        if not everything:
+            near = _null_safe(near, open_, ["_shard", "rep"], "left_semi")
+        inside = F.when(F.col("_u") >= edge(size - band), F.struct("_u", "_id"))
+        counts = stored(spark, near.groupBy("_shard", "rep", inside.alias("at")).agg(
+            F.count(F.lit(1)).alias("same")), "sample-band")
+        order = Window.partitionBy("_shard", "rep").orderBy(F.col("at").asc_nulls_first())
+        counts = counts.withColumn("upto", F.sum("same").over(order))
+        before = F.col("upto") - F.col("same")
+        cuts = stored(spark, counts.where(
+            F.col("at").isNotNull() & (F.col("upto") >= size) & (before < size)).select(
+            "_shard", "rep", F.col("at._u").alias("u"), F.col("at._id").alias("id"), "same",
+            (F.lit(size) - before).alias("allowed")), "sample-cuts")
+        parts.append(cuts)
+        open_ = stored(spark, _null_safe(open_, cuts, ["_shard", "rep"], "left_anti"), "sample-open")
+        if open_.isEmpty():
+            break
+        margin, everything = max(8.0, 8 * abs(margin)), False
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size: int,
                  seed=SAMPLE_SEED, margin: float = 6.0) -> DataFrame:
     """Per shard, ``number`` samples of ``size`` rows without replacement.
@@ -87,50 +130,49 @@ def shard_sample(df: DataFrame, id_col: str, shard_col: str, number: int, size:
     key (h1 + rep * h2) mod 2^32, where h1, h2 are two words of md5(seed|id)
     (ties by id): one md5 per row, one multiply-add per (row, sample).
 
-    Everything is one DataFrame plan; nothing about shards or samples reaches the driver.
-    1. Rows per shard are counted and joined back with the shard's threshold, set so that
-       a sample has about size + margin*sqrt(size) rows below it.
-    2. A row of a big shard finds the samples it falls into with one array expression
-       (``filter`` over the sample numbers) and only those are exploded: rows that move
-       follow rows kept, not rows x samples.
-    3. The ``size`` smallest rows of each sample come from a row_number window, which
-       Spark turns into a per-partition top-k before its shuffle.
-    4. A sample with too few rows below the threshold (probability ~1e-9 at the default
-       margin) is taken from all rows of its shard instead, so the result is always exact.
+    The exact end of every sample is found first (``sample_cuts``: counts, no sample is
+    gathered or sorted). With the cuts of its shard, one array of ``number`` entries, a row
+    tells by itself which samples it is in: rows are read, not shuffled, and what is built on
+    the result aggregates in the same stage.
     """
+    spark = df.sparkSession
     cols = [*df.columns, "rep"]
-    sizes = df.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n"))
-    need = float(size + math.sqrt(size) * margin + 16)
-    sizes = sizes.withColumn("_thr", F.least(F.lit(float(HASH_RANGE)),
-                                             F.ceil(F.lit(need * HASH_RANGE) / F.col("_n")).cast("double")))
-    keyed = df.join(sizes.withColumnRenamed(shard_col, "_shard"),
-                    F.col(shard_col).eqNullSafe(F.col("_shard"))).drop("_shard")
-    small = keyed.where(F.col("_n") < size).withColumn("rep", F.lit(0))
+    sizes = stored(spark, df.groupBy(F.col(shard_col).alias("_shard")).agg(
+        F.count(F.lit(1)).alias("_n")), "shard-sizes")
+    entry = "struct<rep:int,u:bigint,id:{},same:bigint,allowed:bigint>"
+    id_type = df.schema[id_col].dataType.simpleString()
+    whole = F.array(F.struct(F.lit(0), F.lit(HASH_RANGE), F.lit(None), F.lit(0), F.lit(0))).cast(
+        f"array<{entry.format(id_type)}>")
     h1, h2 = md5_words(seed, F.col(id_col))
-    big = keyed.where(F.col("_n") >= size).withColumn("_h1", h1).withColumn("_h2", h2)
-
-    def key(rep: Column) -> Column:
-        return replicate_key(F.col("_h1"), F.col("_h2"), rep)
-
-    def top(frame: DataFrame) -> DataFrame:
-        w = Window.partitionBy(shard_col, "rep").orderBy("_u", id_col)
-        return frame.withColumn("_u", key(F.col("rep"))).withColumn(
-            "_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
-
-    reps = F.sequence(F.lit(0), F.lit(number - 1))
-    drawn = big.withColumn("rep", F.explode(F.filter(reps, lambda r: key(r) < F.col("_thr"))))
-    # samples that got enough, against all samples of the big shards
-    enough = (drawn.groupBy(shard_col, "rep").agg(F.count(F.lit(1)).alias("_have"))
-              .where(F.col("_have") >= size))
-    wanted = sizes.where(F.col("_n") >= size).select(shard_col, F.explode(reps).alias("rep"))
-    short = _null_safe(wanted, enough, [shard_col, "rep"], "left_anti")
-    out = small.select(*cols).unionByName(top(drawn).select(*cols))
-    if short.isEmpty():
+    info, repeated = sizes.withColumn("_cuts", whole), False
+    if not sizes.where(F.col("_n") >= size).isEmpty():
+        big = sizes.where(F.col("_n") >= size).withColumnRenamed("_shard", "_s")
+        keys = df.select(F.col(shard_col).alias("_shard"), F.col(id_col).alias("_id"),
+                         h1.alias("_h1"), h2.alias("_h2")).where(F.col("_id").isNotNull())
+        keys = keys.join(big, F.col("_shard").eqNullSafe(F.col("_s"))).drop("_s")
+        cuts = sample_cuts(keys, number, size, margin)
+        repeated = not cuts.where("same > allowed").isEmpty()
+        by_shard = cuts.groupBy(F.col("_shard").alias("_s")).agg(F.sort_array(F.collect_list(
+            F.struct("rep", "u", "id", "same", "allowed"))).alias("_found"))
+        info = sizes.join(by_shard, F.col("_shard").eqNullSafe(F.col("_s")), "left").select(
+            "_shard", "_n", F.when(F.col("_n") < size, whole).otherwise(F.col("_found")).alias("_cuts"))
+    info = stored(spark, info, "shard-cuts")
+    drawn = (df.withColumn("_h1", h1).withColumn("_h2", h2)
+             .join(info, F.col(shard_col).eqNullSafe(F.col("_shard")))
+             .withColumn("_c", F.explode("_cuts")).withColumn("rep", F.col("_c.rep"))
+             .withColumn("_u", replicate_key(F.col("_h1"), F.col("_h2"), F.col("rep"))))
+    at_cut = (F.col("_u") == F.col("_c.u")) & (F.col(id_col) == F.col("_c.id"))
+    below = (F.col("_n") < size) | (F.col("_u") < F.col("_c.u")) | (
+        (F.col("_u") == F.col("_c.u")) & (F.col(id_col) < F.col("_c.id")))
+    fits = F.col("_c.same") <= F.col("_c.allowed")
+    out = drawn.where(below | (at_cut & fits)).select(*cols)
+    if not repeated:
         return out
-    redo = big.join(short.select(F.col(shard_col).alias("_s"), "rep"),
-                    F.col(shard_col).eqNullSafe(F.col("_s"))).drop("_s")
-    kept = _null_safe(top(drawn), short, [shard_col, "rep"], "left_anti")
-    return small.select(*cols).unionByName(kept.select(*cols)).unionByName(top(redo).select(*cols))
+    # rows that repeat the last id: as many of them as the sample still takes
+    w = Window.partitionBy(shard_col, "rep").orderBy("_u")
+    last = drawn.where(at_cut & ~fits & (F.col("_n") >= size)).withColumn(
+        "_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_c.allowed"))
+    return out.unionByName(last.select(*cols))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

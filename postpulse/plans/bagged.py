@@ -63,7 +63,11 @@ class Attr:
 def sample_trees(rows: DataFrame, id_col: str, max_split: int = MAX_SPLIT_NUMBER,
                  number: int = SAMPLE_NUMBER, size: int = SAMPLE_SIZE,
                  shard_seed=SHARD_SEED, sample_seed=SAMPLE_SEED) -> DataFrame:
-    """Rows with a ``tree`` column: one copy per sample a row is drawn into."""
+    """Rows with a ``tree`` column: one per sample a row is drawn into.
+
+    A row's samples follow from its own keys and the samples' cuts, so these rows exist within
+    their task only: ``to_cells`` adds them up there, and what is shuffled are cells.
+    """
     sharded = rows.withColumn("shard", shard_of(F.col(id_col), max_split, shard_seed))
     s = shard_sample(sharded, id_col, "shard", number, size, sample_seed)
     return s.withColumn("tree", (F.col("shard") * F.lit(number) + F.col("rep")).cast("long"))

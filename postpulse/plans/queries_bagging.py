@@ -261,15 +261,19 @@ def q_ensemble_mean(spark, base):
 MULTI_NUMBER, MULTI_SIZE = 3, 200
 
 
-def _multi_samples_sql() -> str:
+MANY_NUMBER = 100
+
+
+def _multi_samples_sql(number: int) -> str:
     return (SAMPLES_SQL.replace(f">= {bg.SAMPLE_SIZE} ", f">= {MULTI_SIZE} ")
-            .replace(f"range(0, {bg.SAMPLE_NUMBER})", f"range(0, {MULTI_NUMBER})")
-            .replace(f"shard * {bg.SAMPLE_NUMBER}", f"shard * {MULTI_NUMBER}")
+            .replace(f"range(0, {bg.SAMPLE_NUMBER})", f"range(0, {number})")
+            .replace(f"shard * {bg.SAMPLE_NUMBER}", f"shard * {number}")
             .replace(f"rn <= {bg.SAMPLE_SIZE}", f"rn <= {MULTI_SIZE}"))
 
 
-@register("bagged_multi_sample", f"""
-WITH {_multi_samples_sql()},
+def _root_split_sql(number: int) -> str:
+    return f"""
+WITH {_multi_samples_sql(number)},
 node AS (SELECT tree, count(*) AS N, var_pop(y) AS mse, avg((y - (SELECT avg(y) FROM r)) * (y - (SELECT avg(y) FROM r))) AS ms FROM s GROUP BY tree),
 br AS ({BRANCH_SQL}),
 pa AS (SELECT tree, attr_pos, count(*) AS k, sum(sse) AS SSE FROM br GROUP BY tree, attr_pos),
@@ -279,14 +283,27 @@ cand AS (
   WHERE k >= 2 AND N > 1 AND mse > 1e-12 * ms),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY key, attr_pos) AS rn FROM cand)
 SELECT CAST(node.tree AS BIGINT) AS tree, N AS n, ranked.attr_pos, ranked.k AS n_branches
-FROM node JOIN ranked ON node.tree = ranked.tree WHERE rn = 1""")
-def q_bagged_multi_sample(spark, base):
-    """Several samples per shard, smaller than the shard: one tree each, with its root split."""
+FROM node JOIN ranked ON node.tree = ranked.tree WHERE rn = 1"""
+
+
+def _root_splits(spark, base, number):
     train, _ = _split(spark, base)
-    samples = bg.sample_trees(train, "row_id", number=MULTI_NUMBER, size=MULTI_SIZE)
+    samples = bg.sample_trees(train, "row_id", number=number, size=MULTI_SIZE)
     model = bg.fit_cells(bg.to_cells(samples, ATTRS, TARGET, bg.target_shift(train, TARGET)), ATTRS,
                          max_depth=1)
     root = model.nodes.where(F.col("node") == bg.ROOT)
     children = model.edges.where(F.col("node") == bg.ROOT).groupBy("tree").agg(
         F.count(F.lit(1)).alias("n_branches"))
     return root.join(children, "tree").select("tree", "n", "attr_pos", "n_branches")
+
+
+@register("bagged_multi_sample", _root_split_sql(MULTI_NUMBER))
+def q_bagged_multi_sample(spark, base):
+    """Several samples per shard, smaller than the shard: one tree each, with its root split."""
+    return _root_splits(spark, base, MULTI_NUMBER)
+
+
+@register("bagged_many_samples", _root_split_sql(MANY_NUMBER))
+def q_bagged_many_samples(spark, base):
+    """A hundred samples of every shard: 1,100 trees grown together."""
+    return _root_splits(spark, base, MANY_NUMBER)

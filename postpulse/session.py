@@ -14,7 +14,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "postpulse", cpus: int | None = None,
@@ -80,6 +80,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """Written below the shared folder and read back: computed once, survives lost executors."""
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _scratch: list[str] = []
 
 

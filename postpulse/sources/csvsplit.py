@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from postpulse.session import scratch_path
+from postpulse.session import stored
 
 BROADCAST_BLOCKS = 50_000      # rows of the block table that are sent to every task at most
 TAIL_CHARS = 1 << 20           # of a block's first lines that the first scan keeps
@@ -140,12 +140,6 @@ def glue_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TAILS = "file string, block long, odd boolean, closed boolean, tail string"
 
 
-def kept(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_blocks(lines: DataFrame, blocks: DataFrame, broadcast_blocks: int) -> DataFrame:
     """Lines joined with rows of their block, still in order within the block."""
     if blocks.count() <= broadcast_blocks:
@@ -160,14 +154,14 @@ def block_table(spark: SparkSession, lines: DataFrame, tail_chars: int,
                 broadcast_blocks: int) -> DataFrame:
     """(file, block, inside, rest), one row per block."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = kept(spark, lines.mapInArrow(count_quotes(tail_chars), TAILS), "csv-quotes").select(
+    blocks = stored(spark, lines.mapInArrow(count_quotes(tail_chars), TAILS), "csv-quotes").select(
         "file", "block", "closed", "tail",
         F.coalesce(F.sum(F.col("odd").cast("int")).over(before) % 2 == 1, F.lit(False)).alias("inside"),
         F.coalesce(F.sum(F.col("closed").cast("int")).over(before), F.lit(0)).alias("run"))
-    blocks = kept(spark, blocks, "csv-blocks")
+    blocks = stored(spark, blocks, "csv-blocks")
     long = blocks.where("inside and tail is null").select("file", "block")
     if not long.isEmpty():      # long records over block borders: their lines are read once more
-        tails = kept(spark, with_blocks(lines, long, broadcast_blocks).select(
+        tails = stored(spark, with_blocks(lines, long, broadcast_blocks).select(
             "file", "block", "value").mapInArrow(count_quotes(None), TAILS), "csv-tails")
         blocks = blocks.join(tails.select("file", "block", F.col("tail").alias("whole")),
                              ["file", "block"], "left").withColumn("tail", F.coalesce("tail", "whole"))
@@ -176,7 +170,7 @@ def block_table(spark: SparkSession, lines: DataFrame, tail_chars: int,
     runs = blocks.where("inside").groupBy("file", (F.col("run") - 1).alias("run")).agg(F.concat_ws(
         "\n", F.transform(F.sort_array(F.collect_list(F.struct("block", "tail"))),
                           lambda x: x["tail"])).alias("rest"))
-    return kept(spark, blocks.join(runs, ["file", "run"], "left").select(
+    return stored(spark, blocks.join(runs, ["file", "run"], "left").select(
         "file", "block", "inside", "rest"), "csv-starts")
 
 

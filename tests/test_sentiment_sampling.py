@@ -84,6 +84,15 @@ def test_shard_sample_exact_and_small_shards(spark):
     assert got == _brute_sample(ids, 3, size, smp.SAMPLE_SEED)
 
 
+def test_samples_of_repeated_ids_have_their_size(spark):
+    """A third of a shard's rows repeat one id; null ids belong to small shards only."""
+    rows = [(i, 0) for i in range(400)] + [(7, 0)] * 200 + [(i, 1) for i in range(1000, 1040)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "rid long, shard int").repartition(5)
+    got = smp.shard_sample(df, "rid", "shard", 6, 120)
+    per = {(r["shard"], r["rep"]): r["count"] for r in got.groupBy("shard", "rep").count().collect()}
+    assert per == {(0, k): 120 for k in range(6)} | {(1, 0): 41}
+
+
 def test_shard_sample_fallback_path_is_exact(spark):
     df = _sharded(spark)
     ids = defaultdict(list)
