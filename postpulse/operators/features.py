@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postpulse.functions.cleaning import blank_to_zero, drop_strict, rename_all, to_int
-from postpulse.functions.sentiment import score_texts
+from postpulse.functions.sentiment import DEFAULT_LEXICON, Rules, rule_scores
 from postpulse.functions.timeparts import time_parts
 
 # ---- fixed values: names of the model table columns, in file order -----------
@@ -43,15 +43,19 @@ def with_time_parts(df: DataFrame, epoch_col: str = "created_utc") -> DataFrame:
 
 
 def feature_table(comments: DataFrame, lexicon=None, id_col: str = "id",
-                  body_col: str = "body", keep: list[str] | None = None) -> DataFrame:
-    """Per comment: kept columns, sentiment class and time parts; the body is dropped."""
+                  body_col: str = "body", keep: list[str] | None = None,
+                  rules: Rules | None = None) -> DataFrame:
+    """Per comment: kept columns, sentiment class and time parts; the body is dropped.
+
+    The class follows from the rule scorer.
+    """
     keep = keep if keep is not None else ["subreddit"]
-    scored = score_texts(comments, id_col, body_col, lexicon)
+    scored = rule_scores(comments, body_col, DEFAULT_LEXICON if lexicon is None else lexicon, rules)
     timed = with_time_parts(scored)
     return timed.select(id_col, *keep, "sentiment_class", *TIME_PART_NAMES)
 
 
-def feature_job(raw: DataFrame, lexicon=None) -> DataFrame:
+def feature_job(raw: DataFrame, lexicon=None, rules: Rules | None = None) -> DataFrame:
     """The whole comment job on raw rows ``_c0`` .. ``_c21`` (N5): blank -> 0, time parts,
     sentiment class of the body, and the model table's columns by name, then the id.
 
@@ -63,7 +67,8 @@ def feature_job(raw: DataFrame, lexicon=None) -> DataFrame:
               "score": SCORE_FIELD, "created_utc": EPOCH_FIELD}
     named = raw.select(F.col(body).alias("body"), *[
         blank_to_zero(F.col(f"_c{i}")).alias(n) for n, i in fields.items()])
-    parts = with_time_parts(score_texts(named, "id", "body", lexicon))
+    parts = with_time_parts(rule_scores(
+        named, "body", DEFAULT_LEXICON if lexicon is None else lexicon, rules))
     renamed = parts.withColumnsRenamed({"sentiment_class": "sentiment", "hour": "HoD",
                                         "dayofweek": "DoW", "day": "DoM"})
     return renamed.select(*MODEL_COLUMNS, "id")

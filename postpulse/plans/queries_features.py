@@ -120,54 +120,90 @@ def q_sentiment_class(spark, base):
     return score_texts(d, "doc_id", "text").select("doc_id", "compound", "sentiment_class")
 
 
-@register("feature_table", f"""
-WITH {SCORE_SQL}
-SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,
-       {TIME_SQL.format(t='epoch_ms((1601510400 + d.doc_id * 3607) * 1000)')}
-FROM cls c JOIN documents d ON c.doc_id = d.doc_id""")
-def q_feature_table(spark, base):
-    return features.feature_table(fx.comments(spark, base))
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _rules_sql() -> str:
-    neg = ", ".join("'" + w.replace("'", "''") + "'" for w in sent.NEGATIONS)
-    boost = " ".join(f"WHEN '{w}' THEN {k}" for w, k in sent.BOOSTERS.items())
-    lex = ", ".join(f"('{w}', {int(round(v * VALENCE_SCALE))})" for w, v in DEFAULT_LEXICON.items())
+def _rules_ctes() -> str:
+    """The rule scorer over ``documents``: matches as rows, their context by list lookups."""
+    r = fx.RULES
     caps = "(upper({0}) = {0} AND lower({0}) <> {0})"
+    units = lambda v: int(round(v * VALENCE_SCALE))
+    lex = " ".join(f"WHEN '{w}' THEN {units(v)}" for w, v in DEFAULT_LEXICON.items())
+    gram = {1: "l[i]", 2: "CASE WHEN i > 1 THEN l[i - 1] || ' ' || l[i] END",
+            3: "CASE WHEN i > 2 THEN l[i - 2] || ' ' || l[i - 1] || ' ' || l[i] END"}
+    sized = {n: r.of_length(n) for n in (3, 2, 1) if r.of_length(n)}
+    k = " ".join(f"WHEN {gram[n]} IN ({_quoted(p)}) THEN {n}" for n, p in sized.items())
+    value = " ".join(f"WHEN {gram[n]} = {_quoted([w])} THEN {units(v)}"
+                     for n, p in sized.items() for w, v in p.items())
+    boost = " ".join(f"WHEN '{w}' THEN {b}" for w, b in r.boosters.items())
+    steps = ["""
+v0 AS (SELECT *, v / {scale}::DOUBLE + sign(v) * CASE WHEN mixed AND {loud} THEN {inc}::DOUBLE ELSE 0.0::DOUBLE END AS x
+       FROM u)""".format(scale=VALENCE_SCALE, loud=caps.format("w[i]"), inc=sent.CAPITALS_INCREMENT)]
+    for d, damp in enumerate(sent.BOOSTER_REACH, 1):
+        word = f"CASE WHEN first > {d} THEN l[first - {d}] END"
+        least = ("" if d > 1 else " OR (coalesce({0} = 'least', false) AND NOT coalesce("
+                 "(CASE WHEN first > 2 THEN l[first - 2] END) IN ('at', 'very'), false))".format(word))
+        steps.append(f"""
+b{d} AS (SELECT * REPLACE (x + sign(x) * coalesce(CASE {word} {boost} END, 0) * {sent.BOOSTER * damp!r}::DOUBLE AS x) FROM v{d - 1}),
+v{d} AS (SELECT * REPLACE (x * CASE WHEN coalesce({word} IN ({_quoted(r.negations)}), false){least}
+                           THEN {sent.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END AS x) FROM b{d})""")
+    pattern = r.pattern().replace("'", "''")
     return f"""
-WITH lex(token, v) AS (VALUES {lex}),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}'']+') AS ws FROM documents),
-m AS (SELECT *, len([x FOR x IN ws IF {caps.format('x')}]) AS n_caps FROM w),
-p AS (SELECT doc_id, ws, n_caps > 0 AND n_caps < len(ws) AS mixed, unnest(range(1, len(ws) + 1)) AS i FROM m),
-t AS (SELECT doc_id, lower(ws[i]) AS token, mixed AND {caps.format('ws[i]')} AS loud,
-             coalesce(i > 1 AND lower(ws[i - 1]) IN ({neg}), false)
-             OR coalesce(i > 2 AND lower(ws[i - 2]) IN ({neg}), false)
-             OR coalesce(i > 3 AND lower(ws[i - 3]) IN ({neg}), false) AS negated,
-             CASE WHEN i > 1 THEN CASE lower(ws[i - 1]) {boost} ELSE 0 END ELSE 0 END AS boost FROM p),
-s AS (SELECT doc_id, sum(CAST(floor(
-        (CAST(v AS DOUBLE) / {VALENCE_SCALE} + sign(v) * (CASE WHEN loud THEN {sent.CAPITALS_INCREMENT}::DOUBLE ELSE 0.0::DOUBLE END
-          + boost * {sent.BOOSTER}::DOUBLE))
-        * (CASE WHEN negated THEN {sent.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END) * {VALENCE_SCALE} + 0.5) AS BIGINT)) AS v
-      FROM t JOIN lex USING (token) GROUP BY doc_id),
-q AS (SELECT d.doc_id, d.text, coalesce(s.v, 0) / {float(VALENCE_SCALE)}::DOUBLE AS s,
-             least(length(d.text) - length(replace(d.text, '!', '')), {sent.MAX_EXCLAMATIONS}) AS marks
-      FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id),
-c AS (SELECT doc_id, text, s + sign(s) * marks * {sent.EXCLAMATION_INCREMENT}::DOUBLE AS s FROM q),
-comp AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL
-                ELSE round(s / sqrt(s * s + {float(sent.ALPHA)}::DOUBLE), 4) END AS compound FROM c)
-SELECT doc_id, compound,
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS w FROM documents),
+l AS (SELECT *, [lower(x) FOR x IN w] AS l, len([x FOR x IN w IF {caps.format('x')}]) AS n_caps FROM w),
+p AS (SELECT doc_id, w, l, n_caps > 0 AND n_caps < len(w) AS mixed,
+             coalesce(list_min([i FOR i IN range(1, len(l) + 1) IF l[i] IN ({_quoted(r.contrasts)})]), 0) AS but,
+             unnest(range(1, len(l) + 1)) AS i FROM l),
+g AS (SELECT *, CASE {k} ELSE 0 END AS k, coalesce(CASE {value} END, CASE l[i] {lex} END) AS v FROM p),
+h AS (SELECT *, lead(k, 1, 0) OVER o AS k1, lead(k, 2, 0) OVER o AS k2
+      FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT *, i - greatest(k, 1) + 1 AS first FROM h WHERE v IS NOT NULL),{",".join(steps)},
+t AS (SELECT doc_id, sum(CAST(floor(x * {VALENCE_SCALE} + 0.5) AS BIGINT)
+        * CASE WHEN k1 >= 2 OR k2 >= 3 THEN 0 WHEN but = 0 THEN 2 WHEN first < but THEN 1 ELSE 3 END) AS n
+      FROM v3 GROUP BY doc_id),
+q AS (SELECT d.doc_id, d.text, coalesce(t.n, 0) / {2.0 * VALENCE_SCALE}::DOUBLE AS s,
+             least(length(d.text) - length(replace(d.text, '!', '')), {sent.MAX_EXCLAMATIONS}) AS marks,
+             length(d.text) - length(replace(d.text, '?', '')) AS asked
+      FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id),
+c AS (SELECT doc_id, text, s + sign(s) * (marks * {sent.EXCLAMATION_INCREMENT}::DOUBLE
+        + CASE WHEN asked > {sent.MAX_QUESTIONS} THEN {sent.MANY_QUESTIONS}::DOUBLE
+               WHEN asked > 1 THEN asked * {sent.QUESTION_INCREMENT}::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM q),
+rule_comp AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL
+                ELSE round(s / sqrt(s * s + {float(sent.ALPHA)}::DOUBLE), 4) END AS compound FROM c),
+cls AS (SELECT doc_id, compound,
        CASE WHEN text IS NULL OR text = '' THEN 10
             WHEN compound > 0.6 THEN 1 WHEN compound > 0.25 THEN 2
             WHEN compound > -0.25 THEN 3 WHEN compound > -0.6 THEN 4 ELSE 5 END AS sentiment_class
-FROM comp"""
+FROM rule_comp)"""
 
 
-@register("sentiment_rules", _rules_sql())
+RULES_CTES = _rules_ctes()
+
+
+@register("feature_table", f"""
+WITH {RULES_CTES}
+SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,
+       {TIME_SQL.format(t='epoch_ms((1601510400 + d.doc_id * 3607) * 1000)')}
+FROM cls c JOIN documents d ON c.doc_id = d.doc_id""")
+def q_feature_table(spark, base):
+    return features.feature_table(fx.comments(spark, base), rules=fx.RULES)
+
+
+@register("sentiment_rules", f"WITH {RULES_CTES} SELECT doc_id, compound, sentiment_class FROM cls")
 def q_sentiment_rules(spark, base):
-    """Word sum with negation, intensifiers, capitals and exclamation marks; the lexicon is a table."""
+    """Word sum with phrases, negation, intensifiers, capitals, contrast and marks; the lexicon is
+    a table."""
     lexicon = spark.createDataFrame(list(DEFAULT_LEXICON.items()), "token string, valence double")
     d = table(spark, base, "documents").select("doc_id", "text")
-    return sent.rule_scores(d, "doc_id", "text", lexicon)
+    return sent.rule_scores(d, "text", lexicon, fx.RULES).drop("text")
+
+
+@register("sentiment_rules_narrow", f"WITH {RULES_CTES} SELECT doc_id, compound, sentiment_class FROM cls")
+def q_sentiment_rules_narrow(spark, base):
+    """The same from a dict: one projection, no shuffle and no id."""
+    d = table(spark, base, "documents").select("doc_id", "text")
+    return sent.rule_scores(d, "text", DEFAULT_LEXICON, fx.RULES).drop("text")
 
 
 RAW_SQL = """
@@ -181,7 +217,7 @@ raw AS (
 def _feature_job_sql(cast: str) -> str:
     t = "epoch_ms(epoch * 1000)"
     return f"""
-WITH {SCORE_SQL}, {RAW_SQL}
+WITH {RULES_CTES}, {RAW_SQL}
 SELECT raw.subreddit, CAST(raw.doc_id % 2 AS VARCHAR) AS gilded,
        CASE WHEN raw.doc_id % 4 = 0 THEN 'True' ELSE 'False' END AS archived,
        CAST(cls.sentiment_class AS {cast}) AS sentiment,
@@ -196,7 +232,7 @@ FROM raw JOIN cls ON raw.doc_id = cls.doc_id"""
 def _raw_features(spark, base):
     paths = csvio.write_mixed(fx.raw_comments(spark, base), scratch_path(spark, "raw-comments"))
     raw = csvio.read_exact_width(spark, paths, features.COMMENT_WIDTH, multiline=True)
-    return features.feature_job(raw)
+    return features.feature_job(raw, rules=fx.RULES)
 
 
 @register("feature_job", _feature_job_sql("INTEGER"))
@@ -229,7 +265,7 @@ def q_comment_features(spark, base):
 
 
 @register("feature_stream", f"""
-WITH {SCORE_SQL}
+WITH {RULES_CTES}
 SELECT c.doc_id AS id, d.source AS subreddit, c.sentiment_class,
        {TIME_SQL.format(t='epoch_ms((1601510400 + d.doc_id * 3607) * 1000)')}
 FROM cls c JOIN documents d ON c.doc_id = d.doc_id""")
@@ -240,6 +276,6 @@ def q_feature_stream(spark, base):
     docs = table(spark, base, "documents")
     sink = scratch_path(spark, "feature-stream-out")
     q = start_feature_stream(spark, f"{base.rstrip('/')}/documents[.]parquet", docs.schema,
-                             sink, scratch_path(spark, "feature-stream-ckpt"))
+                             sink, scratch_path(spark, "feature-stream-ckpt"), rules=fx.RULES)
     q.awaitTermination()
     return spark.read.parquet(sink)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.functions.timeparts import epoch_seconds_of_ntz
+from postpulse.functions.sentiment import Rules
 from postpulse.sources.tables import table
 
 # ---- fixed values of the bindings (FIXTURES.md) ------------------------------
@@ -136,3 +137,11 @@ def blank_orders(spark: SparkSession, base: str) -> DataFrame:
         "o_totalprice",
         F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("o_orderpriority"),
     )
+
+
+#: Rule words that occur in the invented texts, so that every rule takes part in the keys' results.
+RULES = Rules(negations=("not", "never", "nicht", "pas", "on"),
+              boosters={"very": 1, "that": 1, "sur": 1, "so": 1, "is": -1, "die": -1},
+              contrasts=("but", "with", "dans", "mit"),
+              phrases={"of the": 0.4, "and the": -0.35, "in der": 0.9, "de la": -0.8, "to of in": 1.1,
+                       "!": 0.0, ".\n": -0.05})

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postpulse.functions.sentiment import Rules
 from postpulse.operators.engagement import clean_posts
 from postpulse.operators.features import feature_table
 from postpulse.sources.fixtures import COMMENT_EPOCH_BASE, COMMENT_EPOCH_STEP
@@ -40,13 +41,14 @@ def comments_from_documents(stream: DataFrame) -> DataFrame:
 
 def start_feature_stream(spark: SparkSession, source_glob: str, schema, sink: str, checkpoint: str,
                          lexicon=None, trigger: str = "available_now",
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+                         max_files_per_trigger: int | None = None,
+                         rules: Rules | None = None) -> StreamingQuery:
     """Landed document files -> comment features (sentiment class, time parts) -> parquet."""
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     comments = comments_from_documents(r.parquet(source_glob))
-    return _start(feature_table(comments, lexicon), sink, checkpoint, trigger)
+    return _start(feature_table(comments, lexicon, rules=rules), sink, checkpoint, trigger)
 
 
 def start_posts_stream(spark: SparkSession, source_glob: str, sink: str, checkpoint: str,

@@ -6,7 +6,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from postpulse.functions.sentiment import DEFAULT_LEXICON, score_texts, sentiment_class
+from postpulse.functions.sentiment import (DEFAULT_LEXICON, Rules, rule_scores, score_texts,
+                                           sentiment_class)
 from postpulse.operators import sampling as smp
 from postpulse.sources.tables import table
 
@@ -140,20 +141,62 @@ def test_positions_show_a_wrong_order(spark):
     assert sorted((r.position, r.id) for r in rows) == [(i, 99 - i) for i in range(100)]
 
 
+LEXICON = {"good": 2.0, "über": 1.5, "bad": -2.0, "day": 0.5}
+
+
+def _rules(spark, texts, rules=None, lexicon=LEXICON, ids=None):
+    rows = spark.createDataFrame(list(zip(ids or range(len(texts)), texts)), "id long, body string")
+    narrow = rule_scores(rows, "body", lexicon, rules).collect()
+    words = spark.createDataFrame(list(lexicon.items()), "token string, valence double")
+    joined = rule_scores(rows, "body", words, rules).collect()
+    assert sorted(map(tuple, narrow), key=str) == sorted(map(tuple, joined), key=str)
+    return [r.compound for r in sorted(narrow, key=lambda r: (r.id is None, r.id))]
+
+
+def _compound(s):
+    return round(s / (s * s + 15) ** 0.5, 4)
+
+
 def test_rules_change_the_score(spark):
-    from postpulse.functions.sentiment import rule_scores
-    lexicon = spark.createDataFrame([("good", 2.0), ("über", 1.5), ("bad", -2.0)], "token string, valence double")
-    texts = ["good", "not good", "very good", "GOOD day", "GOOD", "good!!", "bad!!!!!!", "über alles", None, "",
-             "good, not so bad"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
-    got = {r.id: (r.compound, r.sentiment_class) for r in rule_scores(rows, "id", "body", lexicon).collect()}
-    score = lambda s: round(s / (s * s + 15) ** 0.5, 4)
-    assert got[0][0] == score(2.0)
-    assert got[1][0] == score(2.0 * -0.74)
-    assert got[2][0] == score(2.0 + 0.293)
-    assert got[3][0] == score(2.0 + 0.733) and got[4][0] == score(2.0)
-    assert got[5][0] == score(2.0 + 2 * 0.292) and got[6][0] == score(-2.0 - 4 * 0.292)
-    assert got[7][0] == score(1.5)
-    assert got[8] == (None, 10) and got[9][1] == 10
-    # "so" boosts and "not" turns the second word
-    assert got[10][0] == score(2.0 + round((-2.0 - 0.293) * -0.74, 4))
+    turned = lambda v: round(v * -0.74, 4)
+    cases = {
+        "good": 2.0, "not good": turned(2.0), "very good": 2.293, "GOOD thing": 2.733, "GOOD": 2.0,
+        "good!!": 2.0 + 2 * 0.292, "bad!!!!!!": -2.0 - 4 * 0.292, "über alles": 1.5,
+        "really the good": round(2 + 0.293 * 0.95, 4), "very a b good": round(2 + 0.293 * 0.9, 4),
+        "very a b c good": 2.0, "slightly bad": -1.707, "not a b good": turned(2.0),
+        "not a b c good": 2.0, "good, not so bad": 2.0 + turned(-2.293),
+        "not very good": turned(2.293), "very not good": round(turned(2.0) - 0.293 * 0.95, 4),
+        "least good": turned(2.0), "at least good": 2.0, "good bad day": 0.5,
+        "good? why?": 2.0 + 0.36, "good???? ": 2.96, "good?": 2.0,
+        "good but bad": 0.5 * 2.0 - 1.5 * 2.0, "bad but very good": -1.0 + 1.5 * 2.293, "so what": 0.0}
+    got = _rules(spark, list(cases))
+    assert got == [_compound(v) for v in cases.values()]
+
+
+def test_phrases_and_marks(spark):
+    rules = Rules(phrases={"bad day": 1.0, "kind of": -0.5, "good bad day": 3.0, ":)": 2.0, ":))": 3.0, "<3": 1.2})
+    cases = {"a bad day": 1.0, "very bad day": 1.293, "good bad day": 3.0, "bad bad day": -2.0 + 1.0,
+             "kind of good": 2.0 - 0.5, "good :)": 4.0, ":)) :)": 5.0, "not <3": round(1.2 * -0.74, 4),
+             "bad day bad day": 2.0, "BAD DAY off": 1.733}
+    assert _rules(spark, list(cases), rules) == [_compound(v) for v in cases.values()]
+
+
+def test_ids_play_no_part(spark):
+    """Repeated and null ids, null and blank texts, equal texts."""
+    texts = ["good", "good", "bad", "good", None, "", "bad"]
+    ids = [1, 1, 1, None, None, 5, 2**53 + 1]
+    got = sorted(map(str, _rules(spark, texts, ids=ids)))
+    assert got == sorted(map(str, [0.4588, 0.4588, -0.4588, 0.4588, None, 0.0, -0.4588]))
+    rows = spark.createDataFrame(list(zip(ids, texts)), "id long, body string")
+    words = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    plain = [sorted(map(tuple, score_texts(rows, "id", "body", x).collect()), key=str)
+             for x in (LEXICON, words)]
+    assert plain[0] == plain[1] and len(plain[0]) == 7
+    assert rule_scores(rows.limit(0), "body", words).count() == 0
+
+
+def test_the_feature_job_shuffles_nothing(spark):
+    from postpulse.operators.features import feature_table
+    from postpulse.sources import fixtures as fx
+    out = feature_table(fx.comments(spark, "/root/testdata/sf0.001"), rules=fx.RULES)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
