@@ -360,9 +360,13 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
                    hot: int = HOT) -> DataFrame:
     """``df`` with the repeated bytes cut out of its text, all rows and columns kept."""
     spans = repeated_spans(spark, identified(df, id_col, text_col), length, gram, hot)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), text.alias("text"),
-                      F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"))
+
+    def text_of(col):
+        return F.coalesce(col.cast("string"), F.lit(""))
+
+    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+                      F.col(id_col).cast("long").alias("doc_id"),
+                      F.xxhash64(text_of(F.col(text_col))).alias("rid"))
     joined = join_spans(keyed, spans)
 
     @F.pandas_udf("string")
@@ -371,7 +375,7 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             without(t.encode("utf-8", "surrogatepass"), covered(s, length)).decode("utf-8", "ignore")
             for t, s in zip(texts, starts)])
 
-    new = F.when(F.col("starts").isNotNull(), cut("text", F.coalesce(
+    new = F.when(F.col("starts").isNotNull(), cut(text_of(F.col(f"row.{text_col}")), F.coalesce(
         "starts", F.array().cast("array<struct<lo:int,hi:int>>")))).otherwise(F.col(f"row.{text_col}"))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"row.{c}").alias(c)
                            for c in df.columns])
