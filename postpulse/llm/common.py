@@ -43,6 +43,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts may be long: fewer rows than Spark's default go to a Python worker at a time.
+BATCH, DEFAULT, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 @contextlib.contextmanager
@@ -83,8 +85,13 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` would."""
+    """Send this package to the executors once per application, as ``--py-files`` would.
+
+    Where the session leaves the size of Arrow batches at its default, it becomes ``ROWS``.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, ROWS)
     if getattr(sc, "_postpulse_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(postpulse.__file__))

@@ -31,6 +31,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
          # many small stores: no space set aside, small change logs instead of whole snapshots
          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+         # all stores of an executor share this much native memory; what exceeds it is on disk
+         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 LOCATOR = "struct<no_id:boolean,doc_id:bigint,file:string,row:bigint>"
 

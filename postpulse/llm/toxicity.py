@@ -192,7 +192,10 @@ def logistic(x: np.ndarray, y: np.ndarray, reg: float, steps: int = 12) -> np.nd
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta.astype(np.float32), -30, 30)))
         grad = x.T @ (p - y) + shrink * beta
         weight = np.maximum(p * (1 - p), 1e-5).astype(np.float32)
-        hessian = (x * weight[:, None]).T @ x + np.diag(shrink)
+        hessian = np.diag(shrink)
+        for lo in range(0, n, 2048):        # no second copy of all rows
+            part = x[lo:lo + 2048]
+            hessian += (part * weight[lo:lo + 2048, None]).T @ part
         step = np.linalg.solve(hessian.astype(np.float64), grad)
         beta -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
