@@ -15,25 +15,40 @@ SAMPLE_SIZE = 1360
 MAX_SPLIT = 10
 
 
-@register("shuffle_rows", f"""
-SELECT *, row_number() OVER (ORDER BY shuffle_key, o_orderkey) - 1 AS position FROM (
-  SELECT o_orderkey, o_custkey, o_totalprice,
-         {sql_md5_number(smp.SPLIT_SEED, 'o_orderkey')} AS shuffle_key FROM orders)""")
+SHUFFLE_SQL = f"""SELECT o_orderkey, o_custkey, o_totalprice,
+       {sql_md5_number(smp.SPLIT_SEED, 'o_orderkey')} AS shuffle_key FROM orders"""
+
+
+def _orders(spark, base, *cols):
+    return table(spark, base, "orders").select(*cols)
+
+
+@register("shuffle_rows", SHUFFLE_SQL)
 def q_shuffle_rows(spark, base):
-    """The shuffled rows with the place each one came out at."""
-    o = table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return smp.with_position(smp.shuffle_rows(o, "o_orderkey"))
+    return smp.shuffle_rows(_orders(spark, base, "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+
 
+@register("sort_within_key", "SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders")
+def q_sort_within_key(spark, base):
+    return smp.sort_within_key(_orders(spark, base, "o_orderstatus", "o_orderkey", "o_totalprice"),
+                               "o_orderstatus", "o_orderkey")
+
+
+@register("shuffle_positions", f"""
+SELECT *, row_number() OVER (ORDER BY shuffle_key, o_orderkey) - 1 AS position FROM ({SHUFFLE_SQL}) s""")
+def q_shuffle_positions(spark, base):
+    """The shuffled rows with the place each one came out at: written once to see their order."""
+    return smp.with_position(q_shuffle_rows(spark, base))
 
-@register("sort_within_key", """
+
+@register("sort_positions", """
 SELECT o_orderstatus, o_orderkey, o_totalprice,
        row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS rank
 FROM orders""")
-def q_sort_within_key(spark, base):
+def q_sort_positions(spark, base):
     """Rows as they come out of the sort: each one's distance from the first of its key, which
     is its rank only if equal keys are adjacent and in order."""
-    o = table(spark, base, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
-    placed = smp.with_position(smp.sort_within_key(o, "o_orderstatus", "o_orderkey"))
+    placed = smp.with_position(q_sort_within_key(spark, base))
     first = placed.groupBy("o_orderstatus").agg(F.min("position").alias("first"))
     return placed.join(first, "o_orderstatus").select(
         "o_orderstatus", "o_orderkey", "o_totalprice", (F.col("position") - F.col("first")).alias("rank"))

@@ -69,7 +69,8 @@ def test_top_groups_broadcasts_only_the_bounded_top_k(plans):
     assert "TakeOrderedAndProject" in plan
 
 
-MANY_JOBS = ("bagged_predict", "shard_sample", "feature_job", "engagement_job", "shuffle_rows")
+MANY_JOBS = ("bagged_predict", "shard_sample", "feature_job", "engagement_job", "shuffle_positions",
+             "string_index_many", "sentiment_rules")
 
 
 def _log(spark) -> str:
