@@ -239,6 +239,16 @@ def stump(data: DataFrame, idx_cols: list[str]) -> DataFrame:
                         F.round("mean", 6).alias("mean"))
 
 
+def leaf_counts(data: DataFrame, depth: int) -> DataFrame:
+    """(n_train, n_test, mean) per leaf of a tree of at most this depth; the leaf's mean label
+    over the train rows is its prediction (M2, M7)."""
+    model = fit_tree(data, "dt", maxDepth=depth, leafCol="leaf")
+    train = F.col("split") == "train"
+    return model.transform(data).groupBy("leaf").agg(
+        F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"),
+        F.round(F.avg(F.when(train, F.col("label"))), 6).alias("mean")).drop("leaf")
+
+
 def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_grid=BINS_GRID,
                folds: int = NUM_FOLDS, id_col: str = "event_id", parallelism: int | None = None,
                memory_mb: int = 1024, seed: int = 42) -> DataFrame:

@@ -148,6 +148,70 @@ def q_dt_stump(spark, base):
     return models.stump(data, idx)
 
 
+def _tree_ctes(depth: int) -> str:
+    """Tree growth unrolled: per level the best split of every node, then rows move.
+
+    A node's rows per value of a feature, ordered by the value, or by the mean label for a
+    categorical one, give all splits as prefixes; the best has the least squared error, the
+    first feature on ties. A threshold is any number between two neighbouring values. Values of
+    a categorical feature that the node has not seen go right.
+    """
+    base = _index_sql("m.event_id, m.score AS label, " + ", ".join(
+        f"i_{c}.idx AS f{i}" for i, c in enumerate(TEXT_COLS)))
+    cat = " ".join(f"WHEN {i} THEN (SELECT count(DISTINCT f{i}) FROM d) <= {models.MAX_CATEGORIES}"
+                   for i in range(len(TEXT_COLS)))
+    value = "CASE {0} " + " ".join(f"WHEN {i} THEN f{i}" for i in range(len(TEXT_COLS))) + " END"
+    ctes = [base.removeprefix("WITH ").split("\nSELECT")[0], "d AS (SELECT" + base.split("\nSELECT", 1)[1] + ")",
+            f"""k AS (SELECT f, CASE f {cat} END AS cat FROM (SELECT unnest(range({len(TEXT_COLS)})) AS f))""",
+            f"""g0 AS (SELECT event_id, label, {", ".join(f"f{i}" for i in range(len(TEXT_COLS)))}, 1 AS node, true AS open,
+               {sql_md5_number(SPLIT_SEED, 'event_id')} % 100 < 70 AS train FROM d WHERE label IS NOT NULL)"""]
+    for lv in range(depth):
+        ctes += [f"""st{lv} AS (SELECT node, k.f, k.cat, {value.format('k.f')} AS v, count(*) AS n, sum(label) AS s
+               FROM g{lv}, k WHERE train AND open GROUP BY node, k.f, k.cat, {value.format('k.f')})""",
+                 f"""run{lv} AS (SELECT node, f, cat, v, row_number() OVER w AS r, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+               sum(n) OVER p AS n, sum(s) OVER p AS s FROM st{lv}
+               WINDOW w AS (PARTITION BY node, f ORDER BY CASE WHEN cat THEN s / n ELSE v END, v
+                            ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, f))""",
+                 f"""best{lv} AS (SELECT * FROM (SELECT node, f, cat, v, r, row_number() OVER (PARTITION BY node ORDER BY
+                 round(sl * sl * 1.0 / nl + (s - sl) * (s - sl) * 1.0 / (n - nl), 6) DESC, f) AS place
+               FROM run{lv} WHERE nl < n) WHERE place = 1)""",
+                 f"""left{lv} AS (SELECT run{lv}.node, run{lv}.v FROM run{lv} JOIN best{lv} b
+               ON run{lv}.node = b.node AND run{lv}.f = b.f WHERE b.cat AND run{lv}.r <= b.r)""",
+                 f"""g{lv + 1} AS (SELECT g.* EXCLUDE (node, open),
+                 CASE WHEN b.node IS NULL THEN g.node WHEN CASE WHEN b.cat THEN l.node IS NOT NULL
+                      ELSE {value.format('b.f')} <= b.v END THEN 2 * g.node ELSE 2 * g.node + 1 END AS node,
+                 b.node IS NOT NULL AS open
+               FROM g{lv} g LEFT JOIN best{lv} b ON g.node = b.node AND g.open
+               LEFT JOIN left{lv} l ON l.node = g.node AND b.cat AND l.v = {value.format('b.f')})"""]
+    return ",\n".join(ctes)
+
+
+TREE_DEPTH = 3
+
+
+@register("dt_leaves", f"""
+WITH {_tree_ctes(TREE_DEPTH)}
+SELECT count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test,
+       round(avg(label) FILTER (train), 6) AS mean
+FROM g{TREE_DEPTH} GROUP BY node""")
+def q_dt_leaves(spark, base):
+    """Leaves of the tree of depth 3: train and test rows that reach each, mean of the train rows."""
+    data, _ = _prepared(spark, base)
+    return models.leaf_counts(data, TREE_DEPTH)
+
+
+@register("dt_depth_rmse", f"""
+WITH {_tree_ctes(TREE_DEPTH)},
+leaf AS (SELECT node, avg(label) AS prediction FROM g{TREE_DEPTH} WHERE train GROUP BY node)
+SELECT 'dt' AS model, count(*) AS n_test, round(sqrt(avg((label - prediction) ** 2)), 6) AS rmse
+FROM g{TREE_DEPTH} g JOIN leaf ON g.node = leaf.node WHERE NOT train""")
+def q_dt_depth_rmse(spark, base):
+    """RMSE on the test rows of the tree of depth 3."""
+    data, _ = _prepared(spark, base)
+    return models.tree_rmse(data, "dt", maxDepth=TREE_DEPTH).select(
+        "model", "n_test", F.round("rmse", 6).alias("rmse"))
+
+
 @register("dt_rmse")
 def q_dt_rmse(spark, base):
     data, _ = _prepared(spark, base)

@@ -13,7 +13,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 NARROW = ("time_slice", "union_slices", "date_parts", "sentiment_score", "sentiment_class",
           "feature_table", "hash_split", "shard_assign", "drop_columns", "dropna_rows",
-          "fill_blank_zero", "line_split", "string_index")
+          "fill_blank_zero", "line_split")
 SKIP = ("dt_cv", "rf_cv")   # 151 fits each; their plans are Spark ML's
 
 
@@ -41,6 +41,12 @@ def test_narrow_jobs_do_not_shuffle(plans):
         assert "Exchange" not in plans[key], key
 
 
+def test_few_values_are_indexed_without_a_shuffle(plans):
+    plan = plans["string_index"]
+    assert "BroadcastHashJoin" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    assert "SortMergeJoin" in plans["string_index_many"] or "Exchange hashpartitioning" in plans["string_index_many"]
+
+
 def test_pull_filters_reach_the_scan(spark):
     df = entry.queries()["time_slice"](spark, BASE)
     text = df._jdf.queryExecution().explainString(
