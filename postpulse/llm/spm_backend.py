@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ MARK = "▁"
 #: Piece types and model types of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMO = 100 << 20     # bytes held for chunks
+MEMO = 200 << 20     # bytes held for chunks, and as many for groups of ids
 ENTRY = 250          # of them for an entry beside its characters and ids
 JOINED = 64          # new chunks per library call
 
@@ -130,7 +131,7 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
 
 def rebuild(model: Model):
     """A tokenizers pipeline that encodes and decodes as the model does."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
     if model.kind == BPE:
         core = models.BPE(model.ids(), merges_of(model), unk_token=model.pieces[model.unknown()][0],
                           fuse_unk=True, byte_fallback=model.byte_fallback)
@@ -151,13 +152,16 @@ def rebuild(model: Model):
     if model.chunked():
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"),
                                                        "removed", invert=True)
-    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.dummy_prefix:
-        undo.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(undo)
+    tokenizer.decoder = decoder(model, strip=model.dummy_prefix)
     return tokenizer
 
 
+def decoder(model, strip: bool):
+    from tokenizers import decoders
+    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence(undo + [decoders.Strip(" ", 1, 0)] if strip else undo)
+
+
 class Backend:
     """Encoder, decoder and parity check of one model file."""
 
@@ -170,8 +174,15 @@ class Backend:
         self.model = parse_model(data)
         self.tokenizer = rebuild(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}          # ids of chunks
+        self.apart: set[str] = set()               # chunks without parity
         self.held = 0
+        self.texts: dict[bytes, str] = {}          # of groups of ids
+        self.held_texts = 0
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        # blanks in a piece's text; a piece that could hide one counts as two
+        self.blanks = np.array([2 if t in (UNKNOWN, CONTROL) or p == "<0x20>" or " " in p
+                                else p.count(MARK) for p, _, t in self.model.pieces])
         self.bytes_of = [self._bytes(p, t) for p, _, t in self.model.pieces]
         # bytes of the normalised text that an id stands for; unknown ones end the count
         self.width_of = np.array([1 if t == BYTE else len(p.encode()) if t != UNKNOWN else 1 << 40
@@ -180,6 +191,7 @@ class Backend:
         self.core = Tokenizer(self.tokenizer.model)     # takes text that is normalised already
         if self.chunked:
             self.core.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.core.decoder = decoder(self.model, strip=False)
 
     def _bytes(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -202,15 +214,12 @@ class Backend:
             return [(np.array(a.ids, "<u4"), a.ids == b)
                     for a, b in zip(mine, self.other.encode(texts))]
         chunks = [self.CHUNK.findall(self.normal(t)) for t in texts]
-        self._learn({c for cs in chunks for c in cs if c not in self.known})
+        self._learn(set(chain.from_iterable(chunks)).difference(self.known))
         got = self.known.__getitem__
-        out = []
-        for cs in chunks:
-            parts = list(map(got, cs))
-            out.append((np.frombuffer(b"".join([p for p, _ in parts]), "<u4"),
-                        all([same for _, same in parts])))
+        out = [(np.frombuffer(b"".join(map(got, cs)), "<u4"), self.apart.isdisjoint(cs))
+               for cs in chunks]
         if self.held > MEMO:
-            self.known, self.held = {}, 0
+            self.known, self.apart, self.held = {}, set(), 0
         return out
 
     def _learn(self, fresh: set[str]) -> None:
@@ -247,14 +256,58 @@ class Backend:
             self._keep(c, np.array(ids, "<u4"), same)
 
     def _keep(self, chunk: str, ids: np.ndarray, same: bool) -> None:
-        self.known[chunk] = ids.tobytes(), same
+        self.known[chunk] = ids.tobytes()
+        if not (same and self.spells_chunk(chunk, ids)):
+            self.apart.add(chunk)
         self.held += ENTRY + 2 * len(chunk) + 4 * len(ids)     # the marker is a two-byte character
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_batch([ids])[0]
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """Texts of id sequences, by the rebuilt decoder.
+
+        Only bytes that follow each other are decoded together, and no byte begins with the
+        marker: a sequence decodes as its groups from one such piece to the next do. Groups met
+        before are looked up.
+        """
+        if not self.chunked:
+            return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        groups = []
+        for one in ids:
+            raw, edge = one.tobytes(), (4 * np.flatnonzero(self.begins[one])).tolist()
+            if len(one) and (not edge or edge[0]):
+                edge.insert(0, 0)
+            groups.append([raw[a:b] for a, b in zip(edge, [*edge[1:], len(raw)])])
+        self._read(list(set(chain.from_iterable(groups)).difference(self.texts)))
+        out = ["".join(map(self.texts.__getitem__, gs)) for gs in groups]
+        if self.held_texts > MEMO:
+            self.texts, self.held_texts = {}, 0
+        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
+
+    def _read(self, fresh: list[bytes]) -> None:
+        """Decode new groups. Those with one blank, at their start, go ``JOINED`` to a call: the
+        text of such a call falls apart at its blanks."""
+        if not fresh:
+            return
+        ids = np.frombuffer(b"".join(fresh), "<u4")
+        at = np.concatenate([[0], np.cumsum([len(g) // 4 for g in fresh])[:-1]])
+        one = (np.add.reduceat(self.blanks[ids], at) == 1) & self.begins[ids[at]]
+        easy = [g for g, o in zip(fresh, one.tolist()) if o]
+        calls = [easy[i:i + JOINED] for i in range(0, len(easy), JOINED)]
+        texts = self.core.decode_batch([np.frombuffer(b"".join(c), "<u4").tolist() for c in calls],
+                                       skip_special_tokens=False)
+        for call, text in zip(calls, texts):
+            words = text.split(" ")
+            if len(words) == len(call) + 1 and not words[0]:
+                self._hold(call, [" " + w for w in words[1:]])
+        rest = [g for g in fresh if g not in self.texts]
+        self._hold(rest, self.core.decode_batch(
+            [np.frombuffer(g, "<u4").tolist() for g in rest], skip_special_tokens=False))
+
+    def _hold(self, groups: list[bytes], texts: list[str]) -> None:
+        self.texts.update(zip(groups, texts))
+        self.held_texts += sum(ENTRY + len(g) + 2 * len(t) for g, t in zip(groups, texts))
 
     def round_trips(self, texts: list[str | None], ids: list[np.ndarray]) -> list[bool]:
         """Whether the rebuilt decoder gives each normalised text back, without the dummy prefix."""
@@ -262,11 +315,15 @@ class Backend:
         want = (self.normal(t or "").replace(MARK, " ")[prefix:] for t in texts)
         return [a == b for a, b in zip(self.decode_batch(ids), want)]
 
-    def spells(self, text: str | None, ids: np.ndarray) -> bool:
-        """Whether the pieces of the ids are the normalised text, byte for byte."""
+    def spells_chunk(self, chunk: str, ids: np.ndarray) -> bool:
+        """Whether the pieces of the ids are the chunk of normalised text, byte for byte."""
         pieces = self.bytes_of
-        spelled = b"".join([pieces[i] for i in ids.tolist()])
-        return spelled == self.normal(text or "").replace(MARK, " ").encode("utf-8", "surrogatepass")
+        return b"".join([pieces[i] for i in ids.tolist()]) == chunk.replace(MARK, " ").encode(
+            "utf-8", "surrogatepass")
+
+    def spells(self, text: str | None, ids: np.ndarray) -> bool:
+        """The same for a whole text."""
+        return self.spells_chunk(self.normal(text or ""), ids)
 
 
 def check_parity(data: bytes, texts: list[str]) -> list[int]:
@@ -303,8 +360,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id",
                     "n_tokens": [len(i) for i, _ in got],
                     "ids_crc32": [zlib.crc32(i.tobytes()) for i, _ in got],
                     "parity": [p for _, p in got],
-                    "round_trip": [decoded and model.spells(t, i) for t, (i, _), decoded in zip(
-                        texts, got, model.round_trips(texts, [i for i, _ in got]))],
+                    "round_trip": model.round_trips(texts, [i for i, _ in got]),
                     "ids": [i.tobytes() for i, _ in got]})
 
     return map_frames(
