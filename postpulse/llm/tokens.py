@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-MEMO = 100 << 20     # bytes held for chunks
+MEMO = 130 << 20     # bytes held for chunks
 ENTRY = 190          # of them for an entry beside its characters and ids
 JOINED = 64          # new pieces per library call
 
