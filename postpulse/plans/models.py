@@ -34,6 +34,7 @@ from pyspark.sql.types import StringType
 
 from postpulse.functions.hashing import md5_number
 from postpulse.operators.sampling import split_label, with_position
+from postpulse.session import stored
 
 # ---- fixed values of the original scripts -----------------------------------
 MAX_CATEGORIES = 25
@@ -67,8 +68,9 @@ def frequency_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     placed = with_position(counts.orderBy("feature", F.desc("n"), "value"))
     starts = placed.groupBy("feature").agg(F.min("position").alias("start"))
-    return placed.join(F.broadcast(starts), "feature").select(      # one row per column
+    ranks = placed.join(F.broadcast(starts), "feature").select(      # one row per column
         "feature", "value", "n", (F.col("position") - F.col("start")).alias("rank"))
+    return stored(df.sparkSession, ranks, "ranks")      # read once per column
 
 
 def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None,
