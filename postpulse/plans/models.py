@@ -5,8 +5,8 @@ from the original scripts, all for repeatability or cost:
 
 * the 70/30 split is an md5 bucket of the row id instead of an unseeded
   ``randomSplit`` (same id -> same side on any cluster);
-* all text columns are indexed by one multi-column ``StringIndexer`` (one
-  pass over the data instead of one per column);
+* text columns are indexed by frequency ranks computed on the cluster (one
+  aggregate for all columns; no value passes through the driver);
 * the indexed table is persisted before cross-validation's 151 fits and the
   feature indexer is applied once, not inside each of them;
 * cross-validation folds are md5 buckets of the row id, and twice as many fits
@@ -118,7 +118,7 @@ def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
 def assemble(df: DataFrame, index_columns: list[str], label: str = "score",
              keep: list[str] | None = None) -> DataFrame:
     """Index columns -> ``features`` vector; label copied from the score."""
-    # StringIndexer marks its outputs nominal; that metadata would pass through the
+    # An indexer that marks its outputs nominal would pass that metadata through the
     # assembler and make every index categorical whatever VectorIndexer decides
     # (a 30-value day of month then fails maxBins=25). Clear it so the
     # maxCategories rule is the one that applies.
