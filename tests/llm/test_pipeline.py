@@ -67,5 +67,5 @@ def test_run_gives_the_last_stage(spark):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_|", x)[0] for x in names}
+    assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_|", x)[0] for x in names}
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
