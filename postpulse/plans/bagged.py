@@ -22,10 +22,10 @@ level per iteration, with grouped aggregates:
    their child node. The moved cells are checkpointed to the shared folder
    each level, so lineage stays one level long and a lost executor
    recomputes at most one level.
-4. Prediction walks distinct test attribute tuples (not rows) through every
-   tree, level by level, with equi-joins on (tree, node) and
-   (tree, node, value); an unseen category follows the child of the node's
-   smallest value. Per-tuple results join back to the rows.
+4. Prediction walks groups of test tuples through every tree, level by level:
+   tuples that agree on the attributes of a path are one row (``leaf_groups``).
+   An unseen category follows the child of the node's smallest value. Leaves are
+   added up over the trees before they meet the tuples, and tuples the rows.
 
 Every tree has equal weight in the ensemble mean.
 """
@@ -51,6 +51,7 @@ MIN_RECORD = 1
 ROOT = ""
 VALUE, MISSING = "v", "z"   # a category's branch is VALUE + category; a missing one's is MISSING
 REL_DIGITS = 9          # errors are compared after rounding err / node_mse to 9 digits
+TREE_SALTS = 16         # tasks that share the trees of one combination of values
 ZERO_ERROR = 1e-12      # node mse below this share of its mean square of (y - shift) is zero
 
 
@@ -280,38 +281,90 @@ def fit(rows: DataFrame, id_col: str, attrs: list[Attr], target: str,
     return fit_cells(cells, attrs, max_depth, shift)
 
 
-def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
-    """(tree, attribute tuple) -> prediction, leaf size for every tree and distinct tuple.
+def _cut(names: list[str], used: Column) -> list[Column]:
+    """Each attribute where its bit of ``used`` is set, else null."""
+    return [F.when(used.bitwiseAND(F.lit(1 << i)) != 0, F.col(n)) for i, n in enumerate(names)]
+
+
+def leaf_groups(model: BaggedModel, tuples: DataFrame) -> DataFrame:
+    """(tree, used, attributes, prediction, leaf_n): the leaf of every group of tuples.
 
-    Every distinct tuple walks every tree: one array of tree ids, a scalar subquery bounded by
-    (max_split + 1) * sample_number (a setting, not the data), is exploded per tuple. The
-    first step joins the trees' roots, one row per tree, which is broadcast for that reason;
-    its key would be one per tree. Each level is joined once and checkpointed.
+    Tuples that agree on the attributes a path has looked at move as one row: ``used`` has a bit
+    per attribute, the others are null. A tree starts as one row; a split on an attribute joins
+    the distinct tuples cut to the path's attributes and the new one, so the rows of a tree are
+    the value combinations its paths tell apart, never all tuples (a numeric attribute tells
+    all its values apart). The combinations wanted at a level, one per set of attributes and
+    next attribute, are a scalar subquery bounded by the number of attributes. Few combinations
+    meet many trees near the roots: trees are salted into ``TREE_SALTS`` there.
     """
     attrs = model.attrs
     names = [a.name for a in attrs]
-    tree_ids = model.trees.agg(F.sort_array(F.collect_list("tree")).alias("t")).scalar()
-    state = (tuples.select(*names).distinct().withColumn("tree", F.explode(tree_ids))
-             .withColumn("node", F.lit(ROOT)))
+    types = dict(tuples.select(*names).dtypes)
     nodes = model.nodes.select("tree", "node", "is_leaf", "prediction", F.col("n").alias("leaf_n"),
                                "attr_pos", "split_cond", "default_child")
     max_depth = model.nodes.agg(F.max("depth")).first()[0] or 0
     values = F.array(*[_branch_value(a, F.col("split_cond")) for a in attrs])
+    state = model.trees.select("tree", F.lit(ROOT).alias("node"), F.lit(0).cast("long").alias("used"),
+                               *[F.lit(None).cast(types[n]).alias(n) for n in names])
     done = []
     for level in range(max_depth + 1):
-        at = F.broadcast(nodes.where(F.col("node") == ROOT)) if level == 0 else nodes
-        j = _checkpoint(state.join(at, ["tree", "node"]))
-        done.append(j.filter(F.col("is_leaf")).select("tree", *names, "prediction", "leaf_n"))
-        state = (j.filter(~F.col("is_leaf"))
-                  .withColumn("value", F.element_at(values, F.col("attr_pos") + 1))
-                  .join(model.edges, ["tree", "node", "value"], "left")
-                  .select("tree", *names, F.coalesce(F.col("child"), F.col("default_child")).alias("node")))
+        at = _checkpoint(state.join(nodes, ["tree", "node"]))
+        done.append(at.filter(F.col("is_leaf")).select("tree", "used", *names, "prediction", "leaf_n"))
+        if level == max_depth:
+            break
+        inner = at.filter(~F.col("is_leaf")).drop("prediction", "leaf_n", "is_leaf")
+        wanted = inner.agg(F.collect_set(F.struct("used", "attr_pos"))).scalar()
+        grown = F.expr("w.used | shiftleft(1L, w.attr_pos)")
+        steps = (tuples.withColumn("w", F.explode(wanted))
+                 .select(F.col("w.used").alias("_used"), F.col("w.attr_pos").alias("_pos"),
+                         grown.alias("_grown"),
+                         *[c.alias(f"_k{i}") for i, c in enumerate(_cut(names, F.col("w.used")))],
+                         *[c.alias(f"_v{i}") for i, c in enumerate(_cut(names, grown))]).distinct()
+                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TREE_SALTS - 1)))))
+        same = [F.col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)]
+        met = inner.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(TREE_SALTS)).cast("int")).join(
+            steps, [F.col("used") == F.col("_used"), F.col("attr_pos") == F.col("_pos"),
+                    F.col("salt") == F.col("_salt"), *same])
+        state = (met.select("tree", "node", "attr_pos", "split_cond", "default_child",
+                            F.col("_grown").alias("used"),
+                            *[F.col(f"_v{i}").alias(n) for i, n in enumerate(names)])
+                 .withColumn("value", F.element_at(values, F.col("attr_pos") + 1))
+                 .join(model.edges, ["tree", "node", "value"], "left")
+                 .select("tree", F.coalesce(F.col("child"), F.col("default_child")).alias("node"),
+                         "used", *names))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def distinct_tuples(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct attribute tuples, computed once for all levels."""
+    return _checkpoint(rows.select(*names).distinct())
+
+
+def _of_groups(tuples: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """Every tuple with the columns of the groups it belongs to; one join key per set of
+    attributes that some path used."""
+    sets = groups.agg(F.collect_set("used")).scalar()
+    cut = tuples.withColumn("_used", F.explode(sets))
+    cut = cut.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(_cut(names, F.col("_used")))])
+    g = groups.withColumnsRenamed({n: f"_g{i}" for i, n in enumerate(names)})
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(names))]
+    return cut.join(g, [F.col("_used") == F.col("used"), *same]).select(
+        *names, *[c for c in groups.columns if c not in (*names, "used")])
+
+
+def predict_tuples(model: BaggedModel, tuples: DataFrame) -> DataFrame:
+    """(tree, attribute tuple) -> prediction, leaf size for every tree and distinct tuple.
+
+    That is a row per tuple and tree; ``ensemble_mean`` does without.
+    """
+    names = [a.name for a in model.attrs]
+    distinct = distinct_tuples(tuples, names)
+    return _of_groups(distinct, leaf_groups(model, distinct), names)
+
+
 def predict_rows(model: BaggedModel, rows: DataFrame, id_col: str) -> DataFrame:
     """(tree, id, prediction, leaf_n): every tree's prediction for every row."""
     names = [a.name for a in model.attrs]
@@ -327,17 +380,21 @@ def ensemble_mean(model: BaggedModel, rows: DataFrame, id_col: str,
                   prediction: Column | None = None) -> DataFrame:
     """(id, prediction): equal-weight mean over trees.
 
-    Averaged per distinct tuple first (partial aggregation), then joined back,
-    so no key ever gathers all predictions in one place. Predictions (or the given
-    expression of prediction and leaf_n) are added as whole millionths and divided once:
+    Leaves that stand for the same combination of values are added up over all trees; a
+    distinct tuple then adds its combinations, one per set of attributes that paths used, and
+    the means are joined to the rows: no row per tuple and tree exists. Predictions (or the
+    given expression of prediction and leaf_n) are added as whole millionths and divided once:
     the sum is exact, whatever order a cluster adds it in.
     """
     names = [a.name for a in model.attrs]
     p = F.col("prediction") if prediction is None else prediction
     units = F.floor(p * F.lit(GRID) + 0.5).cast("long")
-    per_tuple = predict_tuples(model, rows).groupBy(*names).agg(
-        (F.sum(units).cast("double") / (F.count(F.lit(1)) * F.lit(GRID))).alias("prediction"),
-        F.count(F.lit(1)).alias("n_trees"))
+    distinct = distinct_tuples(rows, names)
+    sums = leaf_groups(model, distinct).groupBy("used", *names).agg(
+        F.sum(units).alias("units"), F.count(F.lit(1)).alias("n_trees"))
+    per_tuple = _of_groups(distinct, _checkpoint(sums), names).groupBy(*names).agg(
+        (F.sum("units").cast("double") / (F.sum("n_trees") * F.lit(GRID))).alias("prediction"),
+        F.sum("n_trees").alias("n_trees"))
     return _join_tuples(rows.select(id_col, *names), per_tuple, names).select(
         id_col, "prediction", "n_trees")
 

@@ -162,8 +162,8 @@ def _value_case(pos: str, prefix: str = "") -> str:
     return f"(CASE {pos} {whens} END)"
 
 
-def _fit_sql() -> str:
-    ctes = [SAMPLES_SQL.strip(),
+def _fit_sql(samples: str = SAMPLES_SQL) -> str:
+    ctes = [samples.strip(),
             f"a0 AS (SELECT tree, row_id, {ATTR_COLS}, y, '' AS node FROM s)"]
     for lv in range(LEVELS):
         branches = " UNION ALL ".join(
@@ -199,11 +199,11 @@ def _fit_sql() -> str:
     return ",\n".join(ctes)
 
 
-def _predict_sql() -> str:
+def _predict_sql(samples: str = SAMPLES_SQL) -> str:
     test = (f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, "
             f"CAST(month(o_orderdate) AS VARCHAR) AS o_month, CAST(day(o_orderdate) AS VARCHAR) AS o_day "
             f"FROM orders WHERE NOT ({sql_md5_number(SPLIT_SEED, 'o_orderkey')} % 100 < 70)")
-    ctes = [_fit_sql(),
+    ctes = [_fit_sql(samples),
             f"t0 AS (SELECT unnest((SELECT list(DISTINCT tree) FROM nodes)) AS tree, x.row_id, "
             f"{', '.join('x.' + a.name for a in ATTRS)}, '' AS node FROM ({test}) x)"]
     for lv in range(LEVELS):
@@ -245,19 +245,27 @@ def q_bagged_predict(spark, base):
         "tree", "row_id", _on_cent_grid("prediction", "leaf_n"), "leaf_n")
 
 
-@register("ensemble_mean", f"""
-WITH {_predict_sql()}
+def _ensemble_sql(samples: str = SAMPLES_SQL) -> str:
+    return f"""
+WITH {_predict_sql(samples)}
 SELECT row_id, CAST(sum(CAST(floor(round(prediction * leaf_n, 2) / leaf_n * {bg.GRID} + 0.5) AS BIGINT))
                     AS DOUBLE) / (count(*) * {bg.GRID}) AS prediction, count(*) AS n_trees
-FROM preds GROUP BY row_id""")
-def q_ensemble_mean(spark, base):
-    """Equal-weight mean of the trees' predictions per test row."""
-    model, test = _model(spark, base)
+FROM preds GROUP BY row_id"""
+
+
+def _ensemble(model, test):
     return bg.ensemble_mean(model, test, "row_id", F.round(
         F.col("prediction") * F.col("leaf_n"), 2) / F.col("leaf_n")).select(
         "row_id", "prediction", "n_trees")
 
 
+@register("ensemble_mean", _ensemble_sql())
+def q_ensemble_mean(spark, base):
+    """Equal-weight mean of the trees' predictions per test row."""
+    model, test = _model(spark, base)
+    return _ensemble(model, test)
+
+
 MULTI_NUMBER, MULTI_SIZE = 3, 200
 
 
@@ -307,3 +315,11 @@ def q_bagged_multi_sample(spark, base):
 def q_bagged_many_samples(spark, base):
     """A hundred samples of every shard: 1,100 trees grown together."""
     return _root_splits(spark, base, MANY_NUMBER)
+
+
+@register("ensemble_many_trees", _ensemble_sql(_multi_samples_sql(MANY_NUMBER)))
+def q_ensemble_many_trees(spark, base):
+    """Mean over 1,100 full trees per test row: no row per tuple and tree."""
+    train, test = _split(spark, base)
+    model = bg.fit(train, "row_id", ATTRS, TARGET, number=MANY_NUMBER, size=MULTI_SIZE)
+    return _ensemble(model, test)

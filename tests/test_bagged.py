@@ -237,3 +237,27 @@ def test_prediction_plan_of_many_trees_is_built_quickly(spark):
     out = bg.predict_rows(model, rows, "row_id")
     assert time.time() - began < 20      # one eager checkpoint; no literal list of trees
     assert out.count() == 11_000
+
+
+def test_tuples_that_share_a_path_move_as_one_row(spark):
+    """One split on ``a``: a row per tree and value of it, however many tuples there are."""
+    attrs = [bg.Attr("a"), bg.Attr("b"), bg.Attr("x", "N")]
+    data = [(i, f"a{i % 3}", f"b{i % 50}", float(i), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(data, "row_id long, a string, b string, x double, y double")
+    model = bg.fit(df, "row_id", attrs, "y", max_split=3, number=4, size=60)
+    test = spark.createDataFrame(data + [(900, None, None, None, 0.0), (901, "new", "b1", 2.0, 0.0)],
+                                 df.schema)
+    groups = bg.leaf_groups(model, bg.distinct_tuples(test, ["a", "b", "x"]))
+    n_trees = model.trees.count()
+    assert n_trees == 16
+    assert groups.count() == n_trees * 5          # a0, a1, a2, missing, new
+    assert {r.used for r in groups.select("used").distinct().collect()} == {1}
+    got = {r.row_id: (r.prediction, r.n_trees) for r in bg.ensemble_mean(model, test, "row_id").collect()}
+    assert got == {**{r[0]: (r[4], n_trees) for r in data}, 900: (0.0, n_trees), 901: (0.0, n_trees)}
+    assert bg.predict_rows(model, test, "row_id").count() == n_trees * 302
+
+
+def test_no_rows_to_predict(spark):
+    attrs = [bg.Attr("a")]
+    _, preds = _fit_predict(spark, [(1, "b", 2.0), (2, "c", 7.0)], attrs, [])
+    assert preds == {}
