@@ -40,13 +40,54 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORIES = ["low_quality", "toxic"]
 
 
-@register("op1_suffix_array_dedup")
+@register("op1_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(h[2 * p + 1:2 * p + 800]) AS k
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi
+         FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+               FROM (SELECT doc_id, p,
+                            coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, TRUE)::INT AS fresh
+                     FROM hit))
+         GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans,
+                list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(
+         [h[2 * CASE WHEN i = 1 THEN 0 ELSE his[i - 1] END + 1:
+            2 * CASE WHEN i > len(los) THEN length(h) // 2 ELSE los[i] END] FOR i IN range(1, len(los) + 2)], '')
+         END)) AS kept_sha256
+FROM d LEFT JOIN cuts ON d.doc_id = cuts.doc_id
+""")
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document covered by a 400-byte string that starts twice."""
     return suffix_dedup.removal_report(spark, table(spark, sf_dir, "documents")).drop("spans")
 
 
-@register("op2_ngram_jaccard_join")
+@register("op2_ngram_jaccard_join", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS c, count(*) AS copies, any_value(k) AS s, list(doc_id) AS docs
+            FROM (SELECT doc_id, list_sort(s) AS k FROM sets WHERE len(s) > 0) GROUP BY k),
+items AS (SELECT c, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (SELECT a, b FROM (SELECT i.c AS a, j.c AS b, any_value(i.n) AS n, any_value(j.n) AS m, count(*) AS k
+          FROM items i JOIN items j ON i.x = j.x AND i.c <> j.c GROUP BY 1, 2)
+          WHERE k * 9 >= 4 * (n + m)),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
+groups AS (SELECT root, sum(copies)::BIGINT AS size FROM roots JOIN classes USING (c) GROUP BY root),
+near AS (SELECT a AS c, sum(copies)::BIGINT AS n FROM links JOIN classes ON c = b GROUP BY a),
+named AS (SELECT unnest(docs) AS doc_id, c, root, size, (coalesce(n, 0) + copies - 1)::BIGINT AS n_links
+          FROM classes JOIN roots USING (c) JOIN groups USING (root) LEFT JOIN near USING (c))
+SELECT sets.doc_id, coalesce(root, sets.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+       coalesce(c, sets.doc_id) AS copy_of, coalesce(size, 1)::BIGINT AS group_size,
+       coalesce(root = sets.doc_id, TRUE) AS kept
+FROM sets LEFT JOIN named ON sets.doc_id = named.doc_id
+""")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, similarity 0.8."""
     return ngram_join.similar_documents(spark, table(spark, sf_dir, "documents")).drop("rid")
