@@ -14,7 +14,7 @@ from postpulse.functions import sentiment as sent
 from postpulse.functions.sentiment import DEFAULT_LEXICON, VALENCE_SCALE, score_texts
 from postpulse.operators import features
 from postpulse.plans import models
-from postpulse.session import scratch_path
+from postpulse.session import scratch_path, spread, stored
 from postpulse.sources import csvio
 from postpulse.sources import fixtures as fx
 from postpulse.sources.tables import table
@@ -232,7 +232,15 @@ FROM raw JOIN cls ON raw.doc_id = cls.doc_id"""
 def _raw_features(spark, base):
     paths = csvio.write_mixed(fx.raw_comments(spark, base), scratch_path(spark, "raw-comments"))
     raw = csvio.read_exact_width(spark, paths, features.COMMENT_WIDTH, multiline=True)
-    return features.feature_job(raw, rules=fx.RULES)
+    # a multi-line file is one task: its rows are scored by all of them
+    return features.feature_job(spread(raw), rules=fx.RULES)
+
+
+def _comment_data(spark, base):
+    """(data, index names) of the comment models; bodies are scored once, not by each pass of the
+    index, the tree and the error."""
+    rows = stored(spark, features.comment_model_rows(_raw_features(spark, base)), "comment-rows")
+    return models.prepare(rows, id_col="id")
 
 
 @register("feature_job", _feature_job_sql("INTEGER"))
@@ -244,23 +252,20 @@ def q_feature_job(spark, base):
 @register("comment_dt_rmse")
 def q_comment_dt_rmse(spark, base):
     """The study's whole way: raw comments, feature job, 10 indexed features, tree, RMSE."""
-    rows = features.comment_model_rows(_raw_features(spark, base))
-    data, _ = models.prepare(rows, id_col="id")
+    data, _ = _comment_data(spark, base)
     return models.tree_rmse(data, "dt")
 
 
 @register("comment_rf_rmse")
 def q_comment_rf_rmse(spark, base):
-    rows = features.comment_model_rows(_raw_features(spark, base))
-    data, _ = models.prepare(rows, id_col="id")
+    data, _ = _comment_data(spark, base)
     return models.tree_rmse(data, "rf")
 
 
 @register("comment_features")
 def q_comment_features(spark, base):
     """Importance of each of the 10 features."""
-    rows = features.comment_model_rows(_raw_features(spark, base))
-    data, idx = models.prepare(rows, id_col="id")
+    data, idx = _comment_data(spark, base)
     return models.tree_summary(data, idx, "dt")
 
 
