@@ -27,6 +27,8 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postpulse.session import spread
+
 # ---- fixed values (must equal the original scoring rule) --------------------
 # compound = s / sqrt(s^2 + ALPHA), rounded to 4 decimals
 ALPHA = 15
@@ -221,6 +223,17 @@ def _unit(rules: Rules, m: Column, at: Column) -> Column:
     return F.floor(v * VALENCE_SCALE + 0.5).cast("long") * weight
 
 
+def _with_matches(df: DataFrame, text: Column, cut, lexicon: DataFrame) -> DataFrame:
+    """Adds ``_single``: (i, k, v) of the tokens that the lexicon table lists, null if none."""
+    keyed = spread(df).withColumn("_key", text_key(text))
+    found = (cut(keyed).select("_key", F.posexplode("_l").alias("_i", "token"))
+             .join(lexicon_rows(lexicon), "token")
+             .groupBy("_key", "_i").agg(F.max("v").alias("v")))      # equal texts count once
+    found = found.groupBy(F.col("_key").alias("_found")).agg(F.collect_list(
+        F.struct((F.col("_i") + 1).alias("i"), F.lit(1).alias("k"), "v")).alias("_single"))
+    return keyed.join(found, F.col("_key") == F.col("_found"), "left").drop("_key", "_found")
+
+
 def rule_scores(df: DataFrame, text_col: str, lexicon, rules: Rules | None = None) -> DataFrame:
     """Adds ``compound`` and ``sentiment_class``: the word sum with its context rules.
 
@@ -235,21 +248,27 @@ def rule_scores(df: DataFrame, text_col: str, lexicon, rules: Rules | None = Non
 
     ``lexicon`` is a dict of single words, then the job is one narrow projection; or a table
     (token, valence) of any size, joined with the exploded tokens, whose matches come back to the
-    rows by the digest of the text. Ids play no part: rows may repeat or have none.
+    rows by the digest of the text. Ids play no part: rows may repeat or have none. Rows are dealt
+    over all tasks first, and texts meet their matches before they are cut into tokens.
     """
     rules = rules or Rules()
     text = F.col(text_col)
     caps = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
-    out = df.withColumn("_w", F.regexp_extract_all(text, F.lit(rules.pattern()), F.lit(0)))
-    out = out.withColumn("_l", F.transform("_w", F.lower)).withColumn(
-        "_mixed", F.exists("_w", caps) & ~F.forall("_w", caps))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_w", F.regexp_extract_all(text, F.lit(rules.pattern()), F.lit(0))
+                               ).withColumn("_l", F.transform("_w", F.lower))
+
+    narrow = isinstance(lexicon, dict)
+    out = cut(df) if narrow else cut(_with_matches(df, text, cut, lexicon))
+    out = out.withColumn("_mixed", F.exists("_w", caps) & ~F.forall("_w", caps))
     spots = [F.nullif(F.array_position("_l", c), F.lit(0)) for c in rules.contrasts]
     first = F.least(*spots) if len(spots) > 1 else spots[0] if spots else F.lit(None)
     out = out.withColumn("_but", F.coalesce(first, F.lit(0)).cast("int"))
     # only places that may end a match are looked at any further
     ends = sorted({p if n == 1 else p.split(" ")[-1] for n in (1, 2, 3) for p in rules.of_length(n)})
     known = lambda m: m.isNotNull()
-    if isinstance(lexicon, dict):
+    if narrow:
         words = lexicon_map(lexicon)
         single = lambda i: F.struct(
             i.alias("i"), F.lit(1).alias("k"), F.try_element_at(words, F.element_at("_l", i)).alias("v"))
@@ -259,13 +278,6 @@ def rule_scores(df: DataFrame, text_col: str, lexicon, rules: Rules | None = Non
                 F.when(F.element_at("_l", i).isin(ends), _phrase(rules, i)), found(i))
             if ends else found(i)), known))
     else:
-        out = out.withColumn("_key", text_key(text))
-        found = (out.select("_key", F.posexplode("_l").alias("_i", "token"))
-                 .join(lexicon_rows(lexicon), "token")
-                 .groupBy("_key", "_i").agg(F.max("v").alias("v")))      # equal texts count once
-        found = found.groupBy(F.col("_key").alias("_found")).agg(F.collect_list(
-            F.struct((F.col("_i") + 1).alias("i"), F.lit(1).alias("k"), "v")).alias("_single"))
-        out = out.join(found, F.col("_key") == F.col("_found"), "left").drop("_key", "_found")
         matches = F.coalesce("_single", F.array().cast("array<struct<i:int,k:int,v:bigint>>"))
         if ends:
             matches = F.concat(matches, F.filter(F.transform(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postpulse import catalog
+from postpulse.functions.sentiment import DEFAULT_LEXICON, Rules, rule_scores
 
 catalog.queries()       # loads every module of queries
 from postpulse.plans import queries_features as qf  # noqa: E402
@@ -37,3 +38,15 @@ def test_rows_of_a_multiline_file_are_scored_by_all_tasks(spark, base):
     frame = qf.q_feature_job(spark, base)
     assert "RoundRobinPartitioning" in _plan(frame)
     assert frame.count() == sum(k % 17 != 3 and k % 19 != 5 for k in range(200))
+
+
+def test_a_lexicon_table_scores_the_rows_of_one_row_group_by_all_tasks(spark, base):
+    rules = Rules(phrases={"of the": 0.4, "not la": -1.0})
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs).unionByName(spark.createDataFrame(
+        [(None, None), (None, ""), (7, "the THE of the")], "doc_id long, text string"))
+    lexicon = spark.createDataFrame(list(DEFAULT_LEXICON.items()), "token string, valence double")
+    by_table = rule_scores(docs, "text", lexicon, rules)
+    assert "RoundRobinPartitioning" in _plan(by_table)
+    want = rule_scores(docs, "text", DEFAULT_LEXICON, rules)
+    assert by_table.exceptAll(want).count() == 0 == want.exceptAll(by_table).count()
