@@ -23,37 +23,36 @@ def _orders(spark, base, *cols):
     return table(spark, base, "orders").select(*cols)
 
 
-@register("shuffle_rows", SHUFFLE_SQL)
-def q_shuffle_rows(spark, base):
-    return smp.shuffle_rows(_orders(spark, base, "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
-
-
-@register("sort_within_key", "SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders")
-def q_sort_within_key(spark, base):
-    return smp.sort_within_key(_orders(spark, base, "o_orderstatus", "o_orderkey", "o_totalprice"),
-                               "o_orderstatus", "o_orderkey")
+POSITIONS_SQL = f"""
+SELECT *, row_number() OVER (ORDER BY shuffle_key, o_orderkey) - 1 AS position FROM ({SHUFFLE_SQL}) s"""
+RANKS_SQL = """
+SELECT o_orderstatus, o_orderkey, o_totalprice,
+       row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS rank
+FROM orders"""
 
 
-@register("shuffle_positions", f"""
-SELECT *, row_number() OVER (ORDER BY shuffle_key, o_orderkey) - 1 AS position FROM ({SHUFFLE_SQL}) s""")
-def q_shuffle_positions(spark, base):
-    """The shuffled rows with the place each one came out at: written once to see their order."""
-    return smp.with_position(q_shuffle_rows(spark, base))
+@register("shuffle_rows", POSITIONS_SQL)
+def q_shuffle_rows(spark, base):
+    """The shuffled rows with the place each one came out at."""
+    o = _orders(spark, base, "o_orderkey", "o_custkey", "o_totalprice")
+    return smp.with_position(smp.shuffle_rows(o, "o_orderkey"))
 
 
-@register("sort_positions", """
-SELECT o_orderstatus, o_orderkey, o_totalprice,
-       row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS rank
-FROM orders""")
-def q_sort_positions(spark, base):
+@register("sort_within_key", RANKS_SQL)
+def q_sort_within_key(spark, base):
     """Rows as they come out of the sort: each one's distance from the first of its key, which
     is its rank only if equal keys are adjacent and in order."""
-    placed = smp.with_position(q_sort_within_key(spark, base))
-    first = placed.groupBy("o_orderstatus").agg(F.min("position").alias("first"))
-    return placed.join(first, "o_orderstatus").select(
+    o = _orders(spark, base, "o_orderstatus", "o_orderkey", "o_totalprice")
+    placed = smp.with_position(smp.sort_within_key(o, "o_orderstatus", "o_orderkey"))
+    first = placed.groupBy(F.col("o_orderstatus").alias("status")).agg(F.min("position").alias("first"))
+    return placed.join(first, F.col("o_orderstatus").eqNullSafe(F.col("status"))).select(
         "o_orderstatus", "o_orderkey", "o_totalprice", (F.col("position") - F.col("first")).alias("rank"))
 
 
+register("shuffle_positions", POSITIONS_SQL)(q_shuffle_rows)
+register("sort_positions", RANKS_SQL)(q_sort_within_key)
+
+
 @register("hash_split", f"""
 SELECT o_orderkey,
        CASE WHEN {sql_md5_number(smp.SPLIT_SEED, 'o_orderkey')} % 100 < 70 THEN 'train' ELSE 'test' END AS split
