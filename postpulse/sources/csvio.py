@@ -21,23 +21,31 @@ def positional_schema(n_fields: int, names: list[str] | None = None) -> StructTy
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True,
-                    columns: list[str] | None = None, max_records_per_file: int | None = None) -> str:
+                    columns: list[str] | None = None, max_records_per_file: int | None = None,
+                    compression: str | None = None) -> str:
     """Write text with a header row, no index, chosen columns.
 
-    ``max_records_per_file`` splits the output in chunks of N rows (S4).
+    ``max_records_per_file`` splits the output in chunks of N rows (S4). A compressed file is
+    one task to read, so bound its rows.
     """
     out = df.select(*(columns or df.columns))
     w = out.write.mode("errorifexists").option("header", header).option("sep", sep) \
         .option("quote", '"').option("escape", '"')
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
+    if compression:
+        w = w.option("compression", compression)
     w.csv(path)
     return path
 
 
 def write_mixed(frames: list[DataFrame], path: str, max_records_per_file: int = 20_000) -> list[str]:
-    """Write frames of different widths side by side below ``path``; the paths to read."""
-    return [write_delimited(f, f"{path}/{k}", max_records_per_file=max_records_per_file)
+    """Write frames of different widths side by side below ``path``; the paths to read.
+
+    Raw rows are mostly fields that no job reads, alike from row to row: the files are compressed.
+    """
+    return [write_delimited(f, f"{path}/{k}", max_records_per_file=max_records_per_file,
+                            compression="gzip")
             for k, f in enumerate(frames)]
 
 
