@@ -47,6 +47,7 @@ TRAIN_PERCENT = 70
 
 TOP_VALUES = 1000       # values of a column that are broadcast at most
 SALTS = 1 << 20
+JOIN_ROWS = 250_000     # rows of a task that meets rare values
 
 
 def text_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -83,13 +84,17 @@ def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
     The ``top`` most frequent values of a column are joined as a broadcast of that many rows, so
     a value that holds a third of all rows is never shuffled. If a column has more values, the
     rows of the others meet them by an equi-join, in which the rows already settled are spread
-    by a salt. Only the number of values of each column reaches the driver.
+    by a salt, over as many tasks as hold JOIN_ROWS rows each. Only the number of values of each
+    column and of the rows reaches the driver.
     """
     if handle_invalid not in ("error", "skip", "keep"):
         raise ValueError(f"handle_invalid: {handle_invalid}")
     ranks = frequency_ranks(df if fit_on is None else fit_on, columns)
     sizes = {r["feature"]: r["n_values"] for r in ranks.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_values")).collect()}
+    many = any(n > top for n in sizes.values())
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism,
+                -(-df.count() // JOIN_ROWS)) if many else 0
     out = df
     for i, c in enumerate(columns):
         mine = ranks.where(F.col("feature") == i).select(
@@ -100,9 +105,11 @@ def index_strings(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
             settled = F.col("_index").isNotNull() | F.col(c).isNull()
             salt = F.when(settled, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0))
             rare = mine.where(F.col("_index") >= top).select(
-                "_value", F.col("_index").alias("_rare"), F.lit(0).cast("long").alias("_zero"))
-            out = out.withColumn("_salt", salt.cast("long")).join(
-                rare, (F.col(c) == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
+                "_value", F.col("_index").alias("_rare"),
+                (F.col("_index") * 0).cast("long").alias("_zero"))    # a literal is no key
+            # numbers of tasks that are given stay: a task's sort does not grow with the input
+            out = out.withColumn("_salt", salt.cast("long")).repartition(tasks, c, "_salt").join(
+                rare.repartition(tasks, "_value", "_zero"), (F.col(c) == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
             out = out.withColumn("_index", F.coalesce("_index", "_rare")).drop(
                 "_value", "_rare", "_zero", "_salt")
         if handle_invalid == "skip":
