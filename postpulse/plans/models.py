@@ -272,22 +272,26 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
 
     For a single tree, one fit per (bins, fold) to the greatest depth scores every depth:
     growth is greedy, so a tree of less depth is the deeper one cut off (``depth_errors``).
-    A forest draws features per node, so its grid is fitted point by point.
+    A forest draws features per node, so its grid is fitted point by point. Numbers of bins
+    that give the same thresholds (``same_bins``) give the same trees and are fitted once.
     """
     vi = feature_indexer(data)
     est = (DecisionTreeRegressor if kind == "dt" else RandomForestRegressor)(
         featuresCol="indexedFeatures", labelCol="label", maxMemoryInMB=memory_mb,
         cacheNodeIds=True, seed=seed)
-    grid = (ParamGridBuilder().addGrid(est.maxDepth, depth_grid)
-            .addGrid(est.maxBins, bins_grid).build())
-    at_once = min(len(grid), parallelism or 2 * data.sparkSession.sparkContext.defaultParallelism)
+    at_once = min(len(depth_grid) * len(bins_grid),
+                  parallelism or 2 * data.sparkSession.sparkContext.defaultParallelism)
     indexed = vi.transform(data)
     train = indexed.filter(F.col("split") == "train").select(
         "indexedFeatures", "label", fold_of(id_col, folds).alias("fold")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # of equal points the first of the grid stands for all: the search takes the first best
+        bins = list(dict.fromkeys(same_bins(train, bins_grid, folds)))
+        grid = (ParamGridBuilder().addGrid(est.maxDepth, depth_grid)
+                .addGrid(est.maxBins, bins).build())
         if kind == "dt":
-            errors = tree_grid_errors(train, est, depth_grid, bins_grid, folds, at_once)
+            errors = tree_grid_errors(train, est, depth_grid, bins, folds, at_once)
             best = min(grid, key=lambda g: errors[g[est.maxDepth], g[est.maxBins]])
             tree = est.fit(train, best)
         else:
@@ -301,7 +305,29 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
     pred = tree.transform(indexed.filter(F.col("split") == "test"))
     return _rmse_frame(pred, model=kind, best_max_depth=int(tree.getOrDefault("maxDepth")),
                        best_max_bins=int(tree.getOrDefault("maxBins")),
-                       grid_points=len(grid), folds=folds)
+                       grid_points=len(depth_grid) * len(bins_grid), folds=folds)
+
+
+def same_bins(train: DataFrame, bins_grid, folds: int) -> list[int]:
+    """Per number of bins of the grid the first one that gives the same thresholds in every fit.
+
+    With a bin for each value of a feature, all midpoints between its values are thresholds,
+    whatever the number of bins; values counted over all folds (and zero, which the learner
+    may add) are no fewer than a fit sees. Only where every fold has rows enough and rows are sampled alike
+    for the thresholds (``max(bins ** 2, 10000)`` of them) are two numbers of bins the same.
+    """
+    values = train.select(F.posexplode(vector_to_array("indexedFeatures")).alias("feature", "value"))
+    known = values.where("value <> 0").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    per_fold = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    most = 1 + (known.agg(F.max("n")).first()[0] or 0)
+    sizes = [r["n"] for r in per_fold.collect()]           # one row per fold
+    least = sum(sizes) - max(sizes, default=0)
+    out: list[int] = []
+    for b in bins_grid:
+        like = [a for a in out if most <= min(a, b) and max(a, b) <= least
+                and max(a * a, 10_000) == max(b * b, 10_000)]
+        out.append(like[0] if like else b)
+    return out
 
 
 def tree_grid_errors(train: DataFrame, est, depth_grid, bins_grid, folds: int,

@@ -133,3 +133,17 @@ def test_one_deep_fit_scores_every_depth(spark):
             want = sum(evaluator.evaluate(plain.fit(train.where(F.col("fold") != k)).transform(
                 train.where(F.col("fold") == k))) for k in range(2)) / 2
             assert abs(got[d, b] - want) < 1e-7 * want
+
+
+def test_bins_that_give_the_same_thresholds_are_fitted_once(spark):
+    """30 values: 35 and 45 bins give the same forest, 25 bins another one."""
+    from pyspark.ml.regression import RandomForestRegressor
+    rows = [(i, Vectors.dense([float(i * 7 % 30), float(i % 3)]), float(i * i % 17), i % 3)
+            for i in range(300)]
+    train = spark.createDataFrame(rows, ["id", "indexedFeatures", "label", "fold"]).coalesce(1)
+    assert models.same_bins(train, [25, 35, 45, 65], 3) == [25, 35, 35, 35]
+    assert models.same_bins(train, [35, 45, 101, 150], 3) == [35, 35, 101, 150]     # sampled apart
+    assert models.same_bins(train.limit(30), [35, 45], 3) == [35, 45]               # too few rows
+    text = {b: RandomForestRegressor(featuresCol="indexedFeatures", maxBins=b, maxDepth=8, numTrees=3, seed=42)
+            .fit(train).toDebugString.split("\n", 1)[1] for b in (25, 35, 45, 65)}
+    assert text[35] == text[45] == text[65] != text[25]
