@@ -7,10 +7,11 @@ from the original scripts, all for repeatability or cost:
   ``randomSplit`` (same id -> same side on any cluster);
 * text columns are indexed by frequency ranks computed on the cluster (one
   aggregate for all columns; no value passes through the driver);
-* the indexed table is persisted before cross-validation's 151 fits and the
+* the indexed table is persisted before cross-validation's fits and the
   feature indexer is applied once, not inside each of them;
-* cross-validation folds are md5 buckets of the row id, and twice as many fits
-  run at a time as the cluster has cores (hides per-job scheduling latency).
+* cross-validation folds are md5 buckets of the row id; one fit to the greatest
+  depth scores every depth of the grid, and up to twice as many fits run at a
+  time as the cluster has cores (hides per-job scheduling latency).
 
 Indexers are fitted on all rows before the split, as in the original;
 ``fit_on_train=True`` fits them on the training rows only.
@@ -21,20 +22,20 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postpulse.functions.hashing import md5_number
 from postpulse.operators.sampling import split_label, with_position
-from postpulse.session import stored
+from postpulse.session import scratch_path, stored
 
 # ---- fixed values of the original scripts -----------------------------------
 MAX_CATEGORIES = 25
@@ -48,6 +49,7 @@ TRAIN_PERCENT = 70
 TOP_VALUES = 1000       # values of a column that are broadcast at most
 SALTS = 1 << 20
 JOIN_ROWS = 250_000     # rows of a task that meets rare values
+FIT_ROWS = 10_000_000   # rows of the forests that are fitted at a time, some 400 bytes each
 
 
 def text_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -270,10 +272,13 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
     and checkpointed every 10 iterations) and ``maxMemoryInMB`` change how a deep tree or
     forest is computed, not the fitted trees.
 
-    For a single tree, one fit per (bins, fold) to the greatest depth scores every depth:
-    growth is greedy, so a tree of less depth is the deeper one cut off (``depth_errors``).
-    A forest draws features per node, so its grid is fitted point by point. Numbers of bins
-    that give the same thresholds (``same_bins``) give the same trees and are fitted once.
+    One fit per (bins, fold) to the greatest depth scores every depth: growth is greedy, so a
+    tree of less depth is the deeper one cut off (``depth_errors``). So is a forest: its levels
+    are grown one after the other, and the features that a node may use are drawn in that order,
+    whatever the greatest depth, as long as a level fits into ``memory_mb`` (beyond that they
+    are other draws of the same kind). Numbers of bins that give the same thresholds
+    (``same_bins``) give the same trees and are fitted once. As many forests are fitted at a
+    time as hold FIT_ROWS rows.
     """
     vi = feature_indexer(data)
     est = (DecisionTreeRegressor if kind == "dt" else RandomForestRegressor)(
@@ -290,16 +295,10 @@ def tuned_rmse(data: DataFrame, kind: str = "dt", depth_grid=DEPTH_GRID, bins_gr
         bins = list(dict.fromkeys(same_bins(train, bins_grid, folds)))
         grid = (ParamGridBuilder().addGrid(est.maxDepth, depth_grid)
                 .addGrid(est.maxBins, bins).build())
-        if kind == "dt":
-            errors = tree_grid_errors(train, est, depth_grid, bins, folds, at_once)
-            best = min(grid, key=lambda g: errors[g[est.maxDepth], g[est.maxBins]])
-            tree = est.fit(train, best)
-        else:
-            cv = CrossValidator(
-                estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                evaluator=RegressionEvaluator(labelCol="label", predictionCol="prediction",
-                                              metricName="rmse"), parallelism=at_once)
-            tree = cv.fit(train).bestModel
+        errors = (tree_grid_errors if kind == "dt" else forest_grid_errors)(
+            train, est, depth_grid, bins, folds, at_once)
+        best = min(grid, key=lambda g: errors[g[est.maxDepth], g[est.maxBins]])
+        tree = est.fit(train, best)
     finally:
         train.unpersist()
     pred = tree.transform(indexed.filter(F.col("split") == "test"))
@@ -350,6 +349,113 @@ def tree_grid_errors(train: DataFrame, est, depth_grid, bins_grid, folds: int,
             for d in depth_grid for b in bins_grid}
 
 
+def forest_grid_errors(train: DataFrame, est, depth_grid, bins_grid, folds: int,
+                       at_once: int) -> dict[tuple[int, int], float]:
+    """Mean validation RMSE over the folds for each (depth, bins), from one deep forest each.
+
+    Rows with the same features get the same prediction: they are scored once.
+    """
+    spark = train.sparkSession
+    per_fold = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n")).collect()}           # one row per fold
+    for k in range(folds):                                 # as CrossValidator does
+        if sum(per_fold.values()) == per_fold.get(k, 0):
+            raise ValueError(f"The training data at fold {k} is empty.")
+        if not per_fold.get(k):
+            raise ValueError(f"The validation data at fold {k} is empty.")
+    alike = stored(spark, train.groupBy("fold", vector_to_array("indexedFeatures").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("double").alias("s"),
+        F.sum(F.col("label") * F.col("label")).cast("double").alias("ss")), "alike")
+
+    def run(job: tuple[int, int]) -> dict[int, float]:
+        bins, fold = job
+        model = est.copy({est.maxDepth: max(depth_grid), est.maxBins: bins}).fit(
+            train.where(F.col("fold") != fold))
+        return forest_errors(model, alike.where(F.col("fold") == fold), depth_grid)
+
+    jobs = [(b, k) for b in bins_grid for k in range(folds)]
+    at_once = max(1, min(at_once, FIT_ROWS // max(1, sum(per_fold.values()))))
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(run), jobs))
+    return {(d, b): float(np.mean([e[d] for (bb, _), e in zip(jobs, done) if bb == b]))
+            for d in depth_grid for b in bins_grid}
+
+
+def forest_nodes(spark: SparkSession, model) -> dict[str, np.ndarray]:
+    """Columns of the nodes of a fitted forest, trees one after the other; ``root`` has the first
+    of each. Inner nodes have predictions too. A node without children is its own child;
+    ``go_left`` has a row for each split by categories (``places``): whether a value goes left.
+    """
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.*").select(
+        "treeID", "id", "prediction", "leftChild", "rightChild", "split.featureIndex",
+        "split.numCategories", "split.leftCategoriesOrThreshold").toPandas()    # one fitted forest
+    rows = rows.sort_values(["treeID", "id"], ignore_index=True)
+    tree = rows["treeID"].to_numpy()
+    root = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+    first, own = root[np.searchsorted(root, np.arange(len(rows)), "right") - 1], np.arange(len(rows))
+    left, right = (first + rows[c].to_numpy() for c in ("leftChild", "rightChild"))
+    leaf = rows["leftChild"].to_numpy() < 0
+    by_value = (rows["numCategories"].to_numpy() >= 0) & ~leaf
+    split = rows["leftCategoriesOrThreshold"]
+    go_left = np.zeros((int(by_value.sum()), max(1, int(rows["numCategories"].max()))), bool)
+    for row, values in zip(go_left, split[by_value]):
+        row[np.asarray(values, np.int64)] = True
+    threshold = np.zeros(len(rows))
+    threshold[~by_value & ~leaf] = [x[0] for x in split[~by_value & ~leaf]]
+    return {"root": root, "prediction": rows["prediction"].to_numpy(),
+            "feature": np.where(leaf, 0, rows["featureIndex"].to_numpy()), "threshold": threshold,
+            "left": np.where(leaf, own, left), "right": np.where(leaf, own, right),
+            "place": np.where(by_value, np.cumsum(by_value) - 1, -1), "go_left": go_left}
+
+
+def forest_predictor(depth_grid):
+    """(nodes, rows of features) -> per depth the predictions of the forest cut off there; made
+    here so that it goes to the executors by itself."""
+
+    def predict(nodes: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+        out, rows = np.zeros((len(depth_grid), len(x))), np.arange(len(x))
+        for root in nodes["root"]:
+            at, by_depth = np.full(len(x), root), []
+            for _ in range(max(depth_grid) + 1):
+                by_depth.append(nodes["prediction"][at])
+                value, place = x[rows, nodes["feature"][at]], nodes["place"][at]
+                left = value <= nodes["threshold"][at]
+                if len(nodes["go_left"]):
+                    known = np.clip(value, 0, nodes["go_left"].shape[1] - 1).astype(np.int64)
+                    left = np.where(place >= 0, nodes["go_left"][place, known], left)
+                before, at = at, np.where(left, nodes["left"][at], nodes["right"][at])
+                if (at == before).all():
+                    break
+            for i, d in enumerate(depth_grid):
+                out[i] += by_depth[min(d, len(by_depth) - 1)]
+        return out / len(nodes["root"])
+
+    return predict
+
+
+def forest_errors(model, alike: DataFrame, depth_grid) -> dict[int, float]:
+    """RMSE of a forest cut off at each depth on (x, n, s, ss) rows: the number, sum and sum of
+    squares of the labels of the rows with features x."""
+    spark = alike.sparkSession
+    nodes, predict = spark.sparkContext.broadcast(forest_nodes(spark, model)), forest_predictor(depth_grid)
+    names = [f"d{d}" for d in depth_grid]
+
+    def score(frames):
+        for pdf in frames:
+            p = predict(nodes.value, np.stack(pdf["x"].to_numpy()))
+            n, s, ss = (pdf[c].to_numpy() for c in ("n", "s", "ss"))
+            yield pd.DataFrame((ss - 2 * p * s + n * p * p).T, columns=names).assign(n=n)
+
+    found = alike.select("x", "n", "s", "ss").mapInPandas(
+        score, ", ".join(f"{c} double" for c in names) + ", n long")
+    sums = found.agg(*[F.sum(c).alias(c) for c in [*names, "n"]]).first()
+    nodes.unpersist()
+    return {d: float(np.sqrt(max(sums[c], 0.0) / sums["n"])) for d, c in zip(depth_grid, names)}
+
+
 def depth_errors(tree_text: str, leaves, depth_grid) -> dict[int, float]:
     """RMSE on the held rows of a tree cut off at each depth.
 

@@ -147,3 +147,29 @@ def test_bins_that_give_the_same_thresholds_are_fitted_once(spark):
     text = {b: RandomForestRegressor(featuresCol="indexedFeatures", maxBins=b, maxDepth=8, numTrees=3, seed=42)
             .fit(train).toDebugString.split("\n", 1)[1] for b in (25, 35, 45, 65)}
     assert text[35] == text[45] == text[65] != text[25]
+
+
+def test_one_deep_forest_scores_every_depth(spark, monkeypatch):
+    """Grid errors equal those of plain forests fitted at each depth, with one fit per bins and fold."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+    rows = [(i, Vectors.dense([float(i * 7 % 30), float(i % 3), float(i * i % 11)]),
+             float(i * i % 17 + i % 30), i % 2) for i in range(400)]
+    train = spark.createDataFrame(rows, ["id", "features", "label", "fold"]).coalesce(2)
+    train = models.feature_indexer(train).transform(train).cache()      # one continuous, two not
+    est = RandomForestRegressor(featuresCol="indexedFeatures", numTrees=5, seed=42)
+    depths, bins = [1, 3, 8, 30], [25, 35]
+    evaluator = RegressionEvaluator(metricName="rmse")
+    want = {}
+    for d in depths:
+        for b in bins:
+            plain = est.copy({est.maxDepth: d, est.maxBins: b})
+            want[d, b] = sum(evaluator.evaluate(plain.fit(train.where(F.col("fold") != k)).transform(
+                train.where(F.col("fold") == k))) for k in range(2)) / 2
+    fits, fit = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    got = models.forest_grid_errors(train, est, depths, bins, 2, 4)
+    assert len(fits) == len(bins) * 2
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 * want[k] for k in want)
+    assert len(set(got.values())) >= len(depths)
